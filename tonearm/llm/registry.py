@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing
+from . import langid, mixing, secrets, sentencepieces
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.query,
+        "op2_sentencepiece": sentencepieces.query,
         "op5_langid": langid.query,
         "op10_mixing": mixing.query,
     }
