@@ -214,3 +214,92 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     labels = edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "node")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component_id", F.col("node"))
     return labels.unionByName(roots)
+
+
+# ---------------------------------------------------------------- joins and groups
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, how: str = "inner", share: int = 2000) -> DataFrame:
+    """Equi-join on keys where `right` has one row a key and `count`, the key's rows on the left.
+
+    Keys with over rows / share rows are at most `share` many: that bounded part is broadcast, so that no hot
+    key of the left meets in one task; all others join by a shuffle.
+    """
+    least = max(rows // share, 1) + 1
+    hot = right.where(F.col(count) >= least).withColumn("__hot", F.lit(True))
+    marked = left.join(F.broadcast(hot.select(*keys, "__hot")), keys, "left")
+    warm = marked.where("__hot is not null").drop("__hot").join(F.broadcast(hot.drop("__hot")), keys, "inner")
+    cold = marked.where("__hot is null").drop("__hot").join(right.where((F.col(count) < least) | F.col(count).isNull()), keys, how)
+    return warm.unionByName(cold)
+
+
+def groups(batches, keys: list[str], most: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of a partition sorted by keys: tables of about `most` rows and the row offsets of their groups."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        held.append(b)
+        count += b.num_rows
+        if count < most:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        at = _group_starts(t, keys)
+        if len(at) > 1:
+            yield t.slice(0, at[-1]), at
+            t, at = t.slice(at[-1]), None
+        held, count = t.to_batches(), t.num_rows
+        if count >= most:  # one group so far: wait for more before looking again
+            count = 0
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield t, np.append(_group_starts(t, keys), t.num_rows)
+
+
+def _group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def fixed_bytes(column, width: int) -> np.ndarray:
+    """A column of equally long binary values as a matrix of bytes."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks)
+    if len(column) == 0:
+        return np.zeros((0, width), np.uint8)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
+
+
+def binary_array(matrix: np.ndarray) -> pa.Array:
+    """Rows of a byte matrix as a binary column."""
+    n, width = matrix.shape
+    data = np.ascontiguousarray(matrix)
+    offsets = np.arange(n + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+class Union:
+    """Union-find over 0 .. n - 1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True

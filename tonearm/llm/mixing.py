@@ -121,3 +121,8 @@ SELECT doc_id, text, lang, source, n_chars, copy,
        / pow(16.0, {DIGITS}) AS shuffle_key
 FROM e
 """
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents repeated to the target weights, in shuffled order."""
+    return mix_sources(docs, copy_col="__copy", key_col="__key").select(*docs.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, secrets, sentencepieces
+import corpus_pipeline
+
+from . import langid, minhash, mixing, secrets, sentencepieces
 
 
 def queries() -> dict:
@@ -10,9 +12,14 @@ def queries() -> dict:
         "op1_secrets": secrets.query,
         "op2_sentencepiece": sentencepieces.query,
         "op5_langid": langid.query,
+        "op8_minhash": minhash.query,
+        "pipeline": corpus_pipeline.run,
         "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE_SQL}
+    sql = {"op10_mixing": mixing.ORACLE_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
