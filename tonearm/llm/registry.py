@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import langid, minhash, mixing, secrets, sentencepieces
+from . import annsearch, langid, minhash, mixing, secrets, sentencepieces, vecdedup
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.query,
         "op2_sentencepiece": sentencepieces.query,
+        "op3_vecdedup": vecdedup.query,
         "op5_langid": langid.query,
+        "op7_ann": annsearch.query,
         "op8_minhash": minhash.query,
         "pipeline": corpus_pipeline.run,
         "op10_mixing": mixing.query,
