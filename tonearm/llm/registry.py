@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import annsearch, langid, minhash, mixing, secrets, sentencepieces, vecdedup
+from . import annsearch, langid, lmscore, minhash, mixing, secrets, sentencepieces, vecdedup
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_secrets": secrets.query,
         "op2_sentencepiece": sentencepieces.query,
         "op3_vecdedup": vecdedup.query,
+        "op4_lmscore": lmscore.query,
         "op5_langid": langid.query,
         "op7_ann": annsearch.query,
         "op8_minhash": minhash.query,
