@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import annsearch, langid, lmscore, minhash, mixing, secrets, sentencepieces, vecdedup
+from . import annsearch, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, vecdedup
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_ann": annsearch.query,
         "op8_minhash": minhash.query,
         "pipeline": corpus_pipeline.run,
+        "op9_quality": quality.query,
         "op10_mixing": mixing.query,
     }
 
