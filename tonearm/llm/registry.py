@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import annsearch, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, vecdedup
+from . import annsearch, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, suffixdedup, vecdedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op3_vecdedup": vecdedup.query,
         "op4_lmscore": lmscore.query,
         "op5_langid": langid.query,
+        "op6_suffixdedup": suffixdedup.query,
         "op7_ann": annsearch.query,
         "op8_minhash": minhash.query,
         "pipeline": corpus_pipeline.run,
