@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Severities, worst first.
 SEVERITIES = ("critical", "error", "warning", "info")
@@ -12,11 +11,9 @@ GRADES = ((80.0, "PASS"), (60.0, "WARN"))
 
 FINDING = "struct<rule_id:string,severity:string,message:string,field:string,actual:string>"
 
-TRACK = T.ArrayType(
-    T.StructType.fromDDL(
-        "isrc string, title string, track_number int, duration_ms bigint, composer string, lyricist string, "
-        "producer string, mix_engineer string, explicit boolean, language string, track_version string, publisher string, artist string"
-    )
+TRACK = (
+    "array<struct<isrc:string,title:string,track_number:int,duration_ms:bigint,composer:string,lyricist:string,"
+    "producer:string,mix_engineer:string,explicit:boolean,language:string,track_version:string,publisher:string,artist:string>>"
 )
 
 #: One release, flat. Empty text and 0 mean "not measured".

@@ -12,7 +12,7 @@ FORMATS = [("xml", ".xml", "application/xml"), ("csv", ".csv", "text/csv"), ("js
 def detect_format(content: Column, name: Column) -> Column:
     """xml, csv or json: by extension, else by the first 512 bytes, else xml."""
     low = F.lower(F.coalesce(name, F.lit("")))
-    head = F.ltrim(F.regexp_replace(F.decode(F.substring(content, 1, 512), "UTF-8"), "^﻿", ""))
+    head = F.ltrim(F.regexp_replace(F.make_valid_utf8(F.substring(content, 1, 512).cast("string")), "^﻿", ""))
     head = F.regexp_replace(head, r"^\s+", "")
     first = F.element_at(F.split(head, "\n"), 1)
     by_name = F.when(F.endswith(low, F.lit(".csv")), "csv").when(F.endswith(low, F.lit(".json")), "json").when(F.endswith(low, F.lit(".xml")), "xml")
