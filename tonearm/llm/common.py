@@ -56,6 +56,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(columns: list[str], added: list[str]) -> list[str]:
+    """Columns that stay beside added ones: an input column with the name of an added one, in any case, gives way to it."""
+    gone = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in gone and not c.startswith("__")]
+
+
+def shielded(docs: DataFrame, known: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
+    """The same columns in order, with all but the known ones under names that clash with nothing; toDF(*names) undoes it."""
+    return docs.toDF(*[c if c in known else f"extra{i}_column" for i, c in enumerate(docs.columns)])
+
+
 def crc_mod(doc_id: str, mod: int):
     """crc32 of the id as text, modulo mod (null ids count as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod

@@ -134,9 +134,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 
 def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score (posterior of the best language) to the kept columns (default: all)."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"lang_pred", "score", "__text", "__letter"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    keep = C.kept(docs.columns if keep is None else keep, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = docs.select(*[f.name for f in fields]).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
@@ -178,4 +176,6 @@ LEAST_SCORE = 0.5
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is not recognised go; the others keep their rows as they are."""
     langs, matrix = fit(docs)
-    return identify(docs, langs, matrix).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    inner = C.shielded(docs)
+    found = identify(inner, langs, matrix).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return found.select(*inner.columns).toDF(*docs.columns)

@@ -263,9 +263,7 @@ def fit(train: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) to the kept columns (default: all)."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"n_tokens", "n_known", "train_tokens", "base_score", "score"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    keep = C.kept(docs.columns if keep is None else keep, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     counts, model.counts = model.counts, None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     model.counts = counts

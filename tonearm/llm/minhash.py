@@ -281,10 +281,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat a kept id, one stays too: the shortest text, then the smallest hash of the row.
     """
+    names, docs = docs.columns, C.shielded(docs)
     result = near_duplicates(docs)
     gone = result.where("not kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti")
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
     order = F.struct(F.length("text"), F.xxhash64(*docs.columns))
     again = rest.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("row.*")).toDF(*names)

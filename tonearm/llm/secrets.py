@@ -24,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|client[_-]?secret|private[_-]?key"
 ASSIGNED = rf"\b(?i:{NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'`,;<>(){{}}|]{{8,}}"
 HEADER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
@@ -34,6 +36,7 @@ BEFORE, AFTER = 64, 32
 THRESHOLD = 0.5
 TREES, DEPTH, SEED, TRAIN_ROWS = 24, 7, 11, 2400
 MARK = "[SECRET]"
+ADDED = ["start", "length", "candidate", "before", "after", "kind", "score", "is_secret"]
 
 #: Words that neighbours or candidates are made of in code and prose: fixed values.
 SECRET_WORDS = "password|passwd|passphrase|pwd|secret|token|api|key|auth|bearer|credential|login|private|access"
@@ -48,9 +51,7 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xo
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row a match: kept columns, start, length, candidate, before, after."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"start", "length", "candidate", "before", "after", "kind"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    keep = C.kept(docs.columns if keep is None else keep, ADDED)
     pattern = F.lit(PATTERN)
     hit = docs.where(F.col(text).rlike(PATTERN)).select(
         *keep, F.split(F.col(text), PATTERN, -1).alias("__gaps"), F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("__hits")
@@ -171,7 +172,7 @@ def fit(labelled: DataFrame) -> PipelineModel:
 
 def scan(docs: DataFrame, model: PipelineModel, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Findings: kept columns, start, length, kind, candidate, score and is_secret."""
-    keep = docs.columns if keep is None else keep
+    keep = C.kept(docs.columns if keep is None else keep, ADDED)
     rows, _ = features(candidates(docs, text, keep))
     judged = model.transform(rows).withColumn("score", F.round(F.element_at(vector_to_array("__p"), 2), 6))
     return judged.select(*keep, "start", "length", "kind", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
@@ -184,9 +185,9 @@ def redact(docs: DataFrame, model: PipelineModel, text: str = "text", doc_id: st
     """
     names = docs.columns
     has = F.coalesce(F.col(text).rlike(PATTERN), F.lit(False))
-    keys = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("__id"), F.xxhash64(text).alias("__h")]
-    found = scan(docs.where(has).select(*keys, F.col(text)), model, text, ["__id", "__h"], threshold).where("is_secret")
-    spans = found.groupBy("__id", "__h").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
+    keys = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("key_id"), F.xxhash64(text).alias("key_text")]
+    found = scan(docs.where(has).select(*keys, F.col(text)), model, text, ["key_id", "key_text"], threshold).where("is_secret")
+    spans = found.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("__spans"))
     gaps = F.transform(
         "__spans",
         lambda s, i: F.substring(
@@ -197,7 +198,7 @@ def redact(docs: DataFrame, model: PipelineModel, text: str = "text", doc_id: st
     )
     last = F.element_at("__spans", -1)
     mended = F.concat(F.array_join(gaps, mark), F.lit(mark), F.substring(F.col(text), last["start"] + last["length"] + 1, F.length(text)))
-    hit = docs.where(has).select("*", *keys).join(spans, ["__id", "__h"], "left")
+    hit = docs.where(has).select("*", *keys).join(spans, ["key_id", "key_text"], "left")
     hit = hit.withColumn(text, F.when(F.col("__spans").isNotNull(), mended).otherwise(F.col(text))).select(*names)
     return docs.where(~has).unionByName(hit)
 
@@ -210,7 +211,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced by a mark, with n_chars counted anew where a text changed."""
-    fixed = redact(docs, fit(labelled_findings(spark)))
+    fixed = redact(C.shielded(docs), fit(labelled_findings(spark)))
     if "n_chars" in docs.columns:
         fixed = fixed.withColumn("n_chars", F.when(F.col("text").contains(MARK), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return fixed.select(*docs.columns)
+    return fixed.toDF(*docs.columns)

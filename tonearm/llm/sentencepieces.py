@@ -316,9 +316,7 @@ def decode_ids(p: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 
 def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
     """Adds n_tokens, ids and round_trip (decoding the ids gives the very text) to the kept columns (default: all)."""
-    keep = docs.columns if keep is None else keep
-    if clash := {"n_tokens", "ids", "round_trip", "__text"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} exist")
+    keep = C.kept(docs.columns if keep is None else keep, ["n_tokens", "ids", "round_trip"])
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(model))  # as large as the model's vocabulary
     kept = docs.select(*keep)
     schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
@@ -348,8 +346,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, m
 
 def decode(tokens: DataFrame, ids: str = "ids", to: str = "decoded", model: str = MODEL) -> DataFrame:
     """Adds the text of an array of ids. A null or empty array, and null or unknown ids, add no text; bytes that aren't UTF-8 become U+FFFD."""
-    if to in tokens.columns:
-        raise ValueError(f"column {to} exists")
+    tokens = tokens.select(*C.kept(tokens.columns, [to]))
     shared = tokens.sparkSession.sparkContext.broadcast(Pieces(model))
     schema = T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())])
     names = tokens.columns
