@@ -7,12 +7,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names up to which a list counts as small enough to broadcast.
 MOST_NAMES = 200_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks of two names, lower-cased and trimmed; 0 if either is empty. No built-in has it."""
 

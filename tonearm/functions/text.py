@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that look like Latin ones, and the Latin ones.
 LOOKALIKE_FROM = "аеорсхуиӏіАВЕКМНОРСТХοαεν"
@@ -35,13 +36,13 @@ GENERIC_TITLE = r"(?i)^(track\s*[0-9]+|untitled\s*[0-9]*|new\s+song\s*[0-9]*|dem
 NUMBERED_TITLE = r"^(.+?)\s+[0-9]+\s*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC, which has no built-in; used only on text that isn't ASCII."""
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     return s.map(lambda x: x if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))

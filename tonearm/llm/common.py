@@ -99,7 +99,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece holds over `most` bytes of text, or a single row: it bounds numpy's temporaries."""
     lengths = np.zeros(batch.num_rows, np.int64)
     if batch.num_rows:

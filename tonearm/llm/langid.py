@@ -28,7 +28,7 @@ SMOOTH = 0.5
 #: n-grams after which evidence no longer sharpens the posterior: neighbouring n-grams overlap and repeat.
 EVIDENCE = 400
 MAX_LANGS = 512
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _FOLD = C.LOWER.copy()
 _FOLD[C.WHITE] = 32

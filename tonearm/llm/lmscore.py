@@ -34,7 +34,7 @@ CONTEXT, DIM, NOISE, MINIBATCH, BATCH = 3, 16, 16, 2048, 8192
 TOP = 1 << 18
 SMOOTH = 0.1
 SAMPLE_DOCS, SAMPLE_EPOCHS, RATE = 500, 4, 0.1
-SLICE = 4 << 20
+SLICE = 2 << 20
 END = C.U64(0xE0D0E0D0E0D0E0D1)
 BLANK = KNOWN_CONTEXTS + OTHER_CONTEXTS  # the context before a text's first token
 

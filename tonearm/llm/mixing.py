@@ -9,7 +9,7 @@ Defined cases: a null source is a source of its own (shown as null; its weight h
 explicit weights, a source without one has weight 0 and leaves; weights that are null, negative or not
 finite raise ValueError, as does a seed that isn't an integer. A null doc_id hashes as the text "null".
 Repeated rows with equal ids get equal counts. Empty tables give empty results. Columns of the input are
-kept as they are; the names of added columns can be given, and a clash raises ValueError.
+kept as they are; the names of added columns can be given, and an input column of such a name gives way.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SEED = 17
 #: Exponent of the default weights: a source's share goes with its documents to this power.
 ALPHA = 0.5
@@ -26,6 +28,8 @@ ALPHA = 0.5
 DIGITS = 12
 #: Tail digits 48 + log2(mean) bits can't reach: the inversion stops after mean + 12 sqrt(mean) + 24 steps.
 MAX_RATE = 600.0
+#: Sources whose rates (one short row each) are broadcast.
+MOST_SOURCES = 50_000
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -76,13 +80,14 @@ def mix_sources(
     """Documents repeated to the target weights in a global order that the seed fixes.
 
     Adds copy_col (from 0) and key_col, by which the result is ordered (then by id and copy). Rates reach
-    the rows by a join on the source; the table has a row a source, so that Spark broadcasts it while small and
-    splits hot sources in a shuffle join beyond that. Rows with no copy leave before the sort.
+    the rows by a join on the source: up to MOST_SOURCES sources they are broadcast, beyond it the join is
+    left to Spark, which splits hot sources. Rows with no copy leave before the sort.
     """
-    if clash := {copy_col, key_col, "__rate"} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} exist; name the added ones otherwise")
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in (copy_col.lower(), key_col.lower())])
     rates = source_rates(docs, weights, alpha, budget, source)
     rates = rates.select(F.col("source").alias("__source"), F.least(F.col("rate"), F.lit(MAX_RATE)).alias("__rate"))
+    if rates.count() <= MOST_SOURCES:
+        rates = F.broadcast(rates)
     count = poisson_count(uniform(seed, F.col(doc_id)), F.col("__rate"))
     return (
         docs.join(rates, docs[source].eqNullSafe(F.col("__source")), "inner")
@@ -125,4 +130,5 @@ FROM e
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents repeated to the target weights, in shuffled order."""
-    return mix_sources(docs, copy_col="__copy", key_col="__key").select(*docs.columns)
+    inner = C.shielded(docs)
+    return mix_sources(inner, copy_col="__copy", key_col="__key").select(*inner.columns).toDF(*docs.columns)

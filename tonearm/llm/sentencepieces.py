@@ -31,7 +31,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 STORE_UNITS = 600_000
 #: Longer units are merged with a heap instead of rounds.
 ROUND_CHARS = 96
-SLICE = 4 << 20
+SLICE = 2 << 20
 MATCH = 1 << 19
 NONE = np.int32(1 << 30)
 

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM = 200, 120
-PIECE = 2 << 20
+PIECE = 1 << 19
 #: Most bytes of one suffix array: its names must fit 21 bits.
-CHUNK = 1_600_000
+CHUNK = 400_000
 #: Unequal stretches of an anchor beyond which they are counted string by string.
 HOT = 4096
 #: Repeated anchors up to which their hashes are broadcast (8 bytes each); beyond it they are joined.

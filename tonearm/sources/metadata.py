@@ -145,12 +145,15 @@ def parse_message(text: str | None) -> dict:
     }
 
 
-@F.pandas_udf(XML_RELEASE)
-def parse_xml(texts: pd.Series) -> pd.DataFrame:
-    """Messages as structs: Spark's own XML functions stop at malformed input and don't tell namespaces."""
+def _parse_series(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_message(t) for t in texts], columns=["error", "namespace", "message_id", "missing", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning", "upcs", "tracks"])
 
 
+def parse_xml(text):
+    """Messages as structs: Spark's own XML functions stop at malformed input and don't tell namespaces."""
+    return F.pandas_udf(_parse_series, XML_RELEASE)(text)
+
+
 def xml_findings(messages: DataFrame, namespace: str | None = None) -> DataFrame:
     """messages: path, m (of parse_xml)."""
     m = lambda name: F.col(f"m.{name}")
