@@ -101,21 +101,29 @@ def duplicate_isrcs(records: DataFrame, row: str = "row_number") -> DataFrame:
 def artist_mismatches(records: DataFrame, releases: DataFrame) -> DataFrame:
     """ISRC-file artists that equal no EAN-file artist but contain one, or are contained: artist and the first such (by row).
 
-    Names share a word if one contains the other at word borders; containment inside a word is found by its trigrams. The
-    join is on the least frequent trigram of the shorter name, so both sides meet by a key.
+    A name that is contained has all its trigrams (itself, if it is shorter) in the other: the join is on the contained
+    name's least frequent one, so both sides meet by a key.
     """
     mine = records.select(F.lower(F.trim("artist")).alias("artist")).where("artist <> ''").distinct()
     theirs = releases.select(F.lower(F.trim("artist")).alias("other"), "row_number").where("other <> ''").groupBy("other").agg(F.min("row_number").alias("row_number"))
     mine = mine.join(theirs, mine["artist"] == theirs["other"], "left_anti")
 
-    def grams(c):
-        return F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+    def pieces(c, n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
 
-    a = mine.select("artist", F.explode(grams(F.col("artist"))).alias("g"))
-    b = theirs.select("other", "row_number", F.explode(grams(F.col("other"))).alias("g"))
-    count = a.select("g").unionByName(b.select("g")).groupBy("g").agg(F.count("*").alias("n"))
+    def own(df, name):
+        c = F.col(name)
+        return df.withColumn("g", F.explode(F.when(F.length(c) < 3, F.array(c)).otherwise(F.array_distinct(pieces(c, 3)))))
+
+    def inside(df, name):
+        c = F.col(name)
+        return df.withColumn("g", F.explode(F.array_distinct(F.concat(pieces(c, 1), pieces(c, 2), pieces(c, 3)))))
+
+    has_a, has_b = inside(mine, "artist"), inside(theirs, "other")
+    count = has_a.select("g").unionByName(has_b.select("g")).groupBy("g").agg(F.count("*").alias("n"))
     rare = lambda df, *keys: df.join(count, "g").groupBy(*keys).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    pairs = rare(a, "artist").join(b, "g").select("artist", "other", "row_number").unionByName(rare(b, "other", "row_number").join(a, "g").select("artist", "other", "row_number"))
+    pairs = rare(own(mine, "artist"), "artist").join(has_b, "g").select("artist", "other", "row_number")
+    pairs = pairs.unionByName(rare(own(theirs, "other"), "other", "row_number").join(has_a, "g").select("artist", "other", "row_number"))
     hit = pairs.where(F.contains("artist", F.col("other")) | F.contains("other", F.col("artist")))
     return hit.groupBy("artist").agg(F.min_by("other", F.struct("row_number", "other")).alias("other"))
 
