@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     groups = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     mixed = groups.where("m > 1 and least = 1")  # others are settled by their counts
     asked = kinds.join(mixed.select("gram", "m"), "gram").select("stretch", "n", "m").dropDuplicates(["stretch"])
-    one = found.select("gram", "stretch", "cnt", "t").join(asked, "stretch").dropDuplicates(["stretch"])
+    # one row a stretch before the join, so that a frequent stretch never meets in a task
+    one = found.select("gram", "stretch", "cnt", "t").dropDuplicates(["stretch"]).join(asked, "stretch")
     one = C.materialise(one, "suffix-mixed")
     calm = one.where(F.col("m") <= HOT).select("gram", "stretch", "cnt", "n", "t").repartition("gram").sortWithinPartitions("gram")
     resolved = calm.mapInArrow(_resolve, "stretch long, i int, j int")
@@ -280,10 +281,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     settled = kinds.where("n > 1").select("stretch", F.lit(0).alias("i"), F.lit(1 << 30).alias("j"))
     marks = C.materialise(resolved.unionByName(hot).unionByName(settled), "suffix-marks")
 
+    # one row a stretch: its runs (no more than its strings) and how often it occurs
+    runs = marks.groupBy("stretch").agg(F.collect_list(F.struct("i", "j")).alias("runs"))
+    runs = runs.join(kinds.groupBy("stretch").agg(F.sum("n").alias("n")), "stretch")
+    placed = C.materialise(found.select("stretch", "k1", "k2", "lo", "cnt").dropDuplicates(["k1", "k2", "lo"]), "suffix-places")
     stops = (
-        found.select("stretch", "k1", "k2", "lo", "cnt")
-        .dropDuplicates(["k1", "k2", "lo"])
-        .join(marks, "stretch")
+        C.join_hot(placed, C.materialise(runs, "suffix-runs"), ["stretch"], "n", max(found.count(), 1))
+        .select("k1", "k2", "lo", "cnt", F.inline("runs"))
         .select("k1", "k2", F.struct((F.col("lo") + F.col("i")).cast("int").alias("i"), (F.col("lo") + F.least("j", "cnt") - 1 + LENGTH).cast("int").alias("j")).alias("s"))
     )
     spans = stops.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans"))  # of one text
