@@ -42,6 +42,34 @@ def test_mixing_meets_weights(spark):
         mixing.mix_sources(docs, {"big": -1.0})
 
 
+def test_mixing_meets_weights_at_high_rates(spark):
+    docs = spark.range(2100).selectExpr("id doc_id", "if(id < 100, 'few', 'many') source", "'t' text")
+    out = mixing.mix_sources(docs, {"few": 1, "many": 1}, budget=400_000)  # 2000 and 100 copies a document
+    got = out.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("c"), F.max("copy").alias("m")).toPandas()
+    assert (got.n == got.c).all() and (got.n == got.m + 1).all()
+    few = got[got.source == "few"].n
+    assert len(few) == 100 and abs(few.sum() - 200_000) < 5 * 200_000**0.5
+    assert 1000 < few.var() < 3500 and len(set(few)) > 30  # a Poisson count varies by its mean
+    assert abs(got[got.source == "many"].n.sum() - 200_000) < 5 * 200_000**0.5
+
+
+def test_mixing_parts_are_the_inverse_poisson(spark):
+    rate, n = 1700.0, 4
+    rows = spark.range(5).select("id", mixing.copies(3, F.col("id"), F.lit(rate)).alias("n")).collect()
+    for r in rows:
+        want = 0
+        for k in range(1, n + 1):
+            u = (int(hashlib.md5(f"3/{k}:{r['id']}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            p = cdf = math.exp(-rate / n)
+            i = 0
+            while u > cdf:
+                i += 1
+                p *= rate / n / i
+                cdf += p
+            want += i
+        assert r["n"] == want
+
+
 def test_mixing_odd_rows(odd, clashing, none):
     assert mixing.mix_sources(none).count() == 0
     out = mixing.mix_sources(odd).collect()

@@ -3,7 +3,9 @@
 Each document is repeated k times, where k inverts a Poisson distribution at a uniform number that is
 hashed from the seed and the document id. The mean is the source's target repetition rate,
 weight * budget / documents of the source, so that expected counts meet the weights without any
-coordination between tasks. The copies are then shuffled globally by a hashed key.
+coordination between tasks. A mean over MAX_RATE is split into equal parts with hashed numbers of their own,
+whose counts are added: sums of independent Poisson counts are Poisson. The copies are then shuffled globally
+by a hashed key.
 
 Defined cases: a null source is a source of its own (shown as null; its weight has the key None); with
 explicit weights, a source without one has weight 0 and leaves; weights that are null, negative or not
@@ -27,14 +29,16 @@ ALPHA = 0.5
 #: Hex digits of the md5 that make the uniform number: 48 bits, exact in a double.
 DIGITS = 12
 #: Tail digits 48 + log2(mean) bits can't reach: the inversion stops after mean + 12 sqrt(mean) + 24 steps.
-MAX_RATE = 600.0
+#: Means over MAX_RATE, where exp(-mean) nears the least double, are split into equal parts of PART_RATE at most.
+MAX_RATE, PART_RATE = 600.0, 500.0
 #: Sources whose rates (one short row each) are broadcast.
 MOST_SOURCES = 50_000
 
 
-def uniform(seed: int, *parts: Column) -> Column:
-    """A number in (0, 1) from an md5 over the seed and the parts."""
-    text = F.concat_ws(":", F.lit(str(int(seed))), *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+def uniform(seed: int | Column, *parts: Column) -> Column:
+    """A number in (0, 1) from an md5 over the seed (an integer, or a column of seed texts) and the parts."""
+    first = seed if isinstance(seed, Column) else F.lit(str(int(seed)))
+    text = F.concat_ws(":", first, *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return (F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
@@ -51,6 +55,14 @@ def poisson_count(u: Column, rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["n"])).otherwise(0)
 
 
+def copies(seed: int, doc_id: Column, rate: Column) -> Column:
+    """The Poisson count of a document at any rate: one inversion up to MAX_RATE, a sum of independent ones beyond."""
+    n = F.ceil(rate / PART_RATE).cast("int")
+    parts = F.transform(F.sequence(F.lit(1), n), lambda k: poisson_count(uniform(F.concat(F.lit(f"{int(seed)}/"), k.cast("string")), doc_id), rate / n))
+    total = F.aggregate(parts, F.lit(0), lambda a, k: a + k)
+    return F.when(rate > MAX_RATE, total).otherwise(poisson_count(uniform(seed, doc_id), rate))
+
+
 def source_rates(docs: DataFrame, weights: dict | None = None, alpha: float = ALPHA, budget: float | None = None, source: str = "source") -> DataFrame:
     """(source, n_docs, weight, rate): one row a source, by one aggregation with map-side counts."""
     counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"))
@@ -85,10 +97,10 @@ def mix_sources(
     """
     docs = docs.select(*[c for c in docs.columns if c.lower() not in (copy_col.lower(), key_col.lower())])
     rates = source_rates(docs, weights, alpha, budget, source)
-    rates = rates.select(F.col("source").alias("__source"), F.least(F.col("rate"), F.lit(MAX_RATE)).alias("__rate"))
+    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
     if rates.count() <= MOST_SOURCES:
         rates = F.broadcast(rates)
-    count = poisson_count(uniform(seed, F.col(doc_id)), F.col("__rate"))
+    count = copies(seed, F.col(doc_id), F.col("__rate"))
     return (
         docs.join(rates, docs[source].eqNullSafe(F.col("__source")), "inner")
         .withColumn("__n", count)
