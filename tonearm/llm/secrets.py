@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are (1) values assigned to a name such as password or token, (2) private-key headers, (3) runs
-of at least 16 token characters with a digit. split() and regexp_extract_all() with the same pattern give the
+Candidates are (1) values assigned to a name that holds a word such as password or token, (2) private keys up to
+their END line, (3) runs of at least 16 token characters with a digit, a known key's prefix or a capital after a
+small letter; other runs, of letters of one case, are taken for words. split() and regexp_extract_all() with the same pattern give the
 text around the matches, so offsets and neighbours come from two passes over texts that match at all. The forest's
 features are the candidate's length, character transitions, dictionary coverage, path marks and neighbouring words;
 it is trained by Spark ML from labelled findings, by default a bounded set written out by a seeded generator.
@@ -27,10 +28,16 @@ from pyspark.sql import functions as F
 from . import common as C
 
 NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth|credential|client[_-]?secret|private[_-]?key"
-ASSIGNED = rf"\b(?i:{NAMES})[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?[^\s\"'`,;<>(){{}}|]{{8,}}"
-HEADER = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-TOKEN = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,60}[0-9])[A-Za-z0-9+/_.-]{16,}={0,2}"
-PATTERN = f"{HEADER}|{ASSIGNED}|{TOKEN}"
+#: Runs of token characters start where none stands before; all looks ahead are possessive, so a run is read once.
+RUN = "[A-Za-z0-9+/_.-]"
+VALUE = r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?!-----BEGIN )[^\s\"'`,;<>(){}|]"
+ASSIGNED = rf"(?={RUN}++[\"']?{VALUE}{{8}}){RUN}*?(?i:{NAMES}){RUN}*+[\"']?{VALUE}{{8,}}"
+KEY_END = r"-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+#: A private key up to its END line, or, where that is missing, with the key lines that follow its header.
+HEADER = rf"-----BEGIN [A-Z ]{{0,20}}PRIVATE KEY(?: BLOCK)?-----(?:[^-]*+(?:-{{1,4}}(?!-)[^-]*+)*+{KEY_END}|(?:\s{{1,4}}[A-Za-z0-9+/=]{{20,}}+)*+)"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|eyJ|AIza|SG[.]|hf_|npm_|-----BEGIN"
+TOKEN = rf"(?=[A-Za-z+/_.-]*+[0-9]|(?:{PREFIXES})|{RUN}*?[a-z][A-Z]){RUN}{{16,}}={{0,2}}"
+PATTERN = f"{HEADER}|(?<!{RUN})(?:{ASSIGNED}|{TOKEN})"
 #: Characters of context on either side.
 BEFORE, AFTER = 64, 32
 THRESHOLD = 0.5
@@ -46,7 +53,6 @@ DICTIONARY = (
     "image|style|script|config|version|build|release|chapter|section|figure|table|report|part|item|list|order|number|date|time|year|month|week|"
     "and|the|for|with|from|this|that|tion|ing|ent|ment|ble|her|ther|tre|que|eau|elle|ung|heit|keit|sch|lich|ver|ber|ción|mente|para|aci|ado|con|est|les|des|der|die|und"
 )
-PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abpr]-|eyJ|AIza|SG[.]|hf_|npm_|-----BEGIN"
 
 
 def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -67,7 +73,7 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         ),
         lambda s: s["out"],
     )
-    whole = F.col("m.h").rlike(f"^(?:{HEADER}|[A-Za-z0-9+/_.-]{{16,}}={{0,2}})$")
+    whole = F.col("m.h").startswith("-----BEGIN ") | F.col("m.h").rlike(f"^{RUN}{{16,}}={{0,2}}$")
     value = F.when(whole, F.col("m.h")).otherwise(F.regexp_extract("m.h", r"[=:][ \t]{0,3}[\"']?([^\s\"']{8,})$", 1))
     lead = F.length("m.h") - F.length("candidate")
     return (
@@ -108,7 +114,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_path": (F.col("before").rlike(r"[/\\.~@-]$") | F.col("after").rlike(r"^[/\\]|^\.[a-z]{2,4}\b") | c.rlike(r"^[/.]|[A-Za-z_]+/[A-Za-z_.]+/")).cast("double"),
         "f_assign": F.col("before").rlike(r"[=:][ \t]*[\"']?$").cast("double"),
         "f_quoted": (F.col("before").rlike(r"[\"'`]$") & F.col("after").rlike(r"^[\"'`]")).cast("double"),
-        "f_secret_word": F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})[^a-z]{{0,24}}$").cast("double"),
+        "f_secret_word": F.col("before").rlike(rf"(?i)(?:{SECRET_WORDS})(?:[_.-][a-z0-9_.-]{{0,40}})?[^a-z]{{0,24}}$").cast("double"),
         "f_benign_word": F.col("before").rlike(rf"(?i)\b(?:{BENIGN_WORDS})\b[^a-z]{{0,12}}$").cast("double"),
         "f_hex": c.rlike("^[0-9a-fA-F]+$").cast("double"),
         "f_number": c.rlike("^[0-9._/+-]+$").cast("double"),
@@ -141,7 +147,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = S
         elif kind < 0.46:
             out.append((r.choice(["AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "sk-" + some(alnum, 40)]), prose() + " ", " " + prose(), 1))
         elif kind < 0.48:
-            out.append((f"-----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----", r.choice([prose() + "\n", ""]), "\n" + some(b64, 24), 1))
+            owner, lines = r.choice(["", "RSA ", "EC "]), "".join("\n" + some(b64, 64) for _ in range(r.randint(0, 24)))
+            out.append((f"-----BEGIN {owner}PRIVATE KEY-----" + (f"{lines}\n-----END {owner}PRIVATE KEY-----" if lines else ""), r.choice([prose() + "\n", ""]), "\n" + prose(), 1))
         elif kind < 0.53:
             out.append((some("0123456789abcdef", r.choice([32, 40, 64])), f"{prose()} {r.choice('commit sha1 sha256 md5 checksum digest etag revision'.split())} {r.choice(['', ': ', '= '])}", " " + prose(), 0))
         elif kind < 0.58:
