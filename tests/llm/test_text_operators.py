@@ -381,6 +381,24 @@ def test_quality_pool_is_a_mean():
     assert np.allclose(got[0], v[bucket[:3]].mean(0)) and (got[1] == 0).all() and at.tolist() == [0, 3, 3, 6] and np.isfinite(shape).all()
 
 
+def test_quality_word_vectors_are_those_of_all_documents(spark, monkeypatch):
+    rows = [(1, "good words here a b"), (2, "bad words there a"), (3, "quokka wombat numbat wombat quokka"), (4, "x"), (5, ""), (None, "emu dingo"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    monkeypatch.setattr(quality, "PIECE", 3)
+    vectors, _ = quality.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id int, quality int"))
+    index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIM))
+    for _, t in rows:
+        bucket = quality.tokens(*C.text_buffer(pa.array([t])))[0]
+        for i, b in enumerate(bucket):
+            for j in range(max(0, i - quality.WINDOW), min(len(bucket), i + quality.WINDOW + 1)):
+                want[b] += index[bucket[j]] if j != i else 0
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(vectors[:, quality.DIM :], want, atol=1e-5)
+    assert (np.linalg.norm(want, axis=1) > 0).sum() >= 12
+    near = quality.beside(index[[5, 6, 7, 8]].astype(np.int8), np.array([0, 0, 0, 1]))
+    assert (near[0] == index[6] + index[7]).all() and (near[3] == 0).all()
+
+
 def test_quality_odd_rows(spark, odd, clashing, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (None, 1), (7, None), (99, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)

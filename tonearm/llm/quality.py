@@ -2,13 +2,12 @@
 
 Tokens are runs of letters (lower-cased), digits or other marks, with a mark for capitals; they are hashed into BUCKETS.
 Every bucket has a sparse random index vector (SPARSE entries of +1 or -1, from the hash). A bucket's word
-vector is the sum of its neighbours' index vectors (WINDOW on either side) over the training texts, scaled
-to length 1, beside its own index vector; a document pools the means of its tokens' vectors, and simple shape
+vector is the sum of its neighbours' index vectors (WINDOW on either side) over all texts, scaled to length 1, beside its own index vector; a document pools the means of its tokens' vectors, and simple shape
 numbers of the text. A network with one hidden layer is trained in numpy with a part of the rows held
 back, on which a temperature is fitted that divides the logit before the sigmoid.
 
-The training rows are a bounded sample (TRAIN_DOCS) of labelled documents, whole texts; neighbour sums are
-added up by tasks into BUCKETS x DIM numbers. Defined cases: null and empty texts have zero vectors and get a score
+The network's training rows are a bounded sample (TRAIN_DOCS) of labelled documents, whole texts; neighbour sums,
+which need no label, are taken over all documents and added up by tasks into BUCKETS x DIM numbers. Defined cases: null and empty texts have zero vectors and get a score
 as any other; labels that are null or not 0 or 1 are left out; repeated labels of a document are averaged
 and count as 1 from one half on; with no label, or with labels of one kind, the score is the smoothed share of
 label 1; rows with equal ids are scored as rows of their own; other columns are not read.
@@ -29,6 +28,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 128, 3e-3, 1e-4
 #: Every HOLD-th training row is held back for the temperature and for stopping.
 HOLD = 5
 SLICE = 2 << 20
+#: Tokens whose neighbour sums are held at once.
+PIECE = 1 << 16
 
 #: Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other mark; bytes of other scripts count as letters.
 KIND = np.full(256, 3, np.uint8)
@@ -114,12 +115,22 @@ def pool(bucket: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (out / np.maximum(np.diff(at), 1)[:, None]).astype(np.float32)
 
 
+def beside(vectors: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """For each token, the sum of its neighbours' vectors in the same row."""
+    out = np.zeros_like(vectors)
+    for d in range(1, min(WINDOW, len(row) - 1) + 1):
+        same = (row[d:] == row[:-d]).astype(vectors.dtype)[:, None]
+        out[:-d] += vectors[d:] * same
+        out[d:] += vectors[:-d] * same
+    return out
+
+
 def word_vectors(texts: DataFrame) -> np.ndarray:
     """Index vectors beside the scaled sums of the neighbours' index vectors: BUCKETS x 2 DIM."""
     index = index_vectors()
 
     def run(batches):
-        index = index_vectors()
+        index = index_vectors().astype(np.int8)
         total = np.zeros((BUCKETS, DIM))
         some = False
         for big in batches:
@@ -127,17 +138,13 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                 bucket, at, _ = tokens(*C.text_buffer(b.column("text")))
                 some |= len(bucket) > 0
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                for d in range(1, WINDOW + 1):
-                    same = np.flatnonzero(row[d:] == row[:-d]) if len(row) > d else np.zeros(0, np.int64)
-                    x, y = bucket[same], bucket[same + d]
-                    for a, c in ((x, y), (y, x)):
-                        pairs, count = np.unique(a.astype(np.int64) * BUCKETS + c, return_counts=True)
-                        who = pairs // BUCKETS
-                        ids, first = C.runs(who)
-                        for k in range(0, len(ids), 4096):
-                            lo = first[k]
-                            hi = first[k + 4096] if k + 4096 < len(first) else len(pairs)
-                            total[ids[k : k + 4096]] += np.add.reduceat(index[pairs[lo:hi] % BUCKETS] * count[lo:hi, None], first[k : k + 4096] - lo, axis=0)
+                for lo in range(0, len(bucket), PIECE):
+                    hi = min(lo + PIECE, len(bucket))
+                    a, z = max(lo - WINDOW, 0), min(hi + WINDOW, len(bucket))
+                    near = beside(index[bucket[a:z]], row[a:z])[lo - a : hi - a]
+                    order = np.argsort(bucket[lo:hi].astype(np.uint16), kind="stable")  # a radix sort
+                    ids, first = C.runs(bucket[lo:hi][order])
+                    total[ids] += np.add.reduceat(near[order], first[: len(ids)], axis=0, dtype=np.int32)
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([total[k * (BUCKETS // 64) : (k + 1) * (BUCKETS // 64)].astype(np.float32).tobytes() for k in range(64)], pa.binary())], ["part", "v"])
 
@@ -234,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = C.bounded_sample(truth.join(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id")).distinct(), "id", "left_semi"), ["id"], train_docs)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")  # at most train_docs ids
     rows = C.materialise(rows.dropDuplicates(["id"]), "quality-train")
-    vectors = word_vectors(rows)
+    vectors = word_vectors(docs.select(F.col(text).alias("text")))
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches):
