@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,33 +12,47 @@ from pyspark.sql import types as T
 from . import common as C
 
 
-def packed(frame: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """id, v: vectors as little-endian bytes (floats or doubles, as given), null where they can't take part.
+def packed(frame: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", kind: str | None = None) -> DataFrame:
+    """id, v: vectors as little-endian bytes (floats or doubles, as given, or of `kind`), null where they can't take part.
 
-    That is: null, zero, or with null or non-finite components, or a length other than the commonest.
+    That is: null, empty, zero, or with null or non-finite components. Vectors of any length take part, each with those
+    of its own length.
     """
-    element = frame.schema[embedding].dataType.elementType
-    width, kind = (4, "<f4") if isinstance(element, T.FloatType) else (8, "<f8")
+    kind = kind or kind_of(frame, embedding)
 
     def pack(batches):
         for b in batches:
-            out = []
-            for x in b.column("x"):
-                x = x.values
-                if x is None or len(x) == 0 or x.null_count:
-                    out.append(None)
-                    continue
-                v = x.to_numpy(zero_copy_only=False).astype(kind)
-                out.append(v.tobytes() if np.isfinite(v).all() and v.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "v"])
-
-    cast = F.col(embedding) if isinstance(element, (T.FloatType, T.DoubleType)) else F.col(embedding).cast("array<double>")
-    rows = C.materialise(frame.select(F.col(vec_id).cast("long").alias("id"), cast.alias("x")).mapInArrow(pack, "id long, v binary"), "vectors")
-    usual = rows.where("v is not null").groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = usual["n"] if usual else width
-    checked = rows.withColumn("v", F.when(F.length("v") == size, F.col("v")))
-    checked._tonearm_dim, checked._tonearm_kind = size // width, kind
-    return checked
+            lists = b.column("x")
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(kind)  # nulls: nan
+            offsets -= offsets[0]
+            size = np.diff(offsets)
+            bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))[offsets]
+            some = np.concatenate(([0], np.cumsum(flat != 0)))[offsets]
+            ok = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(bad) == 0) & (np.diff(some) > 0)
+            data = flat[np.repeat(ok, size)]
+            ends = np.concatenate(([0], np.cumsum(np.where(ok, size, 0)))) * data.itemsize
+            v = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ok), [pa.array(ok).buffers()[1], pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([b.column("id"), v.cast(pa.binary())], ["id", "v"])
+
+    cast = F.col(embedding).cast("array<float>" if kind == "<f4" else "array<double>")
+    return C.materialise(frame.select(F.col(vec_id).cast("long").alias("id"), cast.alias("x")).mapInArrow(pack, "id long, v binary"), "vectors")
+
+
+def kind_of(frame: DataFrame, embedding: str = "embedding") -> str:
+    """Number format of the packed vectors: floats stay floats, all else becomes doubles."""
+    return "<f4" if isinstance(frame.schema[embedding].dataType.elementType, T.FloatType) else "<f8"
+
+
+def usual_size(rows: DataFrame) -> int | None:
+    """The commonest length of the packed vectors, in bytes (ties: the shortest); None without any."""
+    first = rows.where("v is not null").groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return first["n"] if first else None
+
+
+def sizes(column) -> np.ndarray:
+    """Lengths in bytes of a binary column without nulls."""
+    return pc.binary_length(column).to_numpy()
 
 
 def unpack(column, dim: int, kind: str) -> np.ndarray:
