@@ -102,3 +102,47 @@ def test_search_few_and_none(spark):
     empty = few.limit(0)
     assert annsearch.search(empty, empty).count() == 0 and vecdedup.near_duplicates(empty).count() == 0
     assert annsearch.search(few, empty).count() == 0
+
+
+def test_vectors_of_rarer_lengths_meet_their_own_kind(spark, clustered):
+    extra = [(4000, [1.0, 2.0], 0), (4001, [2.0, 4.0], 0), (4050, [1.0, -2.0], 0), (4002, [1.0, 2.0, 0.0], 0), (4100, [1.0, 2.0, 0.1], 0), (4150, [5.0], 0)]
+    table = frame(spark, clustered + extra)
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vecdedup.near_duplicates(table).collect() if r["vec_id"] in {e[0] for e in extra}}
+    assert out == {4000: (1, 4000), 4001: (1, 4000), 4050: (0, 4050), 4002: (1, 4002), 4100: (1, 4002), 4150: (0, 4150)}
+    found = annsearch.search(table, table.where("vec_id % 50 = 0 and vec_id >= 4000")).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in found) == [(4000, 1, 4001), (4000, 2, 4050), (4050, 1, 4000), (4050, 2, 4001), (4100, 1, 4002)]
+
+
+def test_products_are_exact_for_many_components():
+    r = np.random.default_rng(4)
+    for dim in (1024, 1025, 4096):
+        q, p = (np.where(r.random((5, dim)) < 0.99, 127, -127).astype(np.int8) for _ in range(2))
+        assert (vecdedup.products(q.astype(np.float32), p.astype(np.float32)) == q.astype(np.int64) @ p.astype(np.int64).T).all()
+
+
+def test_clashing_columns_and_doubles(spark, clustered):
+    from pyspark.sql import functions as F
+
+    table = frame(spark, clustered[:120])
+    odd = table.select(F.col("vec_id").cast("int"), F.col("embedding").cast("array<double>"), *[F.lit(1).alias(n) for n in ("id", "v", "kept", "rank", "score", "tile", "key", "component_id", "n")])
+    pick = lambda df, *c: sorted(tuple(r[x] for x in c) for r in df.collect())
+    assert pick(vecdedup.near_duplicates(odd), "vec_id", "n_links", "component_id") == pick(vecdedup.near_duplicates(table), "vec_id", "n_links", "component_id")
+    assert pick(annsearch.search(odd, odd.where("vec_id % 50 = 0")), "query_id", "rank") == pick(annsearch.search(table, table.where("vec_id % 50 = 0")), "query_id", "rank")
+
+
+def test_search_visits_few_rows_of_clustered_vectors():
+    r = np.random.default_rng(1)
+    x = r.standard_normal((400, 64))[r.integers(0, 400, 8192)] + 0.35 * r.standard_normal((8192, 64))
+    h = annsearch.fit(x, 5, 50_000)
+    assert h.recall >= annsearch.TARGET and h.visited < 0.2
+    more = annsearch.fit(x, 5, 50_000_000)
+    assert more.visited <= h.visited
+
+
+def test_search_answers_exactly_where_hashing_cannot(spark, clustered, monkeypatch):
+    monkeypatch.setattr(annsearch, "TARGET", 2.0)
+    table = frame(spark, clustered)
+    good = [(i, v / np.linalg.norm(v)) for i, v in valid(clustered)]
+    for r in annsearch.search(table, table.where("vec_id = 50")).where("rank = 1").collect():
+        mine = next(v for i, v in good if i == 50)
+        assert abs(r["score"] - max(float(mine @ v) for i, v in good if i != 50)) < 1e-6
