@@ -331,6 +331,12 @@ def test_lm_base_score_and_counts(spark, sf):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_lm_gains_over_the_base_on_held_out_texts(spark):
+    out = lmscore.query(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    gain = (out.score.sum() - out.base_score.sum()) / out.n_tokens.sum()
+    assert gain > 0.1, gain
+
+
 def test_lm_rare_words_are_joined(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     whole = lmscore.query(spark, sf).select("doc_id", "n_known", "base_score").toPandas().set_index("doc_id")
@@ -339,20 +345,66 @@ def test_lm_rare_words_are_joined(spark, sf, monkeypatch):
     assert (few.n_known == whole.n_known).all() and np.allclose(few.base_score, whole.base_score) and docs.count() == len(few)
 
 
-def test_lm_probabilities_add_up(spark, sf):
+def _suffix(word: bytes) -> np.ndarray:
+    tail = sum((word[-k] if len(word) >= k else 0) << (8 * (k - 1)) for k in (1, 2, 3))
+    return C.mix(np.array([tail], C.U64))
+
+
+def test_lm_probabilities_add_up_over_the_vocabulary(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(80)
     m = lmscore.fit(docs)
-    counts = m.counts.collect()
-    mass = Counter()
-    for r in counts:
-        u = np.array([r["key"]], np.int64).view(C.U64)
-        spot = np.searchsorted(m.top_keys, u[0])
-        own = m.top_own[spot] if spot < len(m.top_keys) and m.top_keys[spot] == u[0] else -1
-        cls = lmscore.OWN if u[0] == lmscore.END else own if own >= 0 else lmscore.OWN + 1 + r["shared"]
-        mass[int(cls)] += 1.0 if cls <= lmscore.OWN else (r["n"] + lmscore.SMOOTH) / (m.class_tokens[cls] + lmscore.SMOOTH * (m.class_words[cls] + 1))
-    for k in range(lmscore.OWN + 1, lmscore.OWN + 1 + lmscore.SHARED):
-        unknown = lmscore.SMOOTH / (m.class_tokens[k] + lmscore.SMOOTH * (m.class_words[k] + 1))
-        assert math.isclose(mass[k] + unknown, 1.0, rel_tol=1e-9)
+    column = docs.select("text").toArrow()["text"]
+    hashes, suffix, _ = lmscore.tokens(column)
+    hashes, where = np.unique(hashes, return_index=True)
+    count, cls, second, _ = m.look_up(hashes, suffix[where])
+    assert len(hashes) == m.words and (count > 0).all()
+    own_words = len({x for x in second.tolist() if x >= 0 and x % lmscore.SECOND < lmscore.WORDS})
+    assert own_words > 500
+    for context in ((0, 1, 2), (lmscore.BLANK,) * 3, (5, lmscore.KNOWN_CONTEXTS + 3, 700)):
+        near = np.tile(np.array(context, np.int32), (len(hashes), 1))
+        known = np.exp(m.log_tokens(count, cls, second, near)).sum()
+        k = np.arange(lmscore.SHARED)
+        places = np.exp(m.log_tokens(np.zeros(len(k)), lmscore.OWN + 1 + k, k * lmscore.SECOND + lmscore.WORDS, near[: len(k)])).sum()
+        assert math.isclose(known + places, 1.0, rel_tol=1e-4)
+
+
+def test_lm_score_equals_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    m = lmscore.fit(docs)
+    counts = {np.array([r["key"]], np.int64).view(C.U64)[0]: r["n"] for r in m.counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(docs, m, keep=["doc_id"]).collect()}
+    exp = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for row in docs.limit(12).collect():
+        total, before = 0.0, [lmscore.BLANK] * 3
+        for w in [*(row["text"] or "").encode().lower().split(), None]:
+            h = lmscore.END if w is None else C.span_hash(C.prefix_hash(np.frombuffer(w, np.uint8)), np.array([0]), np.array([len(w)]))[0]
+            suffix = np.array([lmscore.END]) if w is None else _suffix(w)
+            q = sum(m.r[c].astype(float) * m.c[k] for k, c in enumerate(before))
+            spot = np.searchsorted(m.top_keys, h)
+            here = spot < len(m.top_keys) and m.top_keys[spot] == h
+            own = lmscore.OWN if w is None else int(m.top_own[spot]) if here else -1
+            k = int(suffix[0] % C.U64(lmscore.SHARED))
+            p = exp(m.u[:, :-1] @ q + m.u[:, -1])
+            if own >= 0:
+                total += math.log10(p[own])
+            else:
+                v = m.v[k * lmscore.SECOND : (k + 1) * lmscore.SECOND]
+                s = np.where(m.open_words[k], v[:, :-1] @ q + v[:, -1], -1e30)
+                word = int(m.top_word[spot]) if here else lmscore.WORDS
+                share = (counts.get(h, 0) + 0.1) / (m.rest_tokens[k] + 0.1 * (m.rest_words[k] + 1)) if word == lmscore.WORDS else 1.0
+                total += math.log10(p[lmscore.OWN + 1 + k]) + math.log10(exp(s)[word]) + math.log10(share)
+            context = int(m.top_context[spot]) if here and m.top_context[spot] >= 0 else lmscore.KNOWN_CONTEXTS + int((suffix[0] >> C.U64(32)) % C.U64(lmscore.OTHER_CONTEXTS))
+            before = [context, *before[:2]]
+        assert math.isclose(total, got[row["doc_id"]], rel_tol=1e-4)
+
+
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", 1 << 15)
+    monkeypatch.setattr(lmscore, "SLICE", 1 << 16)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = lmscore.fit(docs.coalesce(1)), lmscore.fit(docs.repartition(7))
+    for x, y in ((a.r, b.r), (a.u, b.u), (a.v, b.v)):
+        assert np.abs(x - y).max() < 1e-4
 
 
 def test_lm_odd_rows(odd, clashing, none):

@@ -36,8 +36,8 @@ CHOICES = ((4, 1.3), (4, 2.0), (8, 1.3), (8, 2.0), (8, 3.0), (12, 1.3), (12, 2.0
 SAMPLE, SAMPLE_QUERIES = 8192, 128
 TARGET = 0.96
 MOST_PROBES = 512
-#: Cost of a probe, in candidates.
-PROBE_COST = 4
+#: Cost of a probe in candidates: it moves a row with its vector through a shuffle, a candidate is a product in a block.
+PROBE_COST = 64
 BLOCK = 4096
 
 
