@@ -49,6 +49,12 @@ def iswc_valid(c: Column) -> Column:
     return c.rlike(ISWC)
 
 
+def release_date(c: Column) -> Column:
+    """A date from YYYY-MM-DD (what follows is left out), or from a year alone, its first day; null for anything else."""
+    raw = F.trim(c)
+    return F.when(F.length(raw) == 4, F.try_to_date(F.concat(raw, F.lit("-01-01")), "yyyy-MM-dd")).otherwise(F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
+
+
 def mmddyy(c: Column) -> Column:
     """Six digits as a date from 2000 on, or null."""
     c = F.trim(c)

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names up to which a list counts as small enough to broadcast.
-MOST_NAMES = 200_000
-
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -29,8 +26,11 @@ def similar_names(left: DataFrame, names: DataFrame, key: str, name: str, known:
 
     Candidates come from an equi-join on deletion neighbourhoods: two strings within k edits share a string that is made by
     deleting at most k characters from each. So no nested-loop join is needed, and the join stays exact and
-    linear in both sides. Beyond two edits, pairs are blocked by length alone.
+    linear in both sides. It works on distinct names, so that a frequent one meets once, and for at most two edits
+    (more would need neighbourhoods of the third power of a name's length).
     """
+    if not 0 <= most <= 2:
+        raise ValueError("most must be 0, 1 or 2")
 
     def neighbours(c):
         n = F.greatest(F.length(c), F.lit(1))
@@ -42,9 +42,9 @@ def similar_names(left: DataFrame, names: DataFrame, key: str, name: str, known:
             out = F.concat(out, layer)
         return F.array_distinct(out)
 
-    a = left.select(key, name).withColumn("__n", F.explode(neighbours(F.col(name))))
-    b = names.select(known, pos).withColumn("__n", F.explode(neighbours(F.col(known))))
-    pairs = a.join(b, "__n").select(key, name, known, pos).distinct()
+    a = left.select(name).distinct().withColumn("__n", F.explode(neighbours(F.col(name))))
+    b = names.groupBy(known).agg(F.min(pos).alias(pos)).withColumn("__n", F.explode(neighbours(F.col(known))))
+    pairs = a.join(b, "__n").select(name, known, pos).distinct()
     near = pairs.withColumn("distance", F.levenshtein(name, known, most)).where((F.col("distance") >= 0) & (F.abs(F.length(name) - F.length(known)) <= length_gap))
-    first = near.groupBy(key, name).agg(F.min_by(F.struct(known, pos, "distance"), pos).alias("m")).select(key, name, "m.*")
-    return first.where("distance > 0")
+    first = near.groupBy(name).agg(F.min_by(F.struct(known, pos, "distance"), pos).alias("m")).select(name, "m.*").where("distance > 0")
+    return left.select(key, name).join(first, name).select(key, name, known, pos, "distance")

@@ -49,8 +49,9 @@ def strip_marks(s: pd.Series) -> pd.Series:
 
 
 def normalize_title(c: Column) -> Column:
-    """Lower case, one blank between words. Apply nfc() before where sources mix Unicode forms."""
-    return F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), r"\s+", " ")
+    """Composed (NFC) lower case, one blank between words. Only text that isn't ASCII goes to Python."""
+    composed = F.coalesce(nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c, F.lit(""))
+    return F.regexp_replace(F.trim(F.lower(composed)), r"\s+", " ")
 
 
 def normalize_artist(c: Column) -> Column:
@@ -75,6 +76,30 @@ def words_found(c: Column, words) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in sorted(words)]), lambda w: F.contains(low, w))
 
 
+def safe_file_name(c: Column) -> Column:
+    """The last part of a path with other characters than letters, digits, dots and dashes as underscores; "upload" if none is left."""
+    name = F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"[^\p{L}\p{N}_.\-]", "_")
+    return F.when(F.coalesce(name, F.lit("")) == "", "upload").otherwise(name)
+
+
+def safe_title(c: Column) -> Column:
+    """A title as part of a file name: at most 60 characters."""
+    return F.substring(F.regexp_replace(F.coalesce(c, F.lit("scan")), r"[^\p{L}\p{N}_\-]", "_"), 1, 60)
+
+
+def url_extension(c: Column) -> Column:
+    """Extension of a URL's file with its dot, at most 6 characters; ".bin" without one."""
+    name = F.regexp_replace(F.rtrim(F.element_at(F.split(c, r"\?"), 1), F.lit("/")), r"^.*/", "")
+    found = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    return F.when((found != "") & (F.length(found) <= 6), found).otherwise(".bin")
+
+
+def data_url_bytes(c: Column) -> Column:
+    """Bytes of a base64 data: URL; null for anything else."""
+    body = F.regexp_extract(c, r"^data:[^,]*;base64,(.*)$", 1)
+    return F.when(body != "", F.try_to_binary(body, F.lit("base64")))
+
+
 def rule_label(c: Column) -> Column:
     """The last part of a rule id in title case."""
     return F.initcap(F.replace(F.element_at(F.split(c, r"\."), -1), F.lit("_"), F.lit(" ")))

@@ -57,28 +57,40 @@ def check_releases(releases: DataFrame, countries: list[str], today: Column, key
 
 
 def check_groups(releases: DataFrame, row: str = "row_number") -> DataFrame:
-    """Findings across rows: key, rule_id, severity, message, affected_rows. Groups meet as aggregates; only row numbers are collected."""
+    """Findings across rows: kind (ean or artist), key, rule_id, severity, message, n_rows and first_row.
+
+    Groups meet as aggregates only, so that a key with many rows stays one row; group_rows() has their members.
+    """
     c = F.col
     artist, title = F.lower(F.trim("artist")), F.lower(F.trim("title"))
     by_ean = releases.where(~I.blank(c("ean"))).groupBy(c("ean").alias("key")).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("affected_rows"),
+        F.lit("ean").alias("kind"), F.count("*").alias("n_rows"), F.min(row).alias("first_row"),
         F.count_distinct(artist).alias("artists"), F.count_distinct(title).alias("titles"), F.count_distinct("title").alias("spellings"),
-    ).where("n > 1")
+    ).where("n_rows > 1")
     given = F.when(~I.blank(c("isni")), F.trim("isni"))
     by_artist = releases.where(~I.blank(c("artist"))).groupBy(artist.alias("key")).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("affected_rows"), F.count(given).alias("with_isni"), F.count_distinct(given).alias("isnis")
-    ).where("n > 1")
-    keys = ["key", "affected_rows"]
+        F.lit("artist").alias("kind"), F.count("*").alias("n_rows"), F.min(row).alias("first_row"), F.count(given).alias("with_isni"), F.count_distinct(given).alias("isnis")
+    ).where("n_rows > 1")
+    keys = ["kind", "key", "n_rows", "first_row"]
     return explode_findings(by_ean, keys, [
-        finding(F.lit(True), "BULK_EAN_DUPLICATE", "critical", F.concat(F.lit("EAN occurs "), c("n"), F.lit(" times")), "ean", c("key")),
+        finding(F.lit(True), "BULK_EAN_DUPLICATE", "critical", F.concat(F.lit("EAN occurs "), c("n_rows"), F.lit(" times")), "ean", c("key")),
         finding(c("artists") > 1, "BULK_ARTIST_INCONSISTENT", "warning", "one EAN, several artists", "artist", c("key")),
         finding((c("titles") > 1) | (c("spellings") > 1), "BULK_TITLE_INCONSISTENT", "warning", F.when(c("titles") > 1, "one EAN, several titles").otherwise("titles differ in case only"), "title", c("key")),
     ]).unionByName(explode_findings(by_artist, keys, [
-        finding((c("with_isni") > 0) & (c("with_isni") < c("n")), "BULK_ISNI_INCONSISTENT", "warning", "artist with and without ISNI", "isni", c("key")),
-        finding((c("with_isni") == c("n")) & (c("isnis") > 1), "BULK_ISNI_CONFLICTING", "critical", "artist with several ISNIs", "isni", c("key")),
+        finding((c("with_isni") > 0) & (c("with_isni") < c("n_rows")), "BULK_ISNI_INCONSISTENT", "warning", "artist with and without ISNI", "isni", c("key")),
+        finding((c("with_isni") == c("n_rows")) & (c("isnis") > 1), "BULK_ISNI_CONFLICTING", "critical", "artist with several ISNIs", "isni", c("key")),
     ]))
 
 
+def group_rows(releases: DataFrame, row: str = "row_number") -> DataFrame:
+    """kind, key and row of each row: members of the groups that check_groups() judges."""
+    kinds = F.array_compact(F.array(
+        F.when(~I.blank(F.col("ean")), F.struct(F.lit("ean").alias("kind"), F.col("ean").alias("key"))),
+        F.when(~I.blank(F.col("artist")), F.struct(F.lit("artist").alias("kind"), F.lower(F.trim("artist")).alias("key"))),
+    ))
+    return releases.select(F.explode(kinds).alias("__g"), row).select("__g.*", row)
+
+
 def check_isrcs(records: DataFrame, countries: list[str], keys: list[str] | None = None) -> DataFrame:
     """Findings of each row of an ISRC file; a missing country is a warning here."""
     c = F.col
@@ -95,7 +107,9 @@ def check_isrcs(records: DataFrame, countries: list[str], keys: list[str] | None
 
 
 def duplicate_isrcs(records: DataFrame, row: str = "row_number") -> DataFrame:
-    return records.where(~I.blank(F.col("isrc"))).groupBy(I.isrc_key(F.col("isrc")).alias("isrc_key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("affected_rows")).where("n > 1")
+    """A row for each record whose ISRC occurs more than once: isrc_key, n (its records) and the record's row."""
+    keyed = records.where(~I.blank(F.col("isrc"))).select(I.isrc_key(F.col("isrc")).alias("isrc_key"), row)
+    return keyed.join(keyed.groupBy("isrc_key").agg(F.count("*").alias("n")).where("n > 1"), "isrc_key").select("isrc_key", "n", row)
 
 
 def artist_mismatches(records: DataFrame, releases: DataFrame) -> DataFrame:
@@ -152,9 +166,27 @@ def artist_variants(history: DataFrame, keys: list[str], artist: str = "artist")
     return g.groupBy(*keys, "artist_normalized").agg(F.count_distinct(artist).alias("n_variants"), F.array_join(F.array_sort(F.collect_set(artist)), "|").alias("variants"), F.count("*").alias("n_rows")).where("n_variants > 1")
 
 
+def artist_variant_findings(current: DataFrame, history: DataFrame) -> DataFrame:
+    """Artists of the current file that history spells in two ways or more: org_id, row_number (their first), ean, and up to four spellings.
+
+    current: org_id, row_number, ean, artist. history: org_id, artist, scan_id and is_demo.
+    """
+    past = history.where(~F.coalesce("is_demo", F.lit(False)) & F.col("scan_id").isNotNull())
+    spelled = past.select("org_id", X.normalize_artist(F.col("artist")).alias("artist_normalized"), "artist").where("artist_normalized <> ''").distinct()
+    groups = spelled.groupBy("org_id", "artist_normalized").agg(F.array_sort(F.collect_set("artist")).alias("__v")).where(F.size("__v") > 1)
+    now = current.withColumn("artist_normalized", X.normalize_artist(F.col("artist"))).groupBy("org_id", "artist_normalized").agg(F.min_by(F.struct("row_number", "ean", "artist"), "row_number").alias("c"))
+    found = now.join(groups, ["org_id", "artist_normalized"])
+    names = F.when(F.array_contains("__v", F.col("c.artist")), F.col("__v")).otherwise(F.array_union(F.array("c.artist"), "__v"))
+    return found.select(
+        "org_id", "c.row_number", "c.ean", "artist_normalized", F.lit("CROSS_CATALOG_ARTIST_VARIANT").alias("rule_id"), F.lit("warning").alias("severity"),
+        F.concat(F.lit("artist is spelled in several ways: "), F.array_join(F.slice(names, 1, 4), " | ")).alias("message"),
+    )
+
+
 def clean_rows(releases: DataFrame, row_issues: DataFrame, group_issues: DataFrame, row: str = "row_number", ean: str = "ean") -> DataFrame:
     """Rows with neither an issue of their own nor one of their EAN."""
-    return releases.join(row_issues.select(row).distinct(), row, "left_anti").join(group_issues.select(F.col("key").alias(ean)).distinct(), ean, "left_anti")
+    shared = group_issues.where("kind = 'ean'").select(F.col("key").alias(ean)).distinct()
+    return releases.join(row_issues.select(row).distinct(), row, "left_anti").join(shared, ean, "left_anti")
 
 
 def first_seen(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -75,9 +75,19 @@ def name_signals(releases: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def velocity(releases: DataFrame, key: str, days: int, at: str = "created_at") -> DataFrame:
-    """Adds n_recent: rows of the key in the `days` up to each row, itself included (a range frame, bounded state)."""
-    w = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-days * 86400, 0)
-    return releases.withColumn("n_recent", F.count("*").over(w))
+    """Adds n_recent: rows of the key in the `days` up to each row, itself included.
+
+    Time is cut into blocks of that length; a row counts in its own block and as history of the next, so that a window
+    holds two blocks of a key at most, not all rows of a large one. Rows without a time count alone.
+    """
+    span = days * 86400
+    names = releases.columns
+    second = F.col(at).cast("timestamp").cast("long")
+    dealt = releases.withColumn("__at", second).withColumn("__block", F.floor(F.col("__at") / span)).withColumn("__later", F.explode(F.array(F.lit(0), F.lit(1))))
+    dealt = dealt.where("__later = 0 or __block is not null").withColumn("__block", F.col("__block") + F.col("__later"))
+    w = Window.partitionBy(key, "__block").orderBy("__at").rangeBetween(-span, 0)
+    counted = dealt.withColumn("n_recent", F.when(F.col("__at").isNull(), 1).otherwise(F.count("*").over(w)).cast("long"))
+    return counted.where("__later = 0").select(*[c for c in names if c != "n_recent"], "n_recent")
 
 
 def velocity_signals(releases: DataFrame, exempt_orgs: list[str] | None = None) -> DataFrame:
@@ -94,13 +104,33 @@ def velocity_signals(releases: DataFrame, exempt_orgs: list[str] | None = None)
 def isrc_conflicts(releases: DataFrame, corpus: DataFrame) -> DataFrame:
     """ISRCs of a release that another release has too. corpus: isrc, release_id."""
     mine = releases.select("release_id", F.explode("isrc_list").alias("i")).select("release_id", I.isrc_key(F.col("i")).alias("isrc")).distinct()
-    theirs = corpus.select(I.isrc_key(F.col("isrc")).alias("isrc"), F.col("release_id").alias("other_id")).distinct()
-    return mine.join(theirs, "isrc").where("release_id <> other_id").groupBy("release_id", "isrc").agg(F.min("other_id").alias("other_id"))
+    theirs = corpus.select(I.isrc_key(F.col("isrc")).alias("isrc"), F.col("release_id").alias("other_id")).where("other_id is not null").distinct()
+    # the two smallest releases of an ISRC answer for all of its releases, so no pairs are made
+    order = Window.partitionBy("isrc").orderBy("other_id")
+    two = theirs.withColumn("__rank", F.row_number().over(order)).where("__rank <= 2").groupBy("isrc").agg(F.min("other_id").alias("lo"), F.max("other_id").alias("hi"))
+    other = F.when(F.col("release_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    return mine.join(two, "isrc").withColumn("other_id", other).where("release_id <> other_id").select("release_id", "isrc", "other_id")
+
+
+def read_known_names(spark, path: str) -> DataFrame:
+    """name and pos of a text file of names, a name a line; blank lines and comments (#) are left out, pos orders the rest."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    return lines.select(F.trim("line").alias("name"), "pos").where("name <> '' and not startswith(name, '#')")
+
+
+def read_definitions(spark, path: str) -> DataFrame:
+    """Signal definitions of a YAML file (a list under `signals`): signal_id, severity, resolution, advisory; of repeated ids the last."""
+    import yaml
+
+    text = spark.read.text(path, wholetext=True).first()  # a configuration file
+    doc = yaml.safe_load(text[0]) if text else {}
+    found = {s["id"]: (s["id"], s.get("severity", "warning"), s.get("resolution", "advisory"), bool(s.get("advisory", True))) for s in (doc or {}).get("signals", [])}
+    return spark.createDataFrame(list(found.values()), "signal_id string, severity string, resolution string, advisory boolean")
 
 
 def with_definitions(signals: DataFrame, definitions: DataFrame) -> DataFrame:
     """Severity, resolution and advisory of each signal; unknown ones are advisory warnings. Hard blocks are never low."""
-    joined = signals.join(F.broadcast(definitions.limit(1000)), "signal_id", "left")
+    joined = signals.join(definitions.dropDuplicates(["signal_id"]), "signal_id", "left")
     hard = F.coalesce(F.col("resolution") == "hard_block", F.lit(False))
     return joined.withColumns(
         {"severity": F.coalesce("severity", F.lit("warning")), "resolution": F.coalesce("resolution", F.lit("advisory")), "advisory": F.coalesce("advisory", F.lit(True)), "confidence": F.when(hard & (F.col("confidence") == "low"), "medium").otherwise(F.col("confidence"))}

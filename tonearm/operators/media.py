@@ -15,7 +15,10 @@ PLATFORMS = {
     "amazon": (["wav", "flac", "aiff", "aif", "alac", "m4a"], 16, 44100, [44100, 48000, 88200, 96000, 192000], -18.0, -9.0, -1.0, 0),
     "tiktok": (["wav", "mp3", "flac", "aac", "m4a", "ogg"], 16, 44100, [44100, 48000], -18.0, -10.0, -1.0, 60),
 }
-CLIPPING_DBTP, MOST_BYTES, LEAST_SIDE, GOOD_SIDE = -1.0, 10 * 1024 * 1024, 3000, 4000
+MOST_BYTES, LEAST_SIDE, GOOD_SIDE = 10 * 1024 * 1024, 3000, 4000
+# Seconds of silence at a start or an end that are still fine, the true peak from which a track counts as clipped.
+MOST_SILENCE, CLIPPING_DBTP = 2.0, -1.0
+MOST_PLATFORMS = 10_000
 
 
 def platform_table(spark, platforms: dict = PLATFORMS) -> DataFrame:
@@ -24,9 +27,10 @@ def platform_table(spark, platforms: dict = PLATFORMS) -> DataFrame:
 
 
 def audio_findings(tracks: DataFrame, platforms: DataFrame, keys: list[str]) -> DataFrame:
-    """Findings by track and platform. The platform table has a row a platform and is broadcast: each track meets each once."""
+    """Findings by track and platform: each track meets each platform once. Up to MOST_PLATFORMS of them are broadcast; beyond it the product is left to Spark."""
     c = F.col
-    both = tracks.crossJoin(F.broadcast(platforms.limit(64)))
+    few = platforms.count() <= MOST_PLATFORMS
+    both = tracks.crossJoin(F.broadcast(platforms) if few else platforms)
     measured = lambda name: F.coalesce(c(name), F.lit(0)) != 0
     return explode_findings(both, [*keys, "platform"], [
         finding(~F.array_contains("formats", F.lower("format")), "format_not_accepted", "critical", "format is not accepted", "format", c("format")),
@@ -40,6 +44,39 @@ def audio_findings(tracks: DataFrame, platforms: DataFrame, keys: list[str]) ->
     ])
 
 
+def measured_findings(tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings by track alone: clipping, and silence at either end. tracks: true_peak, leading_silence and trailing_silence (seconds)."""
+    c = F.col
+    return explode_findings(tracks, keys, [
+        finding(c("true_peak") > CLIPPING_DBTP, "universal.audio.true_peak_clipping", "critical", "true peak is over -1 dBTP", "true_peak", c("true_peak")),
+        finding(c("leading_silence") > MOST_SILENCE, "universal.audio.silence_at_start", "info", "silence at the start", "leading_silence", c("leading_silence")),
+        finding(c("trailing_silence") > MOST_SILENCE, "universal.audio.silence_at_end", "info", "silence at the end", "trailing_silence", c("trailing_silence")),
+    ])
+
+
+# File extensions taken as formats, names that probes give formats, bits of PCM codecs.
+EXTENSIONS = ["wav", "flac", "mp3", "aac", "ogg", "aiff", "aif", "m4a", "alac", "opus"]
+PROBED = {"wav": "wav", "w64": "wav", "flac": "flac", "mp3": "mp3", "mpeg": "mp3", "aac": "aac", "adts": "aac", "ogg": "ogg", "aiff": "aiff", "ipod": "m4a", "opus": "opus"}
+CODEC_BITS = {"pcm_s16le": 16, "pcm_s16be": 16, "pcm_s24le": 24, "pcm_s24be": 24, "pcm_s32le": 32, "pcm_s32be": 32, "pcm_f32le": 32, "pcm_f32be": 32}
+
+
+def _map(values: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def audio_format(file_name: Column, probed: Column) -> Column:
+    """The file's extension if it names a format, else the probe's first name."""
+    extension = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1))
+    first = F.trim(F.element_at(F.split(probed, ","), 1))
+    return F.when(extension.isin(EXTENSIONS), extension).otherwise(F.coalesce(_map(PROBED)[first], first))
+
+
+def bit_depth(per_sample: Column, per_raw_sample: Column, codec: Column) -> Column:
+    """Bits of a sample: as measured, as stored, or as the codec's name tells; null for lossy codecs."""
+    given = lambda c: F.when(c.cast("int") > 0, c.cast("int"))
+    return F.coalesce(given(per_sample), given(per_raw_sample), _map(CODEC_BITS)[F.lower(codec)])
+
+
 def peak_dbfs(samples: Column) -> Column:
     """Sample peak in dB of full scale, two decimals; null for silence or nothing."""
     peak = F.array_max(F.transform(samples, lambda x: F.abs(x.cast("double"))))

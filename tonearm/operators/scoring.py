@@ -73,7 +73,38 @@ def coverage(df: DataFrame, keys: list[str], isni: str = "isni", iswc: str = "is
     return counts.withColumns({"isni_pct": share("with_isni"), "iswc_pct": share("with_iswc")})
 
 
-def affected_rows(issues: DataFrame, row: str = "row_number", rows: str = "affected_rows") -> DataFrame:
-    """Distinct rows with a critical or warning issue, own or shared."""
-    both = F.array_union(F.array_compact(F.array(row)), F.coalesce(F.col(rows), F.array().cast("array<int>")))
-    return issues.where(F.col("severity").isin("critical", "warning")).select(F.explode(both).alias(row)).distinct()
+def issues_by_row(issues: DataFrame, releases: DataFrame, row: str = "row_number") -> DataFrame:
+    """A row for each release row with issues: its fields and its issues, critical ones first."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    by_row = issues.where(F.col(row).isNotNull()).groupBy(row).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "rule_id", "severity", "message"))).alias("issues"))
+    fields = [c for c in ("ean", "artist", "title", "isni", "iswc") if c in releases.columns]
+    out = by_row.join(releases.select(row, *fields).dropDuplicates([row]), row, "left")
+    return out.select(row, *fields, F.transform("issues", lambda i: F.struct(i["severity"].alias("severity"), i["rule_id"].alias("rule_id"), i["message"].alias("message"))).alias("issues"))
+
+
+# Labels of the validated fields, in their order.
+FIELD_LABELS = {
+    "title": "Release Title", "artist": "Artist", "label": "Label", "release_type": "Release Type", "genre": "Genre", "release_date": "Release Date", "upc": "UPC / Barcode",
+    "p_line": "P-Line", "c_line": "C-Line", "parental_warning": "Parental Warning", "territory": "Territory", "publisher": "Publisher",
+}
+
+
+def validated_fields(releases: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, and fields: an array of label, value and format of what isn't empty. tracks: array of structs with title and isrc."""
+    c, text = F.col, lambda label, value: F.when(value.cast("string") != "", F.struct(F.lit(label).alias("label"), F.array(value.cast("string")).alias("value"), F.lit("text").alias("format")))
+    lines = F.transform("tracks", lambda t, i: F.concat_ws(" \u2014 ", F.concat(F.lit("Track "), (i + 1).cast("string")), F.nullif(t["title"], F.lit("")), F.nullif(t["isrc"], F.lit(""))))
+    isrcs = F.array_join(F.filter(F.transform("tracks", lambda t: t["isrc"]), lambda x: x != ""), ", ")
+    made = [text(label, c(name)) for name, label in FIELD_LABELS.items() if name in releases.columns]
+    if "tracks" in releases.columns:
+        some = F.size("tracks") > 0
+        made += [F.when(some, text("Track Count", F.size("tracks"))), text("ISRCs", isrcs), F.when(some, F.struct(F.lit("Tracks").alias("label"), lines.alias("value"), F.lit("list").alias("format")))]
+    if {"artwork_width", "artwork_height"} <= set(releases.columns):
+        made.append(F.when((c("artwork_width") > 0) & (c("artwork_height") > 0), text("Artwork", F.concat(c("artwork_width").cast("string"), F.lit("\u00d7"), c("artwork_height").cast("string"), F.lit(" px")))))
+    return releases.select(*keys, F.array_compact(F.array(*made)).alias("fields"))
+
+
+def affected_rows(row_issues: DataFrame, group_issues: DataFrame, members: DataFrame, row: str = "row_number") -> DataFrame:
+    """Distinct rows with a critical or warning issue, own or shared. members: kind, key and row, as of bulk.group_rows()."""
+    grave = F.col("severity").isin("critical", "warning")
+    shared = members.join(group_issues.where(grave).select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+    return row_issues.where(grave).select(row).where(F.col(row).isNotNull()).unionByName(shared.select(row)).distinct()

@@ -49,7 +49,7 @@ def weekly_submissions(spark, d):
 
 
 def submission_calendar(spark, d):
-    s = T.scans(spark, d).where("release_id % 20 = 0").groupBy(F.to_date(F.date_trunc("week", "created_at")).alias("week_start")).agg(F.count("*").alias("scan_count"), F.count_if(F.col("grade") == "FAIL").alias("failed"))
+    s = T.scans(spark, d).groupBy(F.to_date(F.date_trunc("week", "created_at")).alias("week_start")).agg(F.count("*").alias("scan_count"), F.count_if(F.col("grade") == "FAIL").alias("failed"))
     return A.weekly(s, "1996-01-01", 12).withColumn("week_start", F.date_format("week_start", "yyyy-MM-dd"))
 
 
@@ -68,12 +68,12 @@ _BULK = """b AS (SELECT p_partkey::INT AS row_number, lpad((p_partkey % 900)::VA
 
 
 def group_consistency(spark, d):
-    return B.check_groups(_bulk(spark, d)).select("key", "rule_id", "severity", F.size("affected_rows").cast("long").alias("n_rows"), F.element_at("affected_rows", 1).alias("first_row"))
+    return B.check_groups(_bulk(spark, d)).select("key", "rule_id", "severity", "n_rows", "first_row")
 
 
 def duplicate_keys(spark, d):
     r = T.load(spark, d, "part").select(F.col("p_partkey").cast("int").alias("row_number"), F.concat(F.lit("us-pr1-26-"), F.lpad((F.col("p_partkey") % 1500).cast("string"), 5, "0")).alias("isrc"))
-    return B.duplicate_isrcs(r).select("isrc_key", "n", F.array_join("affected_rows", ",").alias("rows"))
+    return B.duplicate_isrcs(r)
 
 
 def clean_releases(spark, d):
@@ -84,13 +84,14 @@ def clean_releases(spark, d):
 
 
 def affected_rows(spark, d):
-    issues = B.check_groups(_bulk(spark, d)).withColumn("row_number", F.lit(None).cast("int"))
-    return S.affected_rows(issues)
+    b = _bulk(spark, d)
+    own = b.where("isni is null").select("row_number", F.lit("info").alias("severity"))
+    return S.affected_rows(own, B.check_groups(b), B.group_rows(b))
 
 
 def cross_catalogue(spark, d):
     h = T.index(spark, d)
-    now = h.where("scan_id % 5 = 0").select("org_id", "ean", "artist", "title", "isni", "scan_id")
+    now = h.select("org_id", "ean", "artist", "title", "isni", "scan_id")
     now = now.groupBy("org_id", "ean").agg(F.min_by(F.struct("artist", "title", "isni"), "scan_id").alias("r")).select("org_id", "ean", "r.*")
     past = h.select("org_id", "ean", "artist", "title", "isni", F.col("scan_id").alias("first_seen"), F.col("scan_id").cast("string").alias("scan_id"), F.lit(False).alias("is_demo"))
     return B.catalogue_conflicts(now, past).select("org_id", "ean", "rule_id", "severity", "first_seen", "theirs")
@@ -98,7 +99,7 @@ def cross_catalogue(spark, d):
 
 def substring_mismatch(spark, d):
     mine = T.load(spark, d, "customer").select(F.concat(F.lower("c_mktsegment"), F.lit(" and "), (F.col("c_custkey") % 50).cast("string")).alias("artist"))
-    theirs = T.load(spark, d, "customer").where("c_custkey % 7 = 0").select(F.substring("c_mktsegment", 1, 6).alias("artist"), F.col("c_custkey").cast("int").alias("row_number"))
+    theirs = T.load(spark, d, "customer").select(F.col("c_mktsegment").alias("artist"), F.col("c_custkey").cast("int").alias("row_number"))
     return B.artist_mismatches(mine, theirs)
 
 
@@ -120,21 +121,21 @@ QUERIES = {
     "identifier_coverage": (coverage, f"""WITH {_I}, x AS (SELECT org_id, coalesce(isni, '') <> '' AS a, coalesce(iswc, '') <> '' AS b FROM idx), g AS (SELECT org_id, count(*) AS total, count(*) FILTER (WHERE a) AS with_isni, count(*) FILTER (WHERE b) AS with_iswc, count(*) FILTER (WHERE a AND b) AS with_both, count(*) FILTER (WHERE NOT a AND NOT b) AS with_neither FROM x GROUP BY 1)
         SELECT *, round(with_isni * 100.0::DOUBLE / total, 1)::DOUBLE AS isni_pct, round(with_iswc * 100.0::DOUBLE / total, 1)::DOUBLE AS iswc_pct FROM g"""),
     "weekly_submissions": (weekly_submissions, f"""WITH {T.SCANS} SELECT isoyear(created_at)::INT AS iso_year, week(created_at)::INT AS iso_week, strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week_start, count(*) AS scan_count FROM scans GROUP BY ALL"""),
-    "submission_calendar": (submission_calendar, f"""WITH {T.SCANS}, s AS (SELECT date_trunc('week', created_at)::DATE AS w, count(*) AS scan_count, count(*) FILTER (WHERE grade = 'FAIL') AS failed FROM scans WHERE release_id % 20 = 0 GROUP BY 1),
+    "submission_calendar": (submission_calendar, f"""WITH {T.SCANS}, s AS (SELECT date_trunc('week', created_at)::DATE AS w, count(*) AS scan_count, count(*) FILTER (WHERE grade = 'FAIL') AS failed FROM scans GROUP BY 1),
         spine AS (SELECT (DATE '1996-01-01' + (7 * i)::INT) AS w FROM range(12) t(i)) SELECT strftime(w, '%Y-%m-%d') AS week_start, coalesce(scan_count, 0) AS scan_count, coalesce(failed, 0) AS failed FROM spine LEFT JOIN s USING (w)"""),
     "group_consistency": (group_consistency, f"""WITH {_BULK}, {_GROUPS}
         SELECT key, 'BULK_EAN_DUPLICATE' AS rule_id, 'critical' AS severity, n_rows, first_row FROM e UNION ALL SELECT key, 'BULK_ARTIST_INCONSISTENT', 'warning', n_rows, first_row FROM e WHERE a > 1
         UNION ALL SELECT key, 'BULK_TITLE_INCONSISTENT', 'warning', n_rows, first_row FROM e WHERE t > 1 OR sp > 1 UNION ALL SELECT key, 'BULK_ISNI_INCONSISTENT', 'warning', n_rows, first_row FROM ar WHERE w > 0 AND w < n_rows
         UNION ALL SELECT key, 'BULK_ISNI_CONFLICTING', 'critical', n_rows, first_row FROM ar WHERE w = n_rows AND i > 1"""),
     "duplicate_keys": (duplicate_keys, """WITH r AS (SELECT p_partkey::INT AS row_number, 'USPR126' || lpad((p_partkey % 1500)::VARCHAR, 5, '0') AS isrc_key FROM part)
-        SELECT isrc_key, count(*) AS n, string_agg(row_number::VARCHAR, ',' ORDER BY row_number) AS rows FROM r GROUP BY 1 HAVING count(*) > 1"""),
+        SELECT * FROM (SELECT isrc_key, count(*) OVER (PARTITION BY isrc_key) AS n, row_number FROM r) WHERE n > 1"""),
     "clean_releases": (clean_releases, f"""WITH {_BULK}, {_GROUPS} SELECT row_number, ean FROM b WHERE isni IS NOT NULL AND ean NOT IN (SELECT key FROM e WHERE t > 1 OR sp > 1)"""),
     "affected_rows": (affected_rows, f"""WITH {_BULK}, {_GROUPS} SELECT DISTINCT row_number FROM b WHERE ean IN (SELECT key FROM e) OR lower(trim(artist)) IN (SELECT key FROM ar WHERE (w > 0 AND w < n_rows) OR (w = n_rows AND i > 1))"""),
-    "cross_catalog_first_conflict": (cross_catalogue, f"""WITH {_I}, n AS (SELECT * FROM idx WHERE scan_id % 5 = 0 QUALIFY row_number() OVER (PARTITION BY org_id, ean ORDER BY scan_id) = 1),
+    "cross_catalog_first_conflict": (cross_catalogue, f"""WITH {_I}, n AS (SELECT * FROM idx QUALIFY row_number() OVER (PARTITION BY org_id, ean ORDER BY scan_id) = 1),
         j AS (SELECT h.org_id, h.ean, h.scan_id AS first_seen, lower(h.artist) AS ha, lower(n.artist) AS na, lower(h.title) AS ht, lower(n.title) AS nt, nullif(h.isni, '') AS hi, nullif(n.isni, '') AS ni FROM idx h JOIN n USING (org_id, ean)),
         k AS (SELECT org_id, ean, first_seen, 'CROSS_CATALOG_EAN_CONFLICT' AS rule_id, 'critical' AS severity, ha AS theirs FROM j WHERE ha <> na UNION ALL SELECT org_id, ean, first_seen, 'CROSS_CATALOG_TITLE_CONFLICT', 'warning', ht FROM j WHERE ht <> nt
          UNION ALL SELECT org_id, ean, first_seen, 'CROSS_CATALOG_ISNI_CONFLICT', 'critical', hi FROM j WHERE hi <> ni)
         SELECT org_id, ean, rule_id, severity, first_seen, theirs FROM k QUALIFY row_number() OVER (PARTITION BY org_id, ean, rule_id ORDER BY first_seen) = 1"""),
-    "substring_mismatch": (substring_mismatch, """WITH m AS (SELECT DISTINCT lower(c_mktsegment) || ' and ' || (c_custkey % 50) AS artist FROM customer), t AS (SELECT lower(substr(c_mktsegment, 1, 6)) AS other, min(c_custkey) AS r FROM customer WHERE c_custkey % 7 = 0 GROUP BY 1),
+    "substring_mismatch": (substring_mismatch, """WITH m AS (SELECT DISTINCT lower(c_mktsegment) || ' and ' || (c_custkey % 50) AS artist FROM customer), t AS (SELECT lower(c_mktsegment) AS other, min(c_custkey) AS r FROM customer GROUP BY 1),
         x AS (SELECT artist, other, r FROM m JOIN t ON contains(artist, other) OR contains(other, artist) WHERE artist NOT IN (SELECT other FROM t)) SELECT artist, arg_min(other, r) AS other FROM x GROUP BY 1"""),
 }

@@ -39,7 +39,7 @@ def bulk_row_checks(spark, d):
         F.when(k % 4 == 0, F.lit("us")).when(k % 4 == 1, F.lit("ZZ")).when(k % 4 == 2, F.lit("USA")).alias("country_code"), F.when(k % 2 == 0, F.lpad(k.cast("string"), 16, "0")).when(k % 5 == 0, F.lit("000000000000000X")).alias("isni"),
         F.when(k % 2 == 1, F.concat(F.lit("T"), F.lpad(k.cast("string"), 10, "0"))).when(k % 3 == 0, F.lit("T-000.000.001-0")).alias("iswc"),
     )
-    return B.check_releases(rows, ["DE", "ES", "FR", "GB", "US"], F.lit("2010-01-01").cast("date")).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return B.check_releases(rows, ["DE", "ES", "FR", "GB", "US"], F.lit("2010-01-01").cast("date")).select("row_number", "rule_id", "severity")
 
 
 def isrc_format(spark, d):
@@ -54,7 +54,7 @@ def duration_parse(spark, d):
 
 def artist_similarity(spark, d):
     c = T.load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lower(F.regexp_replace("c_name", "#0*", " ")).alias("artist"))
-    known = T.load(spark, d, "supplier").where("s_suppkey <= 40").select(F.concat(F.lit("customer "), (F.col("s_suppkey") * 37).cast("string")).alias("name"), F.col("s_suppkey").alias("pos"))
+    known = T.load(spark, d, "supplier").select(F.concat(F.lit("customer "), (F.col("s_suppkey") * 37).cast("string")).alias("name"), F.col("s_suppkey").alias("pos"))
     return Y.similar_names(c, known, "id", "artist", "name", "pos", 1).select("id", "artist", "name", "distance")
 
 
@@ -92,7 +92,7 @@ def normalize_artist(spark, d):
 
 def isrc_conflicts(spark, d):
     li = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("release_id"), F.concat(F.lit("US-PR1-26-"), F.lpad((F.col("l_partkey") * 7 % 99999).cast("string"), 5, "0")).alias("isrc"))
-    mine = li.where("release_id % 50 = 0").groupBy("release_id").agg(F.collect_list("isrc").alias("isrc_list"))
+    mine = li.groupBy("release_id").agg(F.collect_list("isrc").alias("isrc_list"))
     return D.isrc_conflicts(mine, li)
 
 
@@ -132,14 +132,14 @@ def audio_thresholds(spark, d):
     p = T.load(spark, d, "part")
     k = F.col("p_partkey")
     t = p.select(k, F.when(k % 4 == 0, "wav").when(k % 4 == 1, "mp3").when(k % 4 == 2, "aiff").otherwise("wma").alias("format"), F.when(k % 3 == 0, 44100).when(k % 3 == 1, 48000).otherwise(22050).alias("sample_rate"), F.when(k % 2 == 0, 16).otherwise(8).alias("bit_depth"), (F.col("p_size") / -20.0).cast("double").alias("true_peak"), (F.col("p_size") / -2.0).cast("double").alias("loudness"), (F.col("p_size") * 5).alias("seconds"))
-    return M.audio_findings(t, M.platform_table(spark), ["p_partkey"]).groupBy("platform", "rule_id", "severity").agg(F.count("*").alias("n"))
+    return M.audio_findings(t, M.platform_table(spark), ["p_partkey"]).select("p_partkey", "platform", "rule_id", "severity")
 
 
 def artwork_checks(spark, d):
     p = T.load(spark, d, "part")
     k = F.col("p_partkey")
     art = p.select(k, F.when(k % 4 == 0, "gif").when(k % 4 < 3, "jpeg").alias("format"), (F.col("p_size") * 400000).cast("long").alias("file_size_bytes"), (F.col("p_size") * 100).alias("width"), (F.when(k % 2 == 0, F.col("p_size") * 100).otherwise(3500)).alias("height"), F.when(k % 5 == 0, "CMYK").when(k % 5 == 1, "L").otherwise("RGB").alias("color_mode"), F.when(k % 3 > 0, (k % 400).cast("double")).alias("dpi_x"))
-    return M.artwork_findings(art, ["p_partkey"]).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
+    return M.artwork_findings(art, ["p_partkey"]).select("p_partkey", "rule_id", "severity")
 
 
 def peak_dbfs(spark, d):
@@ -194,12 +194,12 @@ QUERIES = {
     "mmddyy_parse": (mmddyy_parse, """WITH o AS (SELECT o_orderkey, lpad((o_orderkey * 31 % 1000000)::VARCHAR, 6, '0') AS raw FROM orders)
         SELECT o_orderkey, raw, strftime(try_strptime('20' || raw, '20%m%d%y'), '%Y-%m-%d') AS parsed FROM (SELECT o_orderkey, raw FROM o) WHERE true""".replace("try_strptime('20' || raw, '20%m%d%y')", "try_strptime(substr(raw, 1, 4) || '20' || substr(raw, 5, 2), '%m%d%Y')")),
     "label_country_checks": (bulk_row_checks, f"""WITH s AS (SELECT s_suppkey AS k, lpad(s_suppkey::VARCHAR, 13, '0') AS ean, CASE WHEN s_suppkey % 9 > 0 THEN s_name END AS artist, CASE WHEN s_suppkey % 8 > 0 THEN s_name ELSE '  ' END AS title,
-        CASE WHEN s_suppkey % 5 > 0 THEN lpad((s_suppkey * 97 % 130000)::VARCHAR, 6, '0') ELSE '1x2y98' END AS raw FROM supplier), r AS (SELECT *, try_strptime(substr(raw, 1, 4) || '20' || substr(raw, 5, 2), '%m%d%Y')::DATE AS d FROM s), f AS ({_any(_ROW_CHECKS, 'r')})
-        SELECT rule_id, severity, count(*) AS n FROM f GROUP BY ALL"""),
+        CASE WHEN s_suppkey % 5 > 0 THEN lpad((s_suppkey * 97 % 130000)::VARCHAR, 6, '0') ELSE '1x2y98' END AS raw FROM supplier), r AS (SELECT *, try_strptime(substr(raw, 1, 4) || '20' || substr(raw, 5, 2), '%m%d%Y')::DATE AS d FROM s), f AS ({_any(_ROW_CHECKS, 'r', 'k::INT AS row_number, ')})
+        SELECT row_number, rule_id, severity FROM f"""),
     "isrc_format": (isrc_format, """WITH p AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'us-pr1-26-' || lpad(p_partkey::VARCHAR, 5, '0') WHEN 1 THEN 'GBABC' || lpad(p_partkey::VARCHAR, 7, '0') ELSE 'INVALID-ISRC-007' END AS isrc FROM part)
         SELECT p_partkey, isrc, replace(upper(isrc), '-', '') AS isrc_key, regexp_full_match(upper(isrc), '[A-Z]{2}-[A-Z0-9]{3}-[0-9]{2}-[0-9]{5}|[A-Z]{2}[A-Z0-9]{3}[0-9]{7}') AS valid FROM p"""),
     "duration_parse": (duration_parse, "SELECT o_orderkey, ((o_orderkey % 60) * 60 + o_orderkey % 59) * 1000 AS iso_ms, ((o_orderkey % 100) * 60 + o_orderkey % 60) * 1000 AS mmss_ms FROM orders"),
-    "artist_similarity": (artist_similarity, """WITH c AS (SELECT c_custkey AS id, lower(regexp_replace(c_name, '#0*', ' ')) AS artist FROM customer), k AS (SELECT 'customer ' || (s_suppkey * 37) AS name, s_suppkey AS pos FROM supplier WHERE s_suppkey <= 40),
+    "artist_similarity": (artist_similarity, """WITH c AS (SELECT c_custkey AS id, lower(regexp_replace(c_name, '#0*', ' ')) AS artist FROM customer), k AS (SELECT 'customer ' || (s_suppkey * 37) AS name, s_suppkey AS pos FROM supplier),
         m AS (SELECT id, artist, name, levenshtein(artist, name)::INT AS distance, pos FROM c JOIN k ON levenshtein(artist, name) <= 1 QUALIFY row_number() OVER (PARTITION BY id, artist ORDER BY pos) = 1) SELECT id, artist, name, distance FROM m WHERE distance > 0"""),
     "keyword_spam": (keyword_spam, "SELECT conv_id, turn, array_to_string(list_filter(['and', 'ing', 'relax', 'the', 'zen'], lambda w: contains(lower(text), w)), '|') AS found FROM conversations"),
     "generic_titles": (generic_titles, """SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_id % 4 < 2) AS generic, round(count(*) FILTER (WHERE event_id % 4 < 2)::DOUBLE / count(*), 4) AS share FROM events GROUP BY 1"""),
@@ -209,15 +209,15 @@ QUERIES = {
     "homoglyph_fold": (homoglyph_fold, "SELECT c_custkey, c_name AS folded, true AS odd FROM customer"),
     "normalize_artist": (normalize_artist, """SELECT p_partkey, regexp_replace(lower(trim(p_name)), '\\s+', ' ', 'g') || CASE p_partkey % 3 WHEN 0 THEN ' and co' WHEN 1 THEN ' and crew' ELSE '' END AS normalized FROM part"""),
     "isrc_conflicts": (isrc_conflicts, """WITH l AS (SELECT DISTINCT l_orderkey AS release_id, 'USPR126' || lpad((l_partkey * 7 % 99999)::VARCHAR, 5, '0') AS isrc FROM lineitem)
-        SELECT a.release_id, a.isrc, min(b.release_id) AS other_id FROM l a JOIN l b ON a.isrc = b.isrc AND a.release_id <> b.release_id WHERE a.release_id % 50 = 0 GROUP BY ALL"""),
+        SELECT a.release_id, a.isrc, min(b.release_id) AS other_id FROM l a JOIN l b ON a.isrc = b.isrc AND a.release_id <> b.release_id GROUP BY ALL"""),
     "release_velocity_30d": (release_velocity, f"""WITH {T.SCANS} SELECT scan_id AS release_id, count(*) OVER (PARTITION BY release_id ORDER BY created_at RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS n_recent FROM scans"""),
     "fraud_signals": (fraud_signals, None),
     "rule_eval_pass_fail": (rule_eval, f"WITH {_REC} " + " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS rule_id, CASE WHEN {v} THEN 'pass' ELSE 'fail' END AS status FROM r" for k, v in _RULES.items())),
     "rule_eval_skip": (rule_eval_skip, "SELECT p_partkey, 'universal.artwork.no_text_overlay' AS rule_id, 'manual review required' AS message FROM part"),
     "audio_thresholds": (audio_thresholds, f"""WITH {_PLAT}, t AS (SELECT p_partkey, ['wav', 'mp3', 'aiff', 'wma'][(p_partkey % 4)::INT + 1] AS format, [44100, 48000, 22050][(p_partkey % 3)::INT + 1] AS sample_rate, CASE WHEN p_partkey % 2 = 0 THEN 16 ELSE 8 END AS bit_depth,
-        p_size / -20.0::DOUBLE AS true_peak, p_size / -2.0::DOUBLE AS loudness, p_size * 5 AS seconds FROM part), b AS (SELECT * FROM t CROSS JOIN plat), f AS ({_any(_AUDIO, 'b', 'platform, ')}) SELECT platform, rule_id, severity, count(*) AS n FROM f GROUP BY ALL"""),
-    "artwork_checks": (artwork_checks, f"""WITH a AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'gif' WHEN p_partkey % 4 < 3 THEN 'jpeg' END AS format, p_size * 400000 AS bytes, p_size * 100 AS w, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE 3500 END AS h,
-        CASE p_partkey % 5 WHEN 0 THEN 'CMYK' WHEN 1 THEN 'L' ELSE 'RGB' END AS mode, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 400)::DOUBLE END AS dpi FROM part), f AS ({_any(_ART, 'a')}) SELECT rule_id, severity, count(*) AS n FROM f GROUP BY ALL"""),
+        p_size / -20.0::DOUBLE AS true_peak, p_size / -2.0::DOUBLE AS loudness, p_size * 5 AS seconds FROM part), b AS (SELECT * FROM t CROSS JOIN plat), f AS ({_any(_AUDIO, 'b', 'p_partkey, platform, ')}) SELECT p_partkey, platform, rule_id, severity FROM f"""),
+    "artwork_checks": (artwork_checks, f"""WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'gif' WHEN p_partkey % 4 < 3 THEN 'jpeg' END AS format, p_size * 400000 AS bytes, p_size * 100 AS w, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE 3500 END AS h,
+        CASE p_partkey % 5 WHEN 0 THEN 'CMYK' WHEN 1 THEN 'L' ELSE 'RGB' END AS mode, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 400)::DOUBLE END AS dpi FROM part), f AS ({_any(_ART, 'a', 'p_partkey, ')}) SELECT p_partkey, rule_id, severity FROM f"""),
     "peak_dbfs": (peak_dbfs, "SELECT vec_id, round(20 * log10(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))), 2) AS peak FROM embeddings"),
     "rule_label": (rule_label, "SELECT s_suppkey, 'Supplier ' || split_part(s_name, '#', 2) AS label FROM supplier"),
     "sha_keys": (sha_keys, "SELECT doc_id, sha256(text) AS digest, substr(sha256('key' || doc_id), 1, 8) AS prefix FROM documents"),

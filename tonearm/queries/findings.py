@@ -81,7 +81,7 @@ def cross_layer_dedup(spark, d):
     r = T.results(spark, d)
     message = F.when((F.col("layer") == "ddex") & (F.col("partkey") % 5 == 0), "ISRC is malformed").when((F.col("layer") == "metadata") & (F.col("partkey") % 4 == 1), "artwork is too small").when(F.col("layer") == "metadata", "must match ISO 3901").otherwise("other")
     out = O.cross_layer_dedup(r.withColumn("message", message), "scan_id")
-    return out.groupBy("layer", "duplicate").agg(F.count("*").alias("n"))
+    return out.select("scan_id", "line", "layer", "duplicate")
 
 
 def findings_union(spark, d):
@@ -172,7 +172,7 @@ QUERIES = {
     "worst_by_rule": (worst_by_rule, f"""WITH {_R} SELECT rule_id, arg_min(severity, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 2 ELSE 3 END) AS severity, string_agg(DISTINCT layer, '|' ORDER BY layer) AS layers FROM results GROUP BY 1"""),
     "cross_layer_dedup": (cross_layer_dedup, f"""WITH {_R}, m AS (SELECT *, CASE WHEN layer = 'ddex' AND partkey % 5 = 0 THEN 'ISRC is malformed' WHEN layer = 'metadata' AND partkey % 4 = 1 THEN 'artwork is too small' WHEN layer = 'metadata' THEN 'must match ISO 3901' ELSE 'other' END AS message FROM results),
         f AS (SELECT *, bool_or(layer = 'artwork') OVER (PARTITION BY scan_id) AS art, bool_or(layer = 'ddex' AND message LIKE 'ISRC%') OVER (PARTITION BY scan_id) AS bad FROM m)
-        SELECT layer, (layer = 'metadata' AND ((art AND message LIKE 'artwork%') OR (bad AND message LIKE '%ISO 3901%'))) AS duplicate, count(*) AS n FROM f GROUP BY ALL"""),
+        SELECT scan_id, line, layer, (layer = 'metadata' AND ((art AND message LIKE 'artwork%') OR (bad AND message LIKE '%ISO 3901%'))) AS duplicate FROM f"""),
     "findings_union": (findings_union, f"""WITH {_R}, u AS (SELECT 'audio' AS layer, severity, NULL AS rule_id FROM results WHERE layer = 'audio' UNION ALL SELECT 'fraud', severity, rule_id FROM results WHERE layer = 'fraud')
         SELECT layer, severity, count(*) AS n, count(rule_id) AS with_rule FROM u GROUP BY ALL"""),
     "resolve_findings": (resolve_findings, f"""WITH {_R}, {_S}, x AS (SELECT r.severity, r.resolved OR s.grade = 'PASS' AS resolved, CASE WHEN s.grade = 'PASS' THEN 'editor' END AS resolved_by FROM results r JOIN scans s USING (scan_id))

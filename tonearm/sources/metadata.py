@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
@@ -89,8 +90,10 @@ def json_findings(releases: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ XML
 XML_RELEASE = (
     "struct<error:string,namespace:string,message_id:string,missing:array<string>,upc:string,title:string,artist:string,label:string,release_date:string,genre:string,"
-    "c_line:string,p_line:string,parental_warning:string,upcs:array<string>,tracks:array<struct<isrc:string,title:string,duration:string,publisher:string,artist:string>>>"
+    "c_line:string,p_line:string,parental_warning:string,upcs:array<string>,tracks:array<struct<isrc:string,title:string,duration:string,publisher:string,artist:string>>,"
+    "deals:array<struct<release_reference:string,commercial_model:string,start_date:string,end_date:string,territory:string,use_types:array<string>>>,version:string>"
 )
+# Sections and headers that a message must have.
 SECTIONS = ("MessageHeader", "ResourceList", "ReleaseList", "DealList")
 HEADERS = ("MessageId", "MessageSender", "MessageRecipient", "MessageCreatedDateTime")
 
@@ -111,10 +114,29 @@ def _all(node, name):
     return [d for d in node.iter() if _local(d.tag) == name] if node is not None else []
 
 
+def _deal(node) -> dict:
+    """Reference, model, dates, territory and uses of a deal of a release."""
+    terms = next(iter(_all(node, "DealTerms")), None)
+    first = lambda *path: _find(terms, *path) if terms is not None else None
+    return {
+        "release_reference": _find(node, "DealReleaseReference"), "commercial_model": first("CommercialModelType"), "start_date": first("ValidityPeriod", "StartDate"),
+        "end_date": first("ValidityPeriod", "EndDate"), "territory": first("TerritoryCode"), "use_types": [(u.text or "").strip() for u in _all(node, "UseType") if (u.text or "").strip()],
+    }
+
+
+def fill_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Each field filled from the first of its aliases that isn't blank; names of columns compare without case, blanks, dashes and underscores."""
+    plain = lambda s: "".join(x for x in s.lower() if x not in " _-")
+    there = {plain(c): c for c in reversed(df.columns)}
+    given = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+    made = {field: F.coalesce(*[given(there[plain(a)]) for a in [field, *names] if plain(a) in there], F.lit(None).cast("string")) for field, names in aliases.items()}
+    return df.withColumns(made)
+
+
 def parse_message(text: str | None) -> dict:
     """What a release message says. Documents with a DTD are refused, so that no entity is resolved."""
     empty = dict.fromkeys(("error", "namespace", "message_id", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning"))
-    empty |= {"missing": [], "upcs": [], "tracks": []}
+    empty |= {"missing": [], "upcs": [], "tracks": [], "deals": [], "version": None}
     if not (text or "").strip():
         return empty | {"error": "empty"}
     if "<!DOCTYPE" in text or "<!ENTITY" in text:
@@ -141,12 +163,13 @@ def parse_message(text: str | None) -> dict:
         "message_id": _find(root, "MessageId"), "missing": [s for s in (*SECTIONS, *HEADERS) if s not in present],
         "upc": next((v for p in ("ICPN", "UPC") if main is not None and (v := _find(main, p))), None), "title": first(("ReferenceTitle", "TitleText"), ("TitleText",)), "artist": first(("DisplayArtistName",), ("DisplayArtist", "FullName")),
         "label": first(("LabelName",)), "release_date": first(("OriginalReleaseDate",), ("ReleaseDate",), ("GlobalReleaseDate",)), "genre": first(("GenreText",)), "c_line": first(("CLineText",)), "p_line": first(("PLineText",)),
-        "parental_warning": first(("ParentalWarningType",)), "upcs": [(u.text or "").strip() for u in _all(root, "UPC")], "tracks": tracks,
+        "parental_warning": first(("ParentalWarningType",)), "upcs": [(u.text or "").strip() for u in _all(root, "UPC")], "tracks": tracks, "deals": [_deal(d) for d in _all(root, "ReleaseDeal")],
+        "version": next((x for x in (root.get("MessageSchemaVersionId"), root.get("ReleaseProfileVersionId")) if x), None) or (re.search(r"ern/([0-9/]+)", root.tag) or [None, None])[1],
     }
 
 
 def _parse_series(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_message(t) for t in texts], columns=["error", "namespace", "message_id", "missing", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning", "upcs", "tracks"])
+    return pd.DataFrame([parse_message(t) for t in texts], columns=["error", "namespace", "message_id", "missing", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning", "upcs", "tracks", "deals", "version"])
 
 
 def parse_xml(text):
