@@ -458,3 +458,74 @@ def test_quality_odd_rows(spark, odd, clashing, none):
     assert len(out) == clashing.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
     assert quality.score(odd, *quality.fit(none, labels.limit(0))).where("score <> 0.5").count() == 0
     assert quality.score(none, *model).count() == 0
+
+
+def test_quality_network_is_that_of_a_plain_version():
+    r = np.random.default_rng(2)
+    x = r.standard_normal((400, 2 * quality.DIM + quality.SHAPES)).astype(np.float32)
+    y = (x[:, 0] + 0.5 * x[:, -1] + 0.3 * r.standard_normal(400) > 0).astype(np.float32)
+    n = quality.Network(x, y)
+    vectors = r.standard_normal((quality.BUCKETS, 2 * quality.DIM)).astype(np.float32)
+    bucket, at = r.integers(0, quality.BUCKETS, 50), np.array([0, 20, 20, 50])
+    shape = r.standard_normal((3, quality.SHAPES)).astype(np.float32)
+    got = n.predict(quality.pool(bucket, at, n.fold(vectors)), shape)
+    for i in range(3):
+        mine = vectors[bucket[at[i] : at[i + 1]]].astype(float)
+        inputs = np.concatenate((mine.mean(0) if len(mine) else np.zeros(2 * quality.DIM), shape[i]))
+        z = [(v - m) / s for v, m, s in zip(inputs, n.mean, n.spread)]
+        hidden = [math.tanh(sum(z[k] * n.w[0][k, j] for k in range(len(z))) + n.w[1][j]) for j in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, n.w[2])) + float(n.w[3][0])
+        assert math.isclose(got[i], 1 / (1 + math.exp(-logit / n.temperature)), rel_tol=1e-3)
+    held = np.arange(400) % quality.HOLD == 0
+    logit = n._logit((x[held] - n.mean) / n.spread, n.w)
+    assert all(n._loss(logit, y[held], n.temperature) <= n._loss(logit, y[held], t) + 1e-9 for t in (0.3, 0.7, 1.0, 1.5, 3.0, 7.0))
+
+
+# ------------------------------------------------------------------ former caps
+def test_mixing_equals_its_sql_beyond_600_copies(spark, tmp_path):
+    import duckdb
+
+    docs = spark.range(400_000).selectExpr("id doc_id", "'t' text", "'en' lang", "if(id = 77, 'rare', 'common') source", "1L n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = mixing.query(spark, str(tmp_path))
+    assert max(r["rate"] for r in mixing.source_rates(docs).collect()) > 600
+    mine = out.agg(F.count("*"), F.sum("doc_id"), F.sum("copy"), F.count_if(F.col("source") == "rare")).first()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    other = con.execute(f"SELECT count(*), sum(doc_id), sum(copy), count(*) FILTER (WHERE source = 'rare') FROM ({mixing.ORACLE_SQL})").fetchone()
+    assert tuple(mine) == tuple(int(x) for x in other) and mine[3] > 550
+
+
+def test_langid_of_more_than_512_languages(spark):
+    rows = [(i * 2 + k, "".join(chr(97 + (i * 7 + j * (i % 5 + 1)) % 26) for j in range(12)) + f" {i} wort{i}", f"l{i:04d}") for i in range(600) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = langid.fit(docs)
+    assert len(langs) == 600 and matrix.size <= langid.MOST_CELLS
+    out = langid.identify(docs, langs, matrix).toPandas()
+    assert (out.lang == out.lang_pred).mean() > 0.9
+
+
+def test_minhash_links_by_the_text_that_is_meant(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (5, "another text of few words that is alone"), (5, " ".join(words[:58] + ["x"])), (6, " ".join(words[1:]))]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (5, 1), (6, 1)}
+
+
+def test_clashing_columns_of_suffixes_and_minhash(odd, clashing):
+    assert rows_of(suffixdedup.remove_repeats(clashing)) == rows_of(suffixdedup.remove_repeats(odd))
+    pick = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert pick(minhash.near_duplicates(clashing)) == pick(minhash.near_duplicates(odd))
+
+
+def test_a_shared_folder_is_demanded_on_a_cluster():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError):
+        C.shared_dir(Session())

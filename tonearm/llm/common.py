@@ -26,9 +26,11 @@ _TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3  # glibc's numbers of these options
 
 # ---------------------------------------------------------------- shared tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or a local one where unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; on a local master a folder is made where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tonearm-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,9 +51,13 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_tonearm_path", None)
         if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -206,13 +212,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps, each a shuffle by one node with map-side minima. A node's
     neighbours meet only as aggregates and joins, never as a collected list, and each round is written to
-    the shared folder. It ends when a round changes nothing; `rounds` only guards against a fault.
+    the shared folder. Both sides of each join are shuffled by node, so that Spark's skew join splits a node with very many
+    neighbours. It ends when every node has one neighbour, a smallest one, or is one; `rounds` only guards against a fault.
     """
     edges = materialise(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    mark = None
     for _ in range(rounds):
+        ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child"))))
+        roles = edges.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.child").alias("as_child"), F.count("*").alias("n"))
+        if roles.where("as_child > 1 or (as_child > 0 and as_child < n)").isEmpty():
+            break  # stars around their smallest nodes
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -225,11 +235,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             .distinct()
         )
         done = materialise(small, "edges")
-        now = done.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(edges)
-        edges, changed, mark = done, mark is None or tuple(now) != mark, tuple(now)
-        if not changed:
-            break
+        edges = done
     else:
         raise RuntimeError("components did not settle")
     labels = edges.groupBy("u").agg(F.min("v").alias("component_id")).withColumnRenamed("u", "node")

@@ -7,7 +7,7 @@ each batch is scored by gathering its rows and summing by document.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0; ties go to the
 language that sorts first; with no labelled text at all every document is `und`; repeated rows are
-scored alike; columns other than those named are never read. Texts of any length are read whole, in pieces.
+scored alike; beyond EVIDENCE n-grams the evidence is scaled to that number, so the posterior of long texts stays apart from 0 and 1; columns other than those named are never read. Texts of any length are read whole, in pieces.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ TRAIN_DOCS = 24_000
 SMOOTH = 0.5
 #: n-grams after which evidence no longer sharpens the posterior: neighbouring n-grams overlap and repeat.
 EVIDENCE = 400
-MAX_LANGS = 512
+#: Numbers of the matrix that is broadcast: beyond 512 languages, n-grams are hashed into fewer buckets.
+MOST_CELLS = 1 << 24
 PIECE = 1 << 18
 
 _FOLD = C.LOWER.copy()
 _FOLD[C.WHITE] = 32
 
 
-def _grams(raw: np.ndarray):
+def _grams(raw: np.ndarray, bits: int = BITS):
     """Yields (positions, buckets) of each order over one piece of folded bytes."""
     value = C._byte_values[raw]
     h = value.copy()
@@ -43,7 +44,7 @@ def _grams(raw: np.ndarray):
             h = (h[:-1] * C.U64(C.MULT)) + value[n - 1 :] if len(h) else h
         if len(h) == 0:
             return
-        yield n, (((h ^ C.U64(n)) * C.MIX_A) >> C.U64(64 - BITS)).astype(np.int32)
+        yield n, (((h ^ C.U64(n)) * C.MIX_A) >> C.U64(64 - bits)).astype(np.int32)
 
 
 def _pieces(raw: np.ndarray, offsets: np.ndarray):
@@ -75,21 +76,21 @@ def _score(raw: np.ndarray, offsets: np.ndarray, matrix: np.ndarray) -> tuple[np
         last = min(n_rows, int(np.searchsorted(at, min(begin + PIECE, len(text)), side="left")))
         lo = np.clip(at[first:last] - begin, 0, PIECE)
         hi_full = at[first + 1 : last + 1] - begin
-        for n, buckets in _grams(part):
+        for n, buckets in _grams(part, matrix.shape[0].bit_length() - 1):
             hi = np.minimum(np.clip(hi_full - (n - 1), 0, min(PIECE, len(buckets))), len(buckets))
             lo_n = np.minimum(lo, hi)
             out[first:last] += _sum_rows(matrix[buckets], lo_n, hi)
     return out, grams
 
 
-def _count(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, n_langs: int) -> np.ndarray:
+def _count(raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, n_langs: int, bits: int = BITS) -> np.ndarray:
     text, at = _pieces(raw, offsets)
-    counts = np.zeros((n_langs, 1 << BITS), np.int64)
+    counts = np.zeros((n_langs, 1 << bits), np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    size = 1 << BITS
+    size = 1 << bits
     for begin in range(0, len(text), PIECE):
         part, rows = text[begin : begin + PIECE + max(ORDERS) - 1], row[begin : begin + PIECE + max(ORDERS) - 1]
-        for n, buckets in _grams(part):
+        for n, buckets in _grams(part, bits):
             m = min(PIECE, len(buckets))
             same = rows[:m] == rows[n - 1 : n - 1 + m]
             key = label[rows[:m][same]].astype(np.int64) * size + buckets[:m][same]
@@ -106,9 +107,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"))
     spread = C.bounded_sample(rows, ["id", "text"], train_docs)
     sample = C.materialise(spread.select("text", "lang"), "langid-train")
-    langs = sorted(r["lang"] for r in sample.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"over {MAX_LANGS} languages")
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most train_docs
+    bits = min(BITS, (MOST_CELLS // max(len(langs), 1)).bit_length() - 1)
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32)
     index = {x: i for i, x in enumerate(langs)}
@@ -118,17 +118,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         for big in batches:
             for b in C.slices(big, "text"):
                 label = np.array([index[x] for x in b.column("lang").to_pylist()], np.int64)
-                part = _count(*C.text_buffer(b.column("text")), label, len(langs))
+                part = _count(*C.text_buffer(b.column("text")), label, len(langs), bits)
                 total = part if total is None else total + part
         if total is not None:
             at, bucket = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[at, bucket])], ["lang", "bucket", "n"])
 
     found = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(langs), 1 << BITS))
+    counts = np.zeros((len(langs), 1 << bits))
     counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     C.discard(sample)
-    p = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * (1 << BITS))
+    p = (counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * (1 << bits))
     return langs, np.ascontiguousarray(np.log(p).T.astype(np.float32))
 
 

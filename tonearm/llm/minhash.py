@@ -225,17 +225,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
                         sig[i] = packed[k].tobytes()
                         keys[i] = bands[k].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(n), pa.array(h1.view(np.int64), mask=null), pa.array(h2.view(np.int64), mask=null), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "h1", "h2", "sig", "bands"],
+                    [b.column("id"), b.column("x"), pa.array(n), pa.array(h1.view(np.int64), mask=null), pa.array(h2.view(np.int64), mask=null), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "x", "n_shingles", "h1", "h2", "sig", "bands"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    info = C.materialise(rows.mapInArrow(describe, "id long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"), "minhash-info")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("x"))
+    info = C.materialise(rows.mapInArrow(describe, "id long, x long, n_shingles long, h1 long, h2 long, sig binary, bands array<long>"), "minhash-info")
     total = info.count()
     live = info.where("id is not null and h1 is not null")
     classes = C.materialise(live.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "minhash-classes")
     reps = live.join(classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    reps = C.materialise(reps.select("id", "n_shingles", "sig", "bands"), "minhash-reps")
+    reps = C.materialise(reps.select("id", "x", "n_shingles", "sig", "bands"), "minhash-reps")
     n_keys = reps.count() * BANDS
 
     keys = reps.select("id", F.explode("bands").alias("key"))
@@ -256,8 +256,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
                 raw = [value[at[i] : at[i + 1]].tobytes() for i in range(b.num_rows)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("family"), b.column("parts"), b.column("sig"), pa.array(raw, pa.binary())], ["id", "family", "parts", "sig", "shingles"])
 
-    known = member.join(reps.select("id", "sig"), "id")
-    texts = rows.join(known, "id").select("id", "text", "family", "parts", "sig").dropDuplicates(["id"])
+    known = member.join(reps.select("id", "x", "sig"), "id")  # x: of the text that stands for its class
+    texts = rows.join(known, ["id", "x"]).select("id", "x", "text", "family", "parts", "sig").dropDuplicates(["id", "x"])
     blocks = texts.mapInArrow(sets, "id long, family long, parts long, sig binary, shingles binary")
     links = _paired(blocks, "parts", ["family"]).mapInArrow(_confirm(percent, least), "a long, b long")
     found = C.components(links)

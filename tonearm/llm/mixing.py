@@ -121,18 +121,23 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 WITH counts AS (SELECT source, count(*) AS n_docs FROM documents GROUP BY source),
 rates AS (
-  SELECT source, least(pow(n_docs::DOUBLE, {ALPHA}) / sum(pow(n_docs::DOUBLE, {ALPHA})) OVER ()
-         * (sum(n_docs) OVER ())::DOUBLE / n_docs, {MAX_RATE}) AS rate FROM counts),
+  SELECT source, pow(n_docs::DOUBLE, {ALPHA}) / sum(pow(n_docs::DOUBLE, {ALPHA})) OVER ()
+         * (sum(n_docs) OVER ())::DOUBLE / n_docs AS rate FROM counts),
+means AS (
+  SELECT source, CASE WHEN rate > {MAX_RATE} THEN ceil(rate / {PART_RATE})::BIGINT ELSE 1 END AS parts, rate / CASE WHEN rate > {MAX_RATE} THEN ceil(rate / {PART_RATE}) ELSE 1 END AS mean
+  FROM rates),
+d AS (SELECT *, row_number() OVER () AS row FROM documents),
+k AS (SELECT row, d.source, doc_id, parts, mean, unnest(range(1, parts + 1)) AS part FROM d JOIN means m ON d.source IS NOT DISTINCT FROM m.source),
 u AS (
-  SELECT d.*, rate, (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, {DIGITS}))::BIGINT::DOUBLE + 0.5)
+  SELECT row, source, (('0x' || substr(md5('{SEED}' || CASE WHEN parts > 1 THEN '/' || part ELSE '' END || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, {DIGITS}))::BIGINT::DOUBLE + 0.5)
          / pow(16.0, {DIGITS}) AS u
-  FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-ks AS (SELECT unnest(range(0, 700)) AS k),
+  FROM k),
+ks AS (SELECT unnest(range(0, 1000)) AS k),
 cdf AS (
-  SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
-  FROM rates, ks WHERE k <= ceil(rate + 12 * sqrt(rate) + 24)),
-n AS (SELECT u.*, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND u.u > cdf.below) AS n FROM u),
-e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n::BIGINT))::INTEGER AS copy FROM n)
+  SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
+  FROM means, ks WHERE k <= ceil(mean + 12 * sqrt(mean) + 24)),
+n AS (SELECT row, sum((SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM u.source AND u.u > cdf.below)) AS n FROM u GROUP BY row),
+e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n::BIGINT))::INTEGER AS copy FROM d JOIN n USING (row))
 SELECT doc_id, text, lang, source, n_chars, copy,
        (('0x' || substr(md5('{SEED + 1}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, {DIGITS}))::BIGINT::DOUBLE + 0.5)
        / pow(16.0, {DIGITS}) AS shuffle_key

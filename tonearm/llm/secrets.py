@@ -91,6 +91,10 @@ def candidates(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     )
 
 
+#: Characters that candidates are made of, a control character between them.
+MARKS = "\u0001".join(string.ascii_letters + string.digits + string.punctuation)
+
+
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     c, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1))
     low = F.lower(c)
@@ -100,11 +104,11 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         return F.regexp_count(c, F.lit(pattern)) / n
 
     made = {
-        "f_length": F.least(n, F.lit(400)).cast("double"),
+        "f_length": F.log2(n.cast("double")),
         "f_digits": share("[0-9]"),
         "f_upper": share("[A-Z]"),
         "f_marks": share(r"[^A-Za-z0-9]"),
-        "f_distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 200), ""))) / F.least(n, F.lit(200)),
+        "f_distinct": F.aggregate(F.split(F.lit(MARKS), "\u0001"), F.lit(0), lambda s, x: s + F.contains(c, x).cast("int")) / F.least(n, F.lit(64)),
         "f_letter_digit": share("(?=[A-Za-z][0-9]|[0-9][A-Za-z])"),
         "f_case": share("(?=[a-z][A-Z]|[A-Z][a-z])"),
         "f_alternate": share("(?i)(?=[aeiou][bcdfghj-np-tv-z]|[bcdfghj-np-tv-z][aeiou])"),

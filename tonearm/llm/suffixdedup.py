@@ -7,7 +7,8 @@ counted and go on once (a repeated stretch is settled); groups of unequal stretc
 that builds their suffix array by the difference-cover algorithm: triples at positions not divisible by 3 are
 sorted and named, the names are sorted by recursion, the remaining suffixes are merged by the rank after
 them, then neighbours are compared over LENGTH bytes. Recursion stops once names span LENGTH bytes, as longer order
-doesn't matter. Groups over HOT stretches are not gathered: their strings are counted by a hash, one by one.
+doesn't matter. Groups over HOT stretches are not gathered: their strings are counted by two hashes, one by one. Equal
+stretches and strings are told by 128 bits of two unlike hashes each, so that chance matches don't occur at any size.
 
 So the difference-cover sort runs in each task on its anchors' stretches, not once over a global text: a global
 sort of every suffix would shuffle many times the input.
@@ -36,6 +37,8 @@ CHUNK = 400_000
 HOT = 4096
 #: Repeated anchors up to which their hashes are broadcast (8 bytes each); beyond it they are joined.
 MOST_BROADCAST = 4_000_000
+#: What names a stretch: a rolling hash and Spark's own over its bytes, 128 bits together. Strings of hot groups have two as well.
+NAME = ["stretch", "bytes"]
 _LOW = C.U64((1 << 24) - 1)
 
 
@@ -204,23 +207,26 @@ def _resolve(batches):
             flags = repeated_starts(text, starts, np.repeat(part.column("n").to_numpy(), count))
             g, lo, hi = _spans(flags, bounds)
             if len(g):
-                yield pa.RecordBatch.from_arrays([part.column("stretch").to_numpy()[g], pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["stretch", "i", "j"])
+                yield pa.RecordBatch.from_arrays([part.column("stretch").to_numpy()[g], part.column("bytes").to_numpy()[g], pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["stretch", "bytes", "i", "j"])
             a = b
 
 
 def _strings(batches):
-    """Hash of each string of hot groups' stretches."""
+    """Hashes of each string of hot groups' stretches, read forwards and backwards."""
     for b in batches:
         for at in range(0, b.num_rows, 1024):
             part = b.slice(at, 1024)
             size = np.array([len(x.as_buffer()) for x in part.column("t")], np.int64)
             begin = np.cumsum(size) - size
-            prefix = C.prefix_hash(np.frombuffer(b"".join(x.as_buffer() for x in part.column("t")), np.uint8))
+            text = np.frombuffer(b"".join(x.as_buffer() for x in part.column("t")), np.uint8)
+            prefix, back = C.prefix_hash(text), C.prefix_hash(text[::-1])
             count = part.column("cnt").to_numpy().astype(np.int64)
             who = np.repeat(np.arange(len(count)), count)
             place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
             starts = begin[who] + place
-            yield pa.RecordBatch.from_arrays([part.column("stretch").take(pa.array(who)), pa.array(place.astype(np.int32)), pa.array(C.span_hash(prefix, starts, starts + LENGTH).view(np.int64))], ["stretch", "i", "string"])
+            last = len(text) - starts
+            names = pa.array(C.span_hash(prefix, starts, starts + LENGTH).view(np.int64)), pa.array(C.span_hash(back, last - LENGTH, last).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("stretch").take(pa.array(who)), part.column("bytes").take(pa.array(who)), pa.array(place.astype(np.int32)), *names], ["stretch", "bytes", "i", "string", "back"])
 
 
 def _cut(names: list[str]):
@@ -263,30 +269,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         found = long.select("text", "k1", "k2").mapInArrow(_emit(known), schema)
     else:
         found = long.select("text", "k1", "k2").mapInArrow(_emit(None), schema).join(repeated, "gram", "left_semi")
-    found = C.materialise(found, "suffix-stretches")
+    found = C.materialise(found.withColumn("bytes", F.xxhash64("t", "cnt")), "suffix-stretches")
     C.discard(repeated)
 
-    kinds = C.materialise(found.groupBy("gram", "stretch").agg(F.count("*").alias("n")), "suffix-kinds")
+    kinds = C.materialise(found.groupBy("gram", *NAME).agg(F.count("*").alias("n")), "suffix-kinds")
     groups = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least"))
     mixed = groups.where("m > 1 and least = 1")  # others are settled by their counts
-    asked = kinds.join(mixed.select("gram", "m"), "gram").select("stretch", "n", "m").dropDuplicates(["stretch"])
+    asked = kinds.join(mixed.select("gram", "m"), "gram").select(*NAME, "n", "m").dropDuplicates(NAME)
     # one row a stretch before the join, so that a frequent stretch never meets in a task
-    one = found.select("gram", "stretch", "cnt", "t").dropDuplicates(["stretch"]).join(asked, "stretch")
+    one = found.select("gram", *NAME, "cnt", "t").dropDuplicates(NAME).join(asked, NAME)
     one = C.materialise(one, "suffix-mixed")
-    calm = one.where(F.col("m") <= HOT).select("gram", "stretch", "cnt", "n", "t").repartition("gram").sortWithinPartitions("gram")
-    resolved = calm.mapInArrow(_resolve, "stretch long, i int, j int")
-    strings = one.where(F.col("m") > HOT).select("stretch", "cnt", "t").mapInArrow(_strings, "stretch long, i int, string long")
-    twice = strings.groupBy("string").agg(F.count("*").alias("c")).where("c > 1").select("string")
-    hot = strings.join(twice, "string", "left_semi").select("stretch", "i", (F.col("i") + 1).alias("j"))
-    settled = kinds.where("n > 1").select("stretch", F.lit(0).alias("i"), F.lit(1 << 30).alias("j"))
+    calm = one.where(F.col("m") <= HOT).select("gram", *NAME, "cnt", "n", "t").repartition("gram").sortWithinPartitions("gram")
+    resolved = calm.mapInArrow(_resolve, "stretch long, bytes long, i int, j int")
+    strings = one.where(F.col("m") > HOT).select(*NAME, "cnt", "t").mapInArrow(_strings, "stretch long, bytes long, i int, string long, back long")
+    twice = strings.groupBy("string", "back").agg(F.count("*").alias("c")).where("c > 1").select("string", "back")
+    hot = strings.join(twice, ["string", "back"], "left_semi").select(*NAME, "i", (F.col("i") + 1).alias("j"))
+    settled = kinds.where("n > 1").select(*NAME, F.lit(0).alias("i"), F.lit(1 << 30).alias("j"))
     marks = C.materialise(resolved.unionByName(hot).unionByName(settled), "suffix-marks")
 
     # one row a stretch: its runs (no more than its strings) and how often it occurs
-    runs = marks.groupBy("stretch").agg(F.collect_list(F.struct("i", "j")).alias("runs"))
-    runs = runs.join(kinds.groupBy("stretch").agg(F.sum("n").alias("n")), "stretch")
-    placed = C.materialise(found.select("stretch", "k1", "k2", "lo", "cnt").dropDuplicates(["k1", "k2", "lo"]), "suffix-places")
+    runs = marks.groupBy(*NAME).agg(F.collect_list(F.struct("i", "j")).alias("runs"))
+    runs = runs.join(kinds.groupBy(*NAME).agg(F.sum("n").alias("n")), NAME)
+    placed = C.materialise(found.select(*NAME, "k1", "k2", "lo", "cnt").dropDuplicates(["k1", "k2", "lo"]), "suffix-places")
     stops = (
-        C.join_hot(placed, C.materialise(runs, "suffix-runs"), ["stretch"], "n", max(found.count(), 1))
+        C.join_hot(placed, C.materialise(runs, "suffix-runs"), NAME, "n", max(found.count(), 1))
         .select("k1", "k2", "lo", "cnt", F.inline("runs"))
         .select("k1", "k2", F.struct((F.col("lo") + F.col("i")).cast("int").alias("i"), (F.col("lo") + F.least("j", "cnt") - 1 + LENGTH).cast("int").alias("j")).alias("s"))
     )
