@@ -32,4 +32,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:  # the table before is read no more
+                common.delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
