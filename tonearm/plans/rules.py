@@ -326,7 +326,7 @@ def run_handlers(df: DataFrame, rule_ids: list[str], keys: list[str]) -> DataFra
     return df.select(*keys, F.explode(F.array(*results)).alias("r")).select(*keys, "r.*")
 
 
-#: A basic rule set; load_rules() reads others.
+#: A basic rule set; load_rules() reads others. Ids, severities and checks.
 BASIC_RULES = [
     Rule("universal.metadata.upc_format", r"regex_match(metadata.upc, '^[0-9]{12,13}$')", "critical", "UPC has 12 or 13 digits"),
     Rule("universal.metadata.isrc_present", "len(metadata.isrc_list) > 0", "critical", "there is an ISRC"),

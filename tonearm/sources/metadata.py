@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..operators.findings import explode_findings, finding
 
+# Columns of metadata files.
 REQUIRED = ("release_title", "artist_name", "upc", "release_date", "label_name", "isrc", "track_title", "track_number", "duration")
 OPTIONAL = (
     "release_type", "genre", "parental_warning", "c_line", "p_line", "territory", "commercial_model", "use_type", "start_date", "end_date",
