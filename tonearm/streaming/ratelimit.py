@@ -28,7 +28,7 @@ def decide(times: list[float], limit: int, seconds: float, held: list[float] = (
 
 
 def limit_batch(events: DataFrame, key: str, at: str, tie: str, limit: int, seconds: int = SECONDS) -> DataFrame:
-    """All events of a table with `allowed`. A partition's rows, sorted by key and time, pass by as a stream: only a key's log is held."""
+    """All events of a table with `allowed`. A partition's rows, sorted by key and time, pass by as a stream: only a key's log is held. A null key is a key."""
     schema = events.select(key, at, tie).withColumn("allowed", F.lit(True)).schema
     ordered = events.select(key, at, tie).repartition(key).sortWithinPartitions(key, at, tie)
 
@@ -36,8 +36,8 @@ def limit_batch(events: DataFrame, key: str, at: str, tie: str, limit: int, seco
         last, log = None, []
         for pdf in batches:
             out = []
-            for k, g in pdf.groupby(key, sort=False):
-                if k != last:
+            for k, g in pdf.groupby(key, sort=False, dropna=False):
+                if k != last and not (pd.isna(k) and last is not None and pd.isna(last)):
                     last, log = k, []
                 allowed, log = decide((g[at].astype("int64") / 1e9 if g[at].dtype == "datetime64[ns]" else g[at].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), limit, seconds, log)
                 out.append(g.assign(allowed=allowed))
