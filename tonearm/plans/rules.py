@@ -8,6 +8,8 @@ rule is compiled; such a rule fails for each record with the reason. A rule with
 from __future__ import annotations
 
 import ast
+import json
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -152,7 +154,9 @@ class Compiler:
 
     def compile(self, text: str) -> Column:
         try:
-            tree = ast.parse(text, mode="eval")
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", SyntaxWarning)  # patterns hold escapes such as \\d
+                tree = ast.parse(text, mode="eval")
         except SyntaxError as e:
             raise RuleError(f"syntax: {e.msg}") from e
         # the first field in breadth-first order is the value that a result shows
@@ -262,27 +266,52 @@ def select_rules(rules: list[Rule], platforms=DEFAULT_PLATFORMS, layer: str | No
     return [r for r in by_id.values() if (r.active or not active_only) and (r.platform is None or r.platform in platforms) and layer in (None, r.layer)]
 
 
+#: What a result tells of its rule alone.
+_OF_RULE = "array<struct<rule_id:string,severity:string,message:string,fix_hint:string,platform:string>>"
+
+
 def evaluate(records: DataFrame, rules: list[Rule], keys: list[str], platforms=DEFAULT_PLATFORMS, fields: dict[str, str] | None = None) -> DataFrame:
-    """A row for each record and rule: rule_id, severity, status (pass, fail, skip), message and the value checked."""
+    """A row for each record and rule: rule_id, severity, status (pass, fail, skip), message and the value checked.
+
+    Rules often share a check, so each check is compiled once. What doesn't depend on the record is one constant, looked
+    up by the rule's place.
+    """
     fields = fields or RELEASE_FIELDS
-    results = []
+    compiled: dict[str, tuple[Column, str | None]] = {}
+    verdicts, of_rule = [], []
+
+    def verdict(check: str) -> tuple[Column, str | None]:
+        """Status and value of a check as one struct, and why it was refused, if it was."""
+        c, refused = Compiler(fields), None
+        value = F.lit(None).cast("string")
+        try:
+            status = F.when(c.compile(check), "pass").otherwise("fail")
+            if c.first_field in fields:
+                value = F.col(c.first_field).cast("string")
+        except RuleError as e:
+            status, refused = F.lit("fail"), f"expression error: {e}"
+        return F.struct(status.alias("status"), value.alias("checked_value")), refused
+
+    skipped = F.struct(F.lit("skip").alias("status"), F.lit(None).cast("string").alias("checked_value"))
     for r in select_rules(rules, platforms):
         severity = r.severity if r.severity in SEVERITIES and r.severity != "error" else "warning"
-        value, message = F.lit(None).cast("string"), F.lit(r.title or r.id)
+        message = r.title or r.id
         if not (r.check or "").strip():
-            status, message = F.lit("skip"), F.lit("manual review required")
+            verdicts.append(skipped)
+            message = "manual review required"
         else:
-            c = Compiler(fields)
-            try:
-                status = F.when(c.compile(r.check), "pass").otherwise("fail")
-                if c.first_field in fields:
-                    value = F.col(c.first_field).cast("string")
-            except RuleError as e:
-                status, message = F.lit("fail"), F.lit(f"expression error: {e}")
-        results.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(severity).alias("severity"), status.alias("status"), message.alias("message"), F.lit(r.fix_hint).alias("fix_hint"), value.alias("checked_value"), F.lit(r.platform).cast("string").alias("platform")))
-    if not results:
-        return records.select(*keys).limit(0)
-    return records.select(*keys, F.explode(F.array(*results)).alias("r")).select(*keys, "r.*")
+            if r.check not in compiled:
+                compiled[r.check] = verdict(r.check)
+            one, refused = compiled[r.check]
+            verdicts.append(one)
+            message = refused or message
+        of_rule.append({"rule_id": r.id, "severity": severity, "message": message, "fix_hint": r.fix_hint, "platform": r.platform})
+    if not verdicts:
+        verdicts = [skipped]
+        records = records.limit(0)
+    known = F.from_json(F.lit(json.dumps(of_rule)), _OF_RULE)
+    rows = records.select(*keys, F.posexplode(F.array(*verdicts)).alias("__at", "__v")).withColumn("__r", F.get(known, F.col("__at")))
+    return rows.select(*keys, "__r.rule_id", "__r.severity", "__v.status", "__r.message", "__r.fix_hint", "__v.checked_value", "__r.platform")
 
 
 def load_rules(folder: str) -> list[Rule]:
@@ -324,25 +353,3 @@ def run_handlers(df: DataFrame, rule_ids: list[str], keys: list[str]) -> DataFra
         passed = F.coalesce(f(df), F.lit(False)) if f else F.lit(False)
         results.append(F.struct(F.lit(rule_id).alias("rule_id"), passed.alias("passed"), F.lit("" if f else "not yet implemented").alias("message")))
     return df.select(*keys, F.explode(F.array(*results)).alias("r")).select(*keys, "r.*")
-
-
-#: A basic rule set; load_rules() reads others. Ids, severities and checks.
-BASIC_RULES = [
-    Rule("universal.metadata.upc_format", r"regex_match(metadata.upc, '^[0-9]{12,13}$')", "critical", "UPC has 12 or 13 digits"),
-    Rule("universal.metadata.isrc_present", "len(metadata.isrc_list) > 0", "critical", "there is an ISRC"),
-    Rule("universal.metadata.isrc_format", r"all_items_match(metadata.isrc_list, '^[A-Z]{2}-?[A-Z0-9]{3}-?[0-9]{2}-?[0-9]{5}$')", "critical", "ISRCs have their form"),
-    Rule("universal.metadata.isrc_unique", "no_duplicates(metadata.isrc_list)", "critical", "no ISRC occurs twice"),
-    Rule("universal.metadata.release_title_required", "has_value(metadata.title)", "critical", "there is a title"),
-    Rule("universal.metadata.artist_name_required", "has_value(metadata.artist)", "critical", "there is an artist"),
-    Rule("universal.metadata.genre_required", "has_value(metadata.genre)", "warning", "there is a genre"),
-    Rule("universal.metadata.label_required", "has_value(metadata.label)", "critical", "there is a label"),
-    Rule("universal.metadata.release_date_format", r"metadata.release_date == '' or regex_match(metadata.release_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')", "error", "date is YYYY-MM-DD"),
-    Rule("universal.audio.sample_rate_minimum", "metadata.sample_rate == 0 or metadata.sample_rate >= 44100", "critical", "sample rate is 44.1 kHz or more"),
-    Rule("universal.artwork.minimum_resolution", "metadata.artwork_width == 0 or (metadata.artwork_width >= 3000 and metadata.artwork_height >= 3000)", "critical", "artwork has 3000 pixels a side"),
-    Rule("universal.artwork.must_be_square", "metadata.artwork_width == 0 or metadata.artwork_width == metadata.artwork_height", "critical", "artwork is square"),
-    Rule("universal.artwork.format_must_be_jpeg_or_png", "metadata.artwork_format == '' or metadata.artwork_format in ['jpeg', 'png']", "critical", "artwork is JPEG or PNG"),
-    Rule("universal.artwork.no_text_overlay", None, "warning", "artwork has no text"),
-    Rule("spotify.audio.true_peak_limit", "metadata.true_peak_dbtp == 0.0 or metadata.true_peak_dbtp <= -1.0", "critical", "true peak is -1 dBTP at most", "spotify", "audio"),
-    Rule("spotify.metadata.track_title_no_version_in_main", "not contains(metadata.title, '(feat.') and not contains(metadata.title, '(Live)') and not contains(metadata.title, '(Remix)')", "warning", "title has no version", "spotify"),
-    Rule("apple.metadata.preorder_before_release", "metadata.preorder_date == '' or metadata.preorder_date < metadata.release_date", "warning", "preorder comes before release", "apple"),
-]

@@ -11,6 +11,7 @@ from ..operators import bulk as B
 from ..operators import fraud as D
 from ..operators import media as M
 from ..plans import rules as R
+from ..plans.ruleset import RULES
 from ..schema import with_release_defaults
 from . import tables as T
 
@@ -106,26 +107,34 @@ def fraud_signals(spark, d):
     track = F.struct("l_linenumber", F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.lit("Rain Sounds "), F.col("l_linenumber").cast("string"))).otherwise(F.col("l_shipdate").cast("string")).alias("title"), (F.col("l_quantity") * 10000).cast("long").alias("duration_ms"), F.when(F.col("l_orderkey") % 3 > 0, F.lit("someone")).alias("composer"))
     rel = li.groupBy(F.col("l_orderkey").alias("release_id")).agg(F.array_sort(F.collect_list(track)).alias("tracks"))
     rel = rel.select("release_id", "tracks", F.when(F.col("release_id") % 2 == 0, "Deep Sleep Lab").otherwise("Anna").alias("artist"), F.when(F.col("release_id") % 5 == 0, "Calm Nights").otherwise("Songs").alias("title"), F.when(F.col("release_id") % 7 == 0, "made with Suno").alias("publisher"), F.lit(None).cast("string").alias("iswc"))
-    return D.lone_signals(rel).groupBy("signal_id", "confidence").agg(F.count("*").alias("n"))
+    return D.lone_signals(rel).select("release_id", "signal_id", "confidence")
+
+
+def _pick(k, *values):
+    """One of the values by the key's remainder."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int") + 1)
 
 
 def _records(spark, d):
     p = T.load(spark, d, "part")
     k = F.col("p_partkey")
     return with_release_defaults(p.select(
-        k, F.col("p_name").alias("title"), F.when(k % 4 > 0, F.col("p_brand")).alias("artist"), F.lpad(k.cast("string"), F.when(k % 2 == 0, 12).otherwise(11), F.lit("7")).alias("upc"),
+        k, F.concat("p_name", _pick(k, " (Live)", " (feat. X)", "", "", "", "", "")).alias("title"), F.when(k % 4 > 0, F.col("p_brand")).alias("artist"), F.lpad(k.cast("string"), F.when(k % 2 == 0, 12).otherwise(11), F.lit("7")).alias("upc"),
         F.when(k % 3 == 0, F.array(F.lit("US-PR1-26-00001"), F.lit("US-PR1-26-00001"))).when(k % 3 == 1, F.array(F.lit("GBABC2600001"), F.lit("bad"))).alias("isrc_list"),
-        (F.col("p_size") * 100).alias("artwork_width"), F.lit(3000).alias("artwork_height"), F.when(k % 5 == 0, "gif").otherwise("png").alias("artwork_format"), F.when(k % 6 > 0, "1998-08-02").otherwise("8/2/98").alias("release_date"),
-        F.when(k % 2 == 0, 44100).otherwise(22050).alias("sample_rate"), (F.col("p_size") / -10.0).cast("double").alias("true_peak_dbtp"),
+        (F.col("p_size") * 100).alias("artwork_width"), F.lit(3000).alias("artwork_height"), F.when(k % 5 == 0, "gif").otherwise("png").alias("artwork_format"), _pick(k, "8/2/98", "", "1998-08-02", "1998-08-02", "1998-03-02", "1998-08-02").alias("release_date"),
+        _pick(k, 44100, 22050, 96000).alias("sample_rate"), (F.col("p_size") / -10.0).cast("double").alias("true_peak_dbtp"), (F.col("p_size") / -2.0).cast("double").alias("loudness_lufs"), _pick(k, 0, 8, 16, 24).alias("bit_depth"),
+        F.when(k % 9 > 0, "L").otherwise("  ").alias("label"), F.when(k % 10 > 0, "Pop").alias("genre"), _pick(k, "", "Explicit", "Not Explicit", "Clean", "X").alias("parental_warning"), F.when(k % 2 > 0, "P").alias("publisher"),
+        F.when(k % 3 > 0, "2020 P").alias("p_line"), F.when(k % 4 > 0, "2020 C").alias("c_line"), _pick(k, "en", "EN", "", "deu").alias("language"), F.when(k % 6 > 0, "Worldwide").alias("territory"),
+        _pick(k, "", "1998-01-01", "1998-05-01", "1998-08-02", "1998-12-01").alias("preorder_date"), (k % 100).cast("int").alias("preview_start_time"), _pick(k, "", "RGB", "CMYK").alias("artwork_color_mode"),
     ))
 
 
 def rule_eval(spark, d):
-    return R.evaluate(_records(spark, d), R.BASIC_RULES, ["p_partkey"]).where("status <> 'skip'").select("p_partkey", "rule_id", "status")
+    return R.evaluate(_records(spark, d), RULES, ["p_partkey"]).where("status <> 'skip'").select("p_partkey", "rule_id", "status")
 
 
 def rule_eval_skip(spark, d):
-    return R.evaluate(_records(spark, d), R.BASIC_RULES, ["p_partkey"], platforms=()).where("status = 'skip'").select("p_partkey", "rule_id", "message")
+    return R.evaluate(_records(spark, d), RULES, ["p_partkey"]).where("status = 'skip'").select("p_partkey", "rule_id", "severity", "message")
 
 
 def audio_thresholds(spark, d):
@@ -160,16 +169,35 @@ def _in(words: str, column: str) -> str:
 
 
 _EAN = "(10 - (list_sum([substr(ean, i, 1)::INT * (CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END) for i in range(1, 13)]) % 10)) % 10"
-_REC = """r AS (SELECT p_partkey, p_name AS title, CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE '' END AS artist, lpad(p_partkey::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 11 END, '7') AS upc,
+_REC = """r AS (SELECT p_partkey, p_name || [' (Live)', ' (feat. X)', '', '', '', '', ''][(p_partkey % 7)::INT + 1] AS title, CASE WHEN p_partkey % 4 > 0 THEN p_brand ELSE '' END AS artist, lpad(p_partkey::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 11 END, '7') AS upc,
  CASE p_partkey % 3 WHEN 0 THEN ['US-PR1-26-00001','US-PR1-26-00001'] WHEN 1 THEN ['GBABC2600001','bad'] ELSE [] END AS isrcs, p_size * 100 AS w, CASE WHEN p_partkey % 5 = 0 THEN 'gif' ELSE 'png' END AS fmt,
- CASE WHEN p_partkey % 6 > 0 THEN '1998-08-02' ELSE '8/2/98' END AS rd, CASE WHEN p_partkey % 2 = 0 THEN 44100 ELSE 22050 END AS sr, p_size / -10.0::DOUBLE AS tp FROM part)"""
+ ['8/2/98', '', '1998-08-02', '1998-08-02', '1998-03-02', '1998-08-02'][(p_partkey % 6)::INT + 1] AS rd, [44100, 22050, 96000][(p_partkey % 3)::INT + 1] AS sr, p_size / -10.0::DOUBLE AS tp, p_size / -2.0::DOUBLE AS lufs, [0, 8, 16, 24][(p_partkey % 4)::INT + 1] AS bits,
+ ['', 'Explicit', 'Not Explicit', 'Clean', 'X'][(p_partkey % 5)::INT + 1] AS pw, ['', '1998-01-01', '1998-05-01', '1998-08-02', '1998-12-01'][(p_partkey % 5)::INT + 1] AS pre FROM part)"""
+_LABEL, _GENRE, _PW, _PW_OK, _PEAK, _LUFS = "p_partkey % 9 > 0", "p_partkey % 10 > 0", "pw <> ''", "pw IN ('', 'Explicit', 'Clean')", "tp = 0 OR tp <= -1.0", "lufs = 0 OR lufs BETWEEN -16 AND -12"
+_UPC, _ANY_ISRC, _SIDES, _RGB, _RATES, _LANG = "regexp_full_match(upc, '[0-9]{12,13}')", "len(isrcs) > 0", "w = 0 OR w >= 3000", "p_partkey % 3 < 2", "sr IN (44100, 48000)", "p_partkey % 4 IN (0, 2)"
 _RULES = {
-    "universal.metadata.upc_format": "regexp_full_match(upc, '[0-9]{12,13}')", "universal.metadata.isrc_present": "len(isrcs) > 0", "universal.metadata.isrc_format": "len(isrcs) > 0 AND NOT list_contains(isrcs, 'bad')",
-    "universal.metadata.isrc_unique": "len(isrcs) = len(list_distinct(isrcs))", "universal.metadata.release_title_required": "trim(title) <> ''", "universal.metadata.artist_name_required": "artist <> ''",
-    "universal.metadata.genre_required": "false", "universal.metadata.label_required": "false", "universal.metadata.release_date_format": "rd LIKE '____-__-__'", "universal.audio.sample_rate_minimum": "sr >= 44100",
-    "universal.artwork.minimum_resolution": "w >= 3000", "universal.artwork.must_be_square": "w = 3000", "universal.artwork.format_must_be_jpeg_or_png": "fmt = 'png'", "spotify.audio.true_peak_limit": "tp = 0 OR tp <= -1.0",
-    "spotify.metadata.track_title_no_version_in_main": "NOT (contains(lower(title), '(feat.') OR contains(lower(title), '(live)') OR contains(lower(title), '(remix)'))", "apple.metadata.preorder_before_release": "true",
+    "universal.metadata.upc_format": _UPC, "universal.metadata.isrc_present": _ANY_ISRC, "universal.metadata.isrc_format": "len(isrcs) > 0 AND NOT list_contains(isrcs, 'bad')", "universal.metadata.isrc_unique": "len(isrcs) = len(list_distinct(isrcs))",
+    "universal.metadata.release_title_required": "trim(title) <> ''", "universal.metadata.artist_name_required": "artist <> ''", "universal.metadata.genre_required": _GENRE, "universal.metadata.label_required": _LABEL,
+    "universal.metadata.release_date_required": "rd <> ''", "universal.metadata.release_date_format": "rd = '' OR rd LIKE '____-__-__'", "universal.audio.sample_rate_minimum": "sr >= 44100", "universal.audio.bit_depth_minimum": "bits <> 8",
+    "universal.artwork.minimum_resolution": _SIDES, "universal.artwork.must_be_square": "w IN (0, 3000)", "universal.artwork.format_must_be_jpeg_or_png": "fmt = 'png'",
+    "spotify.metadata.contributor_publisher_required": "p_partkey % 2 = 1", "spotify.metadata.explicit_content_flag": _PW, "spotify.metadata.explicit_flag_valid_value": _PW_OK, "spotify.metadata.track_title_no_version_in_main": "p_partkey % 7 > 1",
+    "spotify.metadata.p_line_year_required": "p_partkey % 3 > 0", "spotify.metadata.c_line_required": "p_partkey % 4 > 0", "spotify.metadata.label_name_required": _LABEL, "spotify.metadata.language_code_valid": _LANG,
+    "spotify.audio.preferred_sample_rate": _RATES, "spotify.audio.loudness_target": _LUFS, "spotify.audio.true_peak_limit": _PEAK, "spotify.artwork.preferred_resolution": "w = 0 OR w >= 3000",
+    "apple.metadata.advisory_rating_required": _PW, "apple.metadata.advisory_rating_valid_value": "pw <> 'X'", "apple.metadata.genre_must_be_apple_genre": _GENRE, "apple.metadata.territory_rights_specified": "p_partkey % 6 > 0",
+    "apple.metadata.preorder_date_before_release_date": "pre = '' OR rd = '' OR pre < rd", "apple.metadata.preview_start_time_in_range": "p_partkey % 100 <= 60", "apple.metadata.c_line_required": "p_partkey % 4 > 0", "apple.metadata.p_line_required": "p_partkey % 3 > 0",
+    "apple.audio.loudness_target": "lufs = 0 OR lufs BETWEEN -18 AND -14", "apple.artwork.rgb_color_space_required": _RGB,
+    "youtube.metadata.isrc_required_for_content_id": _ANY_ISRC, "youtube.metadata.content_advisory_required": _PW, "youtube.metadata.upc_required": _UPC, "youtube.metadata.language_code_valid": _LANG, "youtube.metadata.genre_required": _GENRE,
+    "youtube.metadata.label_required": _LABEL, "youtube.audio.preferred_sample_rate": _RATES, "youtube.audio.loudness_target": _LUFS, "youtube.artwork.rgb_color_space": _RGB, "youtube.artwork.format_jpeg_preferred": "fmt = 'png'",
+    "amazon.metadata.isrc_required": _ANY_ISRC, "amazon.metadata.explicit_flag_required": _PW, "amazon.metadata.explicit_flag_valid": _PW_OK, "amazon.metadata.genre_required": _GENRE, "amazon.metadata.label_required": _LABEL, "amazon.metadata.c_line_required": "p_partkey % 4 > 0",
+    "amazon.metadata.p_line_required": "p_partkey % 3 > 0", "amazon.audio.hd_bit_depth": "bits <> 8", "amazon.audio.true_peak_limit": _PEAK, "amazon.audio.loudness_target": _LUFS, "amazon.artwork.rgb_color_space": _RGB,
+    "tiktok.metadata.isrc_required": _ANY_ISRC, "tiktok.metadata.explicit_flag_required": _PW, "tiktok.metadata.explicit_flag_valid": _PW_OK, "tiktok.metadata.genre_recommended": _GENRE, "tiktok.metadata.label_required": _LABEL,
+    "tiktok.audio.preferred_sample_rate": _RATES, "tiktok.audio.loudness_target": _LUFS, "tiktok.audio.true_peak_limit": _PEAK, "tiktok.artwork.minimum_resolution": _SIDES, "tiktok.artwork.rgb_color_space": _RGB, "tiktok.artwork.must_be_square": "w IN (0, 3000)",
 }
+_BY_HAND = [
+    ("universal.metadata.release_date_not_in_past", "warning"), ("universal.audio.duration_mismatch", "warning"), ("universal.audio.silence_at_start", "info"), ("universal.artwork.no_text_overlay", "warning"), ("spotify.artwork.no_spotify_logo", "critical"),
+    ("apple.metadata.iswc_recommended", "info"), ("apple.audio.lossless_preferred", "info"), ("apple.audio.dolby_atmos_channel_check", "warning"), ("apple.artwork.no_apple_logo", "critical"), ("amazon.audio.ultra_hd_preferred", "info"),
+    ("tiktok.metadata.artist_image_url_recommended", "info"), ("tiktok.audio.minimum_duration", "warning"),
+]
 _PLAT = "plat(platform, formats, min_bits, min_rate, rates, low, high, peak, min_seconds) AS (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]}::DOUBLE, {v[5]}::DOUBLE, {v[6]}::DOUBLE, {v[7]})" for k, v in M.PLATFORMS.items()) + ")"
 _AUDIO = [("format_not_accepted", "critical", "NOT list_contains(formats, format)"), ("sample_rate_too_low", "critical", "sample_rate < min_rate"), ("sample_rate_not_preferred", "info", "sample_rate >= min_rate AND NOT list_contains(rates, sample_rate)"), ("bit_depth_too_low", "critical", "bit_depth < min_bits"), ("true_peak_exceeded", "critical", "true_peak <> 0 AND true_peak > peak"), ("loudness_too_quiet", "warning", "loudness <> 0 AND loudness < low"), ("loudness_too_loud", "warning", "loudness <> 0 AND loudness > high"), ("duration_too_short", "warning", "min_seconds > 0 AND seconds < min_seconds")]
 _ART = [("format_undetected", "critical", "format IS NULL"), ("format_not_accepted", "critical", "format NOT IN ('jpeg', 'png')"), ("file_size_too_large", "critical", "bytes > 10485760"), ("resolution_too_low", "critical", "least(w, h) < 3000"), ("resolution_below_recommended", "info", "least(w, h) >= 3000 AND least(w, h) < 4000"), ("not_square", "critical", "abs(w::DOUBLE / h - 1) > 0.01"), ("color_mode_cmyk", "critical", "mode = 'CMYK'"), ("color_mode_grayscale", "warning", "mode = 'L'"), ("dpi_not_set", "info", "dpi IS NULL"), ("dpi_too_low", "warning", "dpi < 72"), ("dpi_below_recommended", "info", "dpi >= 72 AND dpi < 300")]
@@ -211,9 +239,14 @@ QUERIES = {
     "isrc_conflicts": (isrc_conflicts, """WITH l AS (SELECT DISTINCT l_orderkey AS release_id, 'USPR126' || lpad((l_partkey * 7 % 99999)::VARCHAR, 5, '0') AS isrc FROM lineitem)
         SELECT a.release_id, a.isrc, min(b.release_id) AS other_id FROM l a JOIN l b ON a.isrc = b.isrc AND a.release_id <> b.release_id GROUP BY ALL"""),
     "release_velocity_30d": (release_velocity, f"""WITH {T.SCANS} SELECT scan_id AS release_id, count(*) OVER (PARTITION BY release_id ORDER BY created_at RANGE BETWEEN INTERVAL 30 DAYS PRECEDING AND CURRENT ROW) AS n_recent FROM scans"""),
-    "fraud_signals": (fraud_signals, None),
+    "fraud_signals": (fraud_signals, """WITH g AS (SELECT l_orderkey AS r, count(*) AS n, count(*) FILTER (WHERE l_quantity > 0) >= 3 AND max(l_quantity) FILTER (WHERE l_quantity > 0) * 10000 - min(l_quantity) FILTER (WHERE l_quantity > 0) * 10000 <= 2000 AS uniform, bool_or(l_quantity > 0 AND l_quantity < 6) AS short,
+        CASE WHEN l_orderkey % 4 = 0 AND count(*) >= 2 THEN count(*) ELSE 0 END AS numbered FROM lineitem GROUP BY 1),
+        m AS (SELECT *, (r % 2 = 0)::INT + (r % 5 = 0)::INT + (n > 20)::INT + coalesce(uniform, false)::INT + (n >= 3 AND numbered >= greatest(3, n * 0.7))::INT AS spam,
+        (r % 3 = 0)::INT + (r % 7 = 0)::INT + (n >= 3 AND numbered >= n * 0.8)::INT + (r % 3 = 0 AND n >= 5)::INT + (coalesce(uniform, false) AND n >= 5)::INT AS ai FROM g)
+        SELECT r AS release_id, 'fraud.functional_music_spam' AS signal_id, CASE WHEN spam = 2 THEN 'low' WHEN spam = 3 THEN 'medium' ELSE 'high' END AS confidence FROM m WHERE spam >= 2
+        UNION ALL SELECT r, 'fraud.ai_generation_suspected', CASE WHEN ai = 2 THEN 'low' WHEN ai = 3 THEN 'medium' ELSE 'high' END FROM m WHERE ai >= 2 UNION ALL SELECT r, 'fraud.short_track_duration', 'high' FROM m WHERE short"""),
     "rule_eval_pass_fail": (rule_eval, f"WITH {_REC} " + " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS rule_id, CASE WHEN {v} THEN 'pass' ELSE 'fail' END AS status FROM r" for k, v in _RULES.items())),
-    "rule_eval_skip": (rule_eval_skip, "SELECT p_partkey, 'universal.artwork.no_text_overlay' AS rule_id, 'manual review required' AS message FROM part"),
+    "rule_eval_skip": (rule_eval_skip, "SELECT p_partkey, rule_id, severity, 'manual review required' AS message FROM part CROSS JOIN (VALUES " + ", ".join(map(str, _BY_HAND)) + ") v(rule_id, severity)"),
     "audio_thresholds": (audio_thresholds, f"""WITH {_PLAT}, t AS (SELECT p_partkey, ['wav', 'mp3', 'aiff', 'wma'][(p_partkey % 4)::INT + 1] AS format, [44100, 48000, 22050][(p_partkey % 3)::INT + 1] AS sample_rate, CASE WHEN p_partkey % 2 = 0 THEN 16 ELSE 8 END AS bit_depth,
         p_size / -20.0::DOUBLE AS true_peak, p_size / -2.0::DOUBLE AS loudness, p_size * 5 AS seconds FROM part), b AS (SELECT * FROM t CROSS JOIN plat), f AS ({_any(_AUDIO, 'b', 'p_partkey, platform, ')}) SELECT p_partkey, platform, rule_id, severity FROM f"""),
     "artwork_checks": (artwork_checks, f"""WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'gif' WHEN p_partkey % 4 < 3 THEN 'jpeg' END AS format, p_size * 400000 AS bytes, p_size * 100 AS w, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE 3500 END AS h,

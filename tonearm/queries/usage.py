@@ -62,8 +62,7 @@ def tier_quota(spark, d):
 
 def rate_limit_log(spark, d):
     e = T.load(spark, d, "events")
-    out = L.limit_batch(e, "user_id", "ts", "event_id", 5, 3600 * 24)
-    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
+    return L.limit_batch(e, "user_id", "ts", "event_id", 5, 3600 * 24).select("user_id", "event_id", "allowed")
 
 
 def format_detect(spark, d):
@@ -88,6 +87,9 @@ QUERIES = {
     "search_ilike_paged": (search_page, "SELECT c_custkey AS id, c_name AS title, c_mktsegment AS artist FROM customer WHERE c_name ILIKE '%buil%' OR c_mktsegment ILIKE '%buil%' ORDER BY id LIMIT 25 OFFSET 25"),
     "tier_quota": (tier_quota, """SELECT c_custkey, c_custkey % 3 > 0 AS allowed, CASE c_custkey % 3 WHEN 0 THEN greatest(10 - c_custkey % 150, 0) WHEN 1 THEN greatest(100 - c_custkey % 150, 0) END AS quota_left,
         CASE c_custkey % 3 WHEN 0 THEN 'ddex' ELSE 'ddex|audio' END AS layers FROM customer"""),
-    "rate_limit_log": (rate_limit_log, None),
+    "rate_limit_log": (rate_limit_log, """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (SELECT user_id, event_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1 UNION ALL
+        SELECT user_id, event_id, i, len(l) < 5, CASE WHEN len(l) < 5 THEN list_append(l, t) ELSE l END FROM (SELECT e.*, list_filter(r.log, lambda x: x >= e.t - 86400000000) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+        SELECT user_id, event_id, allowed FROM r"""),
     "format_detect": (format_detect, """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'csv' WHEN page_id % 3 = 1 THEN 'json' WHEN page_id % 2 = 0 THEN 'json' ELSE 'xml' END AS format FROM pages"""),
 }
