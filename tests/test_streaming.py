@@ -2,10 +2,9 @@
 
 import datetime as dt
 import shutil
+import time
 
 import pytest
-from pyspark.sql import functions as F
-
 from tonearm.streaming import events as E
 from tonearm.streaming import ratelimit as L
 
@@ -27,11 +26,17 @@ def stream(spark, tmp_path, frames, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)), spark.read.schema(schema).parquet(str(folder))
 
 
-def drain(df, tmp_path, mode, name):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    return df.sparkSession.table(name)
+def drain(df, tmp_path, mode, name, rows=None):
+    """The memory table of a query that ran over all files, or, where timeouts by the clock keep it running, until it had given that many rows."""
+    w = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck"))
+    q = (w if rows else w.trigger(availableNow=True)).start()
+    out = df.sparkSession.table(name)
+    end = time.time() + 60
+    while rows and q.isActive and out.count() < rows and time.time() < end:
+        time.sleep(0.2)
+    q.stop() if rows else q.awaitTermination(60)
+    assert q.exception() is None and not q.isActive
+    return out
 
 
 def test_usage_windows(spark, tmp_path):
@@ -61,7 +66,7 @@ def test_limits(spark, tmp_path, split):
     rows = [(k, at(i / 4), i) for i in range(24) for k in ((1, 2) if i % 3 else (1,))]
     cut = len(rows) // split
     s, b = stream(spark, tmp_path, [rows[i : i + cut] for i in range(0, len(rows), cut)], "user_id long, ts timestamp, event_id long")
-    got = drain(L.limit_stream(s, "user_id", "ts", "event_id", 3), tmp_path, "append", f"limits{split}")
+    got = drain(L.limit_stream(s, "user_id", "ts", "event_id", 3), tmp_path, "append", f"limits{split}", len(rows))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.limit_batch(b, "user_id", "ts", "event_id", 3).collect()))
     assert got.where("not allowed").count() > 0
 

@@ -48,7 +48,7 @@ def limit_batch(events: DataFrame, key: str, at: str, tie: str, limit: int, seco
 
 
 def limit_stream(events: DataFrame, key: str, at: str, tie: str, limit: int, seconds: int = SECONDS) -> DataFrame:
-    """The same over a stream, with the log as state that ends once a key was idle for the window."""
+    """The same over a stream, with the log as state that ends once a key was idle for the window. The clock ends it, so a run of such a stream ends only when it is stopped."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = events.schema[key].dataType.simpleString()
