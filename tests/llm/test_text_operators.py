@@ -251,6 +251,29 @@ def test_minhash_large_family_in_tiles(spark, monkeypatch):
     assert len({c for _, c in want.values()}) < 100
 
 
+def test_minhash_group_whose_ends_are_far_from_its_pivots(spark, monkeypatch):
+    """Texts that drift away step by step, three copies of each step with one word of their own."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 1500)
+    seen, through = [], minhash._through_pivots
+
+    def spy(*args):
+        star, tiles = through(*args)
+        seen.append((args[2], tiles.count()))
+        return star, tiles
+
+    monkeypatch.setattr(minhash, "_through_pivots", spy)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for k in range(0, 80):
+        text = [f"d{i}" for i in range(2 * k)] + base[2 * k :]
+        rows += [(1000 - 3 * k - c, " ".join(text + [f"end{c}"])) for c in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows, 3, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 85).collect()} == want
+    assert [g for g, _ in seen] == ["key", "family"] and seen[1][1] > 0
+
+
 def test_minhash_odd_rows(spark, odd, clashing, none):
     out = {r["doc_id"]: r for r in minhash.near_duplicates(odd, 3, 85).collect()}
     assert out[2]["component_id"] == 1 and not out[2]["kept"] and out[12]["component_id"] == 1

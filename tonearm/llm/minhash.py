@@ -7,6 +7,10 @@
 3. The forest's components are candidate families. Each family is dealt into blocks of bounded size, and
    every likely pair of a block that isn't connected yet is confirmed on the full sets; a block
    emits a spanning forest of its confirmed links. Components of these are the result.
+Groups of over one tile or block (hot keys, large families) are first compared with PIVOTS of their members, in one
+pass. Members connected by these links need no comparison with each other any more; the far ones, those outside the
+group's largest such part, are compared with all in tiles. So work is linear in a group of copies of one text, and
+a row is copied as often only as the far ones demand.
 So no step emits the pairs of a group, and no link is lost but by the odds of banding and estimate: with the
 defaults below 1e-4 for a pair right at the threshold, far less above it.
 
@@ -32,6 +36,8 @@ SLACK = 4.0
 TILE = 1024
 #: Shingles of a block's half.
 BLOCK = 400_000
+#: Members of a large group that all others are compared with first.
+PIVOTS = 4
 
 _seed = np.random.default_rng(20240601)
 _A = (_seed.integers(0, 2**31, PERMS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -202,6 +208,90 @@ def _paired(rows: DataFrame, parts: str, group: list[str]) -> DataFrame:
     )
 
 
+def _marks(group: str, linked, most: int):
+    """Mask and ids of the pivots that each row links with. A block's pivots come first; linked() tells rows (down) by pivots (across)."""
+
+    def run(batches):
+        for t, at in C.groups(batches, [group, "part"], most):
+            ids, slot = t.column("id").to_numpy(), t.column("slot").to_numpy().astype(np.int32)
+            pivots = np.add.reduceat(t.column("pivot").to_numpy().astype(np.int64), at[:-1])
+            out, masks, links, sizes = [], [], [], []
+            for lo, k, hi in zip(at[:-1].tolist(), pivots.tolist(), at[1:].tolist()):
+                if lo + k == hi:
+                    continue
+                near = linked(t.slice(lo, hi - lo), k)
+                out.append(np.arange(lo + k, hi))
+                masks.append((near << slot[lo : lo + k]).sum(1, dtype=np.int32))
+                links.append(np.broadcast_to(ids[lo : lo + k], near.shape)[near])
+                sizes.append(near.sum(1, dtype=np.int32))
+            if out:
+                rows = pa.array(np.concatenate(out))
+                offsets = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [t.column(group).take(rows).combine_chunks(), t.column("id").take(rows).combine_chunks(), pa.array(np.concatenate(masks)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(links)))],
+                    [group, "id", "mask", "links"],
+                )
+
+    return run
+
+
+def _likely(least: int):
+    def linked(t, k):
+        sig = C.fixed_bytes(t.column("sig"), WIDTH).copy().view(C.U64)
+        return matches(sig[k:, None], sig[None, :k]) >= least
+
+    return linked
+
+
+def _exact(percent: int, least: int):
+    def linked(t, k):
+        sig = C.fixed_bytes(t.column("sig"), WIDTH).copy().view(C.U64)
+        near = matches(sig[k:, None], sig[None, :k]) >= least
+        sets = [np.frombuffer(x.as_buffer(), C.U64) for x in t.column("shingles")]
+        for i, j in zip(*np.nonzero(near)):
+            a, b = sets[k + i], sets[j]
+            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+                near[i, j] = False
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            near[i, j] = 100 * both >= percent * (len(a) + len(b) - both)
+        return near
+
+    return linked
+
+
+def _through_pivots(rows: DataFrame, parts: str, group: str, linked, most: int) -> tuple[DataFrame, DataFrame]:
+    """Links of large groups' rows with pivots (a, b), and the tiles of pairs that these leave open. `rows` is read thrice.
+
+    A group's main part is the pivots that rows link, directly or by turns, with the pivots most rows have in common.
+    """
+    slot = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(PIVOTS)).cast("int")
+    chosen = rows.groupBy(group, slot.alias("slot")).agg(F.min("id").alias("id"))
+    pivots = rows.join(chosen, [group, "id"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col(parts).cast("int") - 1)))
+    members = rows.withColumn("slot", F.lit(0)).withColumn("part", F.pmod(F.xxhash64("id"), F.col(parts)).cast("int"))
+    met = pivots.withColumn("pivot", F.lit(1)).unionByName(members.withColumn("pivot", F.lit(0)))
+    met = met.repartition(group, "part").sortWithinPartitions(group, "part", F.desc("pivot"))
+    marked = C.materialise(met.mapInArrow(_marks(group, linked, most), f"{group} long, id long, mask int, links array<long>"), "minhash-marked")
+
+    kinds = marked.groupBy(group, "mask").agg(F.count("*").alias("n"))  # 2 ** PIVOTS of a group at most
+    main = kinds.groupBy(group).agg(F.sum("n").alias("n"), F.max_by("mask", F.when(F.col("mask") > 0, F.col("n"))).alias("main"), F.collect_list(F.struct("mask", "n")).alias("kinds"))
+    meets = lambda mask, main: mask.bitwiseAND(main) != 0
+    for _ in range(PIVOTS - 1):
+        main = main.withColumn("main", F.aggregate("kinds", F.col("main"), lambda m, x: F.when(meets(x["mask"], m), m.bitwiseOR(x["mask"])).otherwise(m)))
+    apart = F.aggregate(F.filter("kinds", lambda x: ~meets(x["mask"], F.col("main"))), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    main = C.materialise(main.select(group, "n", "main", apart.alias("apart")).where("apart > 0"), "minhash-main")
+    label = C.join_hot(marked, main, [group], "n", max(marked.count(), 1)).select(group, "id", (~meets(F.col("mask"), F.col("main"))).alias("far"), (F.col("apart") / F.col("n")).alias("share"))
+    open_ = rows.join(label, [group, "id"]).withColumn("few", F.ceil(F.col(parts) * F.col("share"))).drop("share")
+
+    among = _paired(open_.where("far").drop("far", parts), "few", [group])
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    far = open_.where("far").withColumn("ti", -1 - own("few")).withColumn("tj", each(parts)).withColumn("half", F.lit(1))
+    near = open_.where("not far").withColumn("tj", own(parts)).withColumn("ti", each("few")).withColumn("ti", -1 - F.col("ti")).withColumn("half", F.lit(0))
+    across = far.unionByName(near).drop("far", "few", parts).repartition(group, "ti", "tj").sortWithinPartitions(group, "ti", "tj")
+    return marked.select(F.explode("links").alias("a"), F.col("id").alias("b")), among.unionByName(across)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row: links are 100 * common >= percent * united shingles."""
     spark = docs.sparkSession
@@ -242,8 +332,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     shared = C.materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-keys")
     met = C.join_hot(keys, shared, ["key"], "n", n_keys)
     met = met.join(reps.select("id", "sig"), "id").withColumn("parts", F.ceil(F.col("n") / TILE)).drop("n")
-    likely = _paired(met, "parts", ["key"]).mapInArrow(_tiles(least), "a long, b long")
-    families = C.components(likely.distinct())
+    likely = _paired(met.where("parts = 1"), "parts", ["key"]).mapInArrow(_tiles(least), "a long, b long")
+    spent = []
+    if not shared.where(F.col("n") > TILE).isEmpty():
+        spent.append(C.materialise(met.where("parts > 1"), "minhash-hot"))
+        star, tiles = _through_pivots(spent[-1], "parts", "key", _likely(least), 1 << 14)
+        likely = likely.unionByName(star).unionByName(tiles.mapInArrow(_tiles(least), "a long, b long"))
+    families = C.components(likely)
     families = C.materialise(families.withColumnRenamed("component_id", "family").withColumnRenamed("node", "id"), "minhash-families")
 
     sizes = families.join(reps.select("id", "n_shingles"), "id").groupBy("family").agg(F.sum("n_shingles").alias("w"))
@@ -258,9 +353,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
 
     known = member.join(reps.select("id", "x", "sig"), "id")  # x: of the text that stands for its class
     texts = rows.join(known, ["id", "x"]).select("id", "x", "text", "family", "parts", "sig").dropDuplicates(["id", "x"])
-    blocks = texts.mapInArrow(sets, "id long, family long, parts long, sig binary, shingles binary")
+    schema = "id long, family long, parts long, sig binary, shingles binary"
+    blocks = texts.where("parts = 1").mapInArrow(sets, schema)
     links = _paired(blocks, "parts", ["family"]).mapInArrow(_confirm(percent, least), "a long, b long")
+    if not sizes.where(F.col("w") > BLOCK).isEmpty():
+        spent.append(C.materialise(texts.where("parts > 1").mapInArrow(sets, schema), "minhash-large"))
+        star, tiles = _through_pivots(spent[-1], "parts", "family", _exact(percent, least), 64)
+        links = links.unionByName(star).unionByName(tiles.mapInArrow(_confirm(percent, least), "a long, b long"))
     found = C.components(links)
+    C.discard(*spent)
 
     # classes are joined with their components first, then rows with their classes
     label = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component_id", "rep").alias("component_id"))
