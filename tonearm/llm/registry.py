@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import annsearch, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, suffixdedup, vecdedup
+from . import annsearch, decontamination, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, suffixdedup, vecdedup, yinyang
 
 
 def queries() -> dict:
@@ -20,11 +20,13 @@ def queries() -> dict:
         "pipeline": corpus_pipeline.run,
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
+        "op11_yinyang": yinyang.query,
+        "op13_decontamination": decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op10_mixing": mixing.ORACLE_SQL}
+    sql = {"op10_mixing": mixing.ORACLE_SQL, "op11_yinyang": yinyang.ORACLE_SQL, "op13_decontamination": decontamination.ORACLE_SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
