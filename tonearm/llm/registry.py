@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import annsearch, decontamination, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, suffixdedup, vecdedup, yinyang
+from . import alignment, annsearch, decontamination, langid, lmscore, minhash, mixing, quality, secrets, sentencepieces, suffixdedup, vecdedup, yinyang
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op9_quality": quality.query,
         "op10_mixing": mixing.query,
         "op11_yinyang": yinyang.query,
+        "op12_alignment": alignment.query,
         "op13_decontamination": decontamination.query,
     }
 
