@@ -8,6 +8,7 @@ from ..operators import bulk as B
 from ..sources import bulk as SB
 from ..sources import metadata as SM
 from ..sources import stores as K
+from ..sources import uploads as SU
 from . import tables as T
 
 #: Rows of a made-up file: as uploads are small, a file is one value.
@@ -61,50 +62,75 @@ def isrc_file_checks(spark, d):
     return B.check_isrcs(_isrc_files(spark, d), ["GB", "US"], ["path", "row_number"]).select("path", "row_number", "rule_id", "severity")
 
 
-def _csv_rows(spark, d):
-    """Rows of a metadata CSV: an order is a track, three are a release."""
-    o = T.load(spark, d, "orders")
-    k = F.col("o_orderkey")
-    given = {
-        "upc": F.when(k % 30 < 27, F.lpad(F.floor(k / 3).cast("string"), F.when(k % 5 == 4, 11).otherwise(12), "0")).otherwise(""), "release_title": F.when(k % 12 > 0, F.concat(F.lit("R"), k.cast("string"))).otherwise(" "), "artist_name": F.lit("A"),
-        "release_date": F.when(k % 4 > 0, _day("o_orderdate")).otherwise("1/2/98"), "label_name": F.col("o_orderpriority"), "isrc": F.when(k % 9 == 0, "").when(k % 8 == 0, "bad").otherwise(F.concat(F.lit("USPR126"), F.lpad(k.cast("string"), 5, "0"))),
-        "track_title": F.concat(F.lit("T"), k.cast("string")), "track_number": F.when(k % 7 == 0, "x").otherwise((k % 3 + 1).cast("string")), "duration": F.when(k % 6 == 0, "4m").otherwise(F.concat((k % 10).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))),
-        "explicit": F.element_at(F.array(F.lit("true"), F.lit("no"), F.lit("1"), F.lit("")), (k % 4).cast("int") + 1),
+#: Files by number, in every query over written CSV uploads.
+_EMPTY, _LATIN, _SHORT = "f % 11 = 3", "f % 11 = 5", "f % 7 = 2"
+
+
+def _csv_cells(k):
+    """Cells of a metadata CSV: an order is a track, three are a release; UPCs come again in other files."""
+    return {
+        "upc": F.when(k % 30 < 27, F.lpad((F.floor(k / 3) % 5000).cast("string"), F.when(k % 5 == 4, 11).otherwise(12), "0")).otherwise(" "), "release_title": F.when(k % 4 > 0, F.concat(F.lit('R, "x" '), k.cast("string"))).otherwise(" "), "artist_name": F.lit("A"),
+        "release_date": F.element_at(F.array(F.lit("1/2/98"), F.lit("2020-13-45"), F.lit("2020"), F.lit("2020-1"), F.lit(""), _day("o_orderdate")), (k % 6).cast("int") + 1), "label_name": F.col("o_orderpriority"),
+        "isrc": F.element_at(F.array(F.lit(""), F.lit("bad"), F.lit("us-pr1-26-00001"), F.lit("US-PR126-00001"), F.lit("USPR12600001")), (k % 5).cast("int") + 1),
+        "track_title": F.concat(F.lit("T"), k.cast("string")), "track_number": F.element_at(F.array(F.lit("x"), F.lit("+3"), F.lit("1.5"), F.lit(""), F.lit("1_0"), F.lit("7")), (F.floor(k / 2) % 6).cast("int") + 1),
+        "duration": F.when(k % 6 == 0, "4m").when(k % 6 == 1, "1:2:3").when(k % 7 == 2, "").otherwise(F.concat((k % 10).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))),
+        "explicit": F.element_at(F.array(F.lit("TRUE"), F.lit("no"), F.lit("1"), F.lit("")), (k % 4).cast("int") + 1),
     }
-    return o.select(k.alias("line"), *[given.get(c, F.lit(None).cast("string")).alias(c) for c in (*SM.REQUIRED, *SM.OPTIONAL)])
+
+
+def _csv_uploads(spark, d):
+    """Writes the cells as files of BLOCK rows and reads them back: other headers and orders of columns, quotes, blank lines; some empty, not UTF-8, or short of a column."""
+    o = T.load(spark, d, "orders").withColumn("f", F.floor(F.col("o_orderkey") / BLOCK))
+    cells = _csv_cells(F.col("o_orderkey"))
+    quoted = lambda c: F.when(c.rlike('[",]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = lambda names: F.array_join(F.array(*[quoted(F.coalesce(cells[n], F.lit(""))) for n in names]), ",")
+    names = list(cells)
+    short, turned = [n for n in names if n not in ("isrc", "label_name")], names[::-1]
+    header = F.when(F.expr(_SHORT), ",".join(short)).when(F.expr("f % 3 = 1"), "\ufeff" + ",".join(f" {n.upper()} " for n in turned)).otherwise(",".join(names))
+    text = F.when(F.expr(_SHORT), line(short)).when(F.expr("f % 3 = 1"), line(turned)).otherwise(line(names))
+    text = F.concat(text, F.when(F.col("o_orderkey") % 9 == 0, "\r\n").otherwise(""))  # a blank line after it
+    files = o.groupBy("f", header.alias("header")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", text.alias("line")))).alias("rows"))
+    body = F.when(F.expr(_EMPTY), F.unhex(F.lit(""))).otherwise(F.concat(F.concat_ws("\r\n", "header", F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n")).cast("binary"), F.when(F.expr(_LATIN), F.unhex(F.lit("E9FF"))).otherwise(F.unhex(F.lit("")))))
+    folder = SU.shared_folder(spark, "csv-uploads")
+    SU.write_files(files.select(F.concat(F.lit("file-"), F.col("f").cast("string"), F.lit(".csv")).alias("path"), body.alias("content")), folder)
+    return SU.read_uploads(spark, folder, "csv", suffix=".csv")
 
 
 def csv_releases(spark, d):
-    """First row's fields of each UPC, and its tracks in order, as text."""
+    """First row's fields of each UPC of a file, and its tracks in order, as text."""
     track = lambda t: F.concat_ws(":", t["line"].cast("string"), t["isrc"], F.coalesce(t["track_number"].cast("string"), F.lit("?")), F.coalesce(t["duration_ms"].cast("string"), F.lit("?")), F.when(t["explicit"], "E").otherwise("-"))
-    return SM.releases_of_csv(_csv_rows(spark, d)).select("upc", "title", "artist", "label", "release_date", F.array_join(F.transform("tracks", track), "|").alias("tracks"), F.array_join("isrc_list", "|").alias("isrcs"))
+    return SM.releases_of_csv(_csv_uploads(spark, d)).select("path", "upc", "title", "artist", "label", "release_date", "release_type", F.array_join(F.transform("tracks", track), "|").alias("tracks"), F.array_join("isrc_list", "|").alias("isrcs"))
 
 
 def csv_findings(spark, d):
-    return SM.csv_findings(_csv_rows(spark, d)).select("line", "rule_id", "severity")
+    """All findings of the written files, those of whole files too."""
+    return SM.csv_findings(_csv_uploads(spark, d)).select("path", "line", "rule_id", "severity", "actual")
 
 
-def _json_releases(spark, d):
-    """A tenth of the texts is broken, another is an array of two."""
+def _json_texts(spark, d):
+    """Releases as JSON with faults of every kind: broken texts, other structures, fields of other types, tracks that are none."""
     o = T.load(spark, d, "orders")
     k = F.col("o_orderkey")
-    track = F.struct(F.when(k % 3 > 0, F.concat(F.lit("USPR126"), F.lpad(k.cast("string"), 5, "0"))).alias("isrc"), F.col("o_orderpriority").alias("title"), (k % 12).cast("string").alias("track_number"), F.when(k % 2 == 0, "x").otherwise("1000").alias("duration_ms"))
-    tracks = F.when(k % 5 == 2, F.slice(F.array(track), 1, 0)).otherwise(F.array(track, track))
-    body = F.to_json(F.struct(
-        F.when(k % 4 == 1, "abc").when(k % 4 > 1, F.lpad(k.cast("string"), 12, "0")).alias("upc"), F.concat(F.lit("R \"quoted\" "), k.cast("string")).alias("title"), F.when(k % 6 > 2, "A").otherwise(" ").alias("artist"), F.lit("L").alias("label"),
-        F.when(k % 6 == 0, "").when(k % 6 == 1, "2020/01/01").otherwise(_day("o_orderdate")).alias("release_date"), tracks.alias("tracks"),
-    ))
-    text = F.when(k % 10 == 0, "{").when(k % 10 == 1, F.concat(F.lit("["), body, F.lit(","), body, F.lit("]"))).otherwise(body)
-    return SM.releases_of_json(o.select(k.cast("string").alias("path"), text.alias("text")))
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int") + 1)
+    upc = F.when(k % 4 == 3, F.concat(F.lit('"'), F.lpad(k.cast("string"), 12, "0"), F.lit('"'))).otherwise(pick(k, '""', '"abc"', "123456789012"))
+    track = F.concat(F.lit('{"isrc":'), pick(k, '"USPR12600001"', '"us-pr1-26-00001"', "null", '""', '"US-PR126-00001"'), F.lit(',"title":'), pick(F.floor(k / 3), '"T"', '" "', "0", "[]"), F.lit(',"track_number":'), pick(F.floor(k / 2), "3", '"4"', '"x"', "null", "2.5", "[1]", "true"), F.lit(',"duration_ms":'), pick(F.floor(k / 5), "1000", '"1m"', "{}"), F.lit("}"))
+    tracks = F.when(k % 9 == 0, "[]").when(k % 9 == 1, '{"a":1}').when(k % 9 == 2, "null").when(k % 9 == 3, F.concat(F.lit('[7,'), track, F.lit(",null]"))).otherwise(F.concat(F.lit("["), track, F.lit(","), track, F.lit("]")))
+    body = F.concat(
+        F.lit('{"upc":'), upc, F.lit(',"title":"R \\"q\\" '), k.cast("string"), F.lit('","artist":'), pick(k, '"A"', '" "', "0", "false", '"B"'), F.lit(',"label":"L","release_date":'),
+        pick(F.floor(k / 7), '"2020-13-45"', '"2020/01/01"', '""', '"2021-05-06"', "20200101"), F.lit(',"deals":'), pick(F.floor(k / 11), "[]", '[{"territory":"DE"},3]', '"x"', "null"), F.lit(',"tracks":'), tracks, F.lit("}"),
+    )
+    text = F.when(k % 20 == 0, "{").when(k % 20 == 1, F.concat(F.lit("\ufeff["), body, F.lit(",5,"), body, F.lit("]"))).when(k % 20 == 2, "3").otherwise(body)
+    return o.select(k.cast("string").alias("path"), text.alias("text"))
 
 
 def json_releases(spark, d):
-    track = lambda t: F.concat_ws(":", F.coalesce(t["isrc"], F.lit("?")), t["title"], t["track_number"].cast("string"), F.coalesce(t["duration_ms"].cast("string"), F.lit("?")))
-    return _json_releases(spark, d).select("path", F.coalesce("pos", F.lit(0)).alias("pos"), "broken", "release.upc", "release.title", "release.release_date", F.array_join(F.transform("tracks", track), "|").alias("tracks"))
+    track = lambda t: F.concat_ws(":", F.coalesce(t["isrc"], F.lit("?")), F.coalesce(t["title"], F.lit("?")), F.coalesce(t["track_number"].cast("string"), F.lit("?")), F.coalesce(t["duration_ms"].cast("string"), F.lit("?")))
+    r = SM.releases_of_json(_json_texts(spark, d)).where("release is not null")
+    return r.select("path", "pos", "release.upc", "release.title", "release.artist", "release.release_date", F.coalesce(F.size("release.deals"), F.lit(-1)).alias("n_deals"), F.array_join(F.transform("tracks", track), "|").alias("tracks"))
 
 
 def json_findings(spark, d):
-    return SM.json_findings(_json_releases(spark, d)).select("path", F.coalesce("pos", F.lit(0)).alias("pos"), "rule_id", "severity")
+    return SM.json_findings(_json_texts(spark, d)).select("path", "rule_id", "severity", "field")
 
 
 def _messages(spark, d):
@@ -164,9 +190,26 @@ def track_upsert(spark, d):
 
 
 _DATE = "strftime(try_strptime(substr(raw, 1, 4) || '20' || substr(raw, 5, 2), '%m%d%Y'), '%Y-%m-%d')"
-_CSV = """c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 30 < 27 THEN lpad((o_orderkey // 3)::VARCHAR, CASE WHEN o_orderkey % 5 = 4 THEN 11 ELSE 12 END, '0') ELSE '' END AS upc, CASE WHEN o_orderkey % 12 > 0 THEN 'R' || o_orderkey ELSE ' ' END AS title,
- CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '1/2/98' END AS rd, o_orderpriority AS label, CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 8 = 0 THEN 'bad' ELSE 'USPR126' || lpad(o_orderkey::VARCHAR, 5, '0') END AS isrc FROM orders)"""
-_J = """j AS (SELECT o_orderkey AS k, unnest(range(CASE WHEN o_orderkey % 10 = 1 THEN 2 ELSE 1 END)) AS pos, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority AS pri FROM orders WHERE o_orderkey % 10 > 0)"""
+_PICK = lambda n, *xs: "CASE " + n + " % " + str(len(xs)) + " " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+_CSV = f"""c AS (SELECT k, f, 'file-' || f || '.csv' AS path, trim(upc) AS upc, trim(title) AS title, rd, label, isrc, tn, duration, lower(ex) IN ('true', 'yes', '1') AS ex, row_number() OVER (PARTITION BY f ORDER BY k) + 1 AS line FROM (
+ SELECT o_orderkey AS k, o_orderkey // 100 AS f, CASE WHEN o_orderkey % 30 < 27 THEN lpad((o_orderkey // 3 % 5000)::VARCHAR, CASE WHEN o_orderkey % 5 = 4 THEN 11 ELSE 12 END, '0') ELSE ' ' END AS upc, CASE WHEN o_orderkey % 4 > 0 THEN 'R, "x" ' || o_orderkey ELSE ' ' END AS title,
+ {_PICK('o_orderkey', "'1/2/98'", "'2020-13-45'", "'2020'", "'2020-1'", "''", "strftime(o_orderdate, '%Y-%m-%d')")} AS rd, o_orderpriority AS label, {_PICK('o_orderkey', "''", "'bad'", "'us-pr1-26-00001'", "'US-PR126-00001'", "'USPR12600001'")} AS isrc, {_PICK('o_orderkey // 2', "'x'", "'+3'", "'1.5'", "''", "'1_0'", "'7'")} AS tn,
+ CASE WHEN o_orderkey % 6 = 0 THEN '4m' WHEN o_orderkey % 6 = 1 THEN '1:2:3' WHEN o_orderkey % 7 = 2 THEN '' ELSE (o_orderkey % 10) || ':' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') END AS duration, {_PICK('o_orderkey', "'TRUE'", "'no'", "'1'", "''")} AS ex FROM orders)),
+g AS (SELECT * FROM c WHERE NOT ({_EMPTY}) AND NOT ({_LATIN}) AND NOT ({_SHORT}))"""
+_JV = {"upc": "CASE WHEN k % 4 = 3 THEN '\"' || lpad(k::VARCHAR, 12, '0') || '\"' ELSE " + _PICK("k", "'\"\"'", "'\"abc\"'", "'123456789012'") + " END", "artist": _PICK("k", "'\"A\"'", "'\" \"'", "'0'", "'false'", "'\"B\"'"), "rd": _PICK("k // 7", "'\"2020-13-45\"'", "'\"2020/01/01\"'", "'\"\"'", "'\"2021-05-06\"'", "'20200101'"), "deals": _PICK("k // 11", "'[]'", "'[{\"territory\":\"DE\"},3]'", "'\"x\"'", "'null'")}
+_JT = {"isrc": _PICK("k", "'\"USPR12600001\"'", "'\"us-pr1-26-00001\"'", "'null'", "'\"\"'", "'\"US-PR126-00001\"'"), "title": _PICK("k // 3", "'\"T\"'", "'\" \"'", "'0'", "'[]'"), "track_number": _PICK("k // 2", "'3'", "'\"4\"'", "'\"x\"'", "'null'", "'2.5'", "'[1]'", "'true'"), "duration_ms": _PICK("k // 5", "'1000'", "'\"1m\"'", "'{}'")}
+_TRACK = " || ".join(f"'{',' if i else '{'}\"{n}\":' || {x}" for i, (n, x) in enumerate(_JT.items())) + " || '}'"
+# The texts anew, taken apart by DuckDB's own JSON functions: t has a release each, u a track each.
+_J = f"""s AS (SELECT k, CASE WHEN k % 20 = 0 THEN '{{' WHEN k % 20 = 1 THEN '[' || body || ',5,' || body || ']' WHEN k % 20 = 2 THEN '3' ELSE body END AS text FROM (
+ SELECT k, '{{"upc":' || {_JV["upc"]} || ',"title":"R \\"q\\" ' || k || '","artist":' || {_JV["artist"]} || ',"label":"L","release_date":' || {_JV["rd"]} || ',"deals":' || {_JV["deals"]} || ',"tracks":' ||
+ CASE k % 9 WHEN 0 THEN '[]' WHEN 1 THEN '{{"a":1}}' WHEN 2 THEN 'null' WHEN 3 THEN '[7,' || {_TRACK} || ',null]' ELSE '[' || {_TRACK} || ',' || {_TRACK} || ']' END || '}}' AS body FROM (SELECT o_orderkey AS k FROM orders))),
+p AS (SELECT k, k::VARCHAR AS path, json_valid(text) AS fine, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM s),
+t AS (SELECT path, i AS pos, r, json_type(r) = 'OBJECT' AS whole, 'releases[' || i || ']' AS fld FROM (SELECT path, unnest(CASE json_type(j) WHEN 'ARRAY' THEN j->'$[*]' ELSE [j] END) AS r, unnest(range(CASE json_type(j) WHEN 'ARRAY' THEN json_array_length(j)::BIGINT ELSE 1 END)) AS i FROM p WHERE fine AND json_type(j) IN ('OBJECT', 'ARRAY'))),
+u AS (SELECT path, pos, fld || '.tracks[' || i || ']' AS fld, x, json_type(x) = 'OBJECT' AS whole FROM (SELECT path, pos, fld, unnest(r->'$.tracks[*]') AS x, unnest(range(json_array_length(r->'$.tracks')::BIGINT)) AS i FROM t WHERE whole AND json_type(r->'$.tracks') = 'ARRAY'))"""
+_NOTHING = lambda v: f"(coalesce(json_type({v}), 'NULL') = 'NULL' OR ({v})::VARCHAR IN ('\"\"', '0', 'false', '[]', '{{}}', '0.0'))"
+_ODD = lambda v, pattern: f"NOT {_NOTHING(v)} AND trim({v}->>'$') <> '' AND NOT regexp_full_match(trim({v}->>'$'), '{pattern}')"
+_NO_INT = lambda v: f"json_type({v}) IN ('ARRAY', 'OBJECT') OR json_type({v}) = 'VARCHAR' AND NOT regexp_full_match(trim({v}->>'$'), '[+-]?[0-9]+(_[0-9]+)*')"
+_FILE_ISRC = "[A-Z]{2}-?[A-Z0-9]{3}-?[0-9]{2}-?[0-9]{5}"
 
 
 def _any(cases, source, columns):
@@ -174,12 +217,18 @@ def _any(cases, source, columns):
 
 
 _CSV_CHECKS = [
-    ("csv.missing_upc", "error", "upc = ''"), ("csv.upc_format", "error", "len(upc) = 11"), ("csv.isrc_format", "error", "isrc = 'bad'"), ("csv.date_format", "error", "k % 4 = 0"), ("csv.track_number", "warning", "k % 7 = 0"),
-    ("csv.duration_format", "warning", "k % 6 = 0"), ("csv.missing_release_title", "error", "k % 12 = 0"),
+    ("csv.missing_upc", "error", "upc = ''", "NULL"), ("csv.upc_format", "error", "upc <> '' AND NOT regexp_full_match(upc, '[0-9]{12,13}')", "upc"), ("csv.isrc_format", "error", f"upc <> '' AND isrc <> '' AND NOT regexp_full_match(isrc, '{_FILE_ISRC}')", "isrc"),
+    ("csv.date_format", "error", "upc <> '' AND rd <> '' AND NOT regexp_full_match(rd, '[0-9]{4}-[0-9]{2}-[0-9]{2}')", "rd"), ("csv.track_number", "error", "upc <> '' AND tn <> '' AND NOT regexp_full_match(tn, '[+-]?[0-9]+(_[0-9]+)*')", "tn"),
+    ("csv.duration_format", "warning", "upc <> '' AND duration <> '' AND NOT regexp_full_match(duration, '[0-9]{1,3}:[0-9]{2}')", "duration"),
 ]
+_CSV_FILES = [("csv.empty", _EMPTY), ("csv.encoding", f"NOT ({_EMPTY}) AND ({_LATIN})"), ("csv.missing_columns", f"NOT ({_EMPTY}) AND NOT ({_LATIN}) AND ({_SHORT})")]
 _JSON_CHECKS = [
-    ("json.missing_upc", "error", "k % 4 = 0"), ("json.upc_format", "error", "k % 4 = 1"), ("json.missing_artist", "error", "k % 6 <= 2"), ("json.missing_release_date", "error", "k % 6 = 0"), ("json.date_format", "error", "k % 6 = 1"),
-    ("json.no_tracks", "warning", "k % 5 = 2"), ("json.track_isrc", "error", "k % 5 <> 2 AND k % 3 = 0"),
+    *[(f"json.missing_{x}", "error", "t", f"whole AND {_NOTHING(f'r->' + chr(39) + '$.' + x + chr(39))}", x) for x in ("upc", "title", "artist", "label", "release_date")],
+    ("json.release_type", "error", "t", "NOT whole", ""), ("json.upc_format", "error", "t", f"whole AND {_ODD("(r->'$.upc')", '[0-9]{12,13}')}", "upc"), ("json.date_format", "error", "t", f"whole AND {_ODD("(r->'$.release_date')", '[0-9]{4}-[0-9]{2}-[0-9]{2}')}", "release_date"),
+    ("json.deals_type", "warning", "t", "whole AND json_type(r->'$.deals') NOT IN ('NULL', 'ARRAY')", "deals"), ("json.no_tracks", "error", "t", f"whole AND {_NOTHING("(r->'$.tracks')")}", "tracks"),
+    ("json.tracks_type", "error", "t", f"whole AND NOT {_NOTHING("(r->'$.tracks')")} AND json_type(r->'$.tracks') <> 'ARRAY'", "tracks"), ("json.track_type", "error", "u", "NOT whole", ""),
+    *[(f"json.track.missing_{x}", "error", "u", f"whole AND {_NOTHING(f'x->' + chr(39) + '$.' + x + chr(39))}", x) for x in ("isrc", "title")], ("json.track.isrc_format", "error", "u", f"whole AND {_ODD("(x->'$.isrc')", _FILE_ISRC)}", "isrc"),
+    *[(f"json.track.{x}", "warning", "u", f"whole AND ({_NO_INT(f'(x->' + chr(39) + '$.' + x + chr(39) + ')')})", x) for x in ("track_number", "duration_ms")],
 ]
 _XML_CHECKS = [
     ("ddex.xml.wellformed", "critical", "", "k % 10 = 0"), ("ddex.xml.namespace", "error", "", "k % 10 > 0 AND k % 3 = 0"), ("ddex.structure.missing_deallist", "critical", "DealList", "k % 10 > 0 AND k % 4 = 0"),
@@ -201,13 +250,15 @@ QUERIES = {
         CASE WHEN f % 4 = 3 OR k % 5 = 0 THEN 'T' || lpad(k::VARCHAR, 10, '0') END AS iswc FROM p WHERE k % 10 < 8"""),
     "isrc_file_scan": (isrc_file_scan, f"WITH {_ISRC} SELECT path, row_number, isrc, artist, title, raw AS release_date_raw, CASE WHEN len(raw) = 6 THEN {_DATE} END AS release_date, abbr AS label_abbreviation, label AS label_name, country AS country_code FROM i"),
     "isrc_file_checks": (isrc_file_checks, f"WITH {_ISRC} {_any(_ISRC_CHECKS, 'i', 'path, row_number')}"),
-    "csv_releases": (csv_releases, f"""WITH {_CSV}, t AS (SELECT *, k || CASE WHEN isrc IS NULL THEN '' ELSE ':' || isrc END || ':' || CASE WHEN k % 7 = 0 THEN '?' ELSE (k % 3 + 1)::VARCHAR END || ':' || CASE WHEN k % 6 = 0 THEN '?' ELSE (((k % 10) * 60 + k % 60) * 1000)::VARCHAR END || ':' || CASE WHEN k % 4 IN (0, 2) THEN 'E' ELSE '-' END AS track FROM c WHERE upc <> '')
-        SELECT upc, arg_min(title, k) AS title, 'A' AS artist, arg_min(label, k) AS label, arg_min(rd, k) AS release_date, string_agg(track, '|' ORDER BY k) AS tracks, coalesce(string_agg(nullif(isrc, ''), '|' ORDER BY k), '') AS isrcs FROM t GROUP BY upc"""),
-    "csv_findings": (csv_findings, f"WITH {_CSV} {_any(_CSV_CHECKS, 'c', 'k AS line')}"),
-    "json_releases": (json_releases, f"""WITH {_J}, t AS (SELECT *, CASE WHEN k % 3 > 0 THEN 'USPR126' || lpad(k::VARCHAR, 5, '0') ELSE '?' END || ':' || pri || ':' || (k % 12) || ':' || CASE WHEN k % 2 = 0 THEN '?' ELSE '1000' END AS track FROM j)
-        SELECT k::VARCHAR AS path, pos::INT AS pos, false AS broken, CASE WHEN k % 4 = 1 THEN 'abc' WHEN k % 4 > 1 THEN lpad(k::VARCHAR, 12, '0') END AS upc, 'R "quoted" ' || k AS title, CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN '2020/01/01' ELSE day END AS release_date,
-        CASE WHEN k % 5 = 2 THEN '' ELSE track || '|' || track END AS tracks FROM t UNION ALL SELECT o_orderkey::VARCHAR, 0, true, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 10 = 0"""),
-    "json_findings": (json_findings, f"WITH {_J} {_any(_JSON_CHECKS, 'j', 'k::VARCHAR AS path, pos::INT AS pos')} UNION ALL SELECT o_orderkey::VARCHAR, 0, 'json.parse_error', 'critical' FROM orders WHERE o_orderkey % 10 = 0"),
+    "csv_releases": (csv_releases, f"""WITH {_CSV}, t AS (SELECT *, line || ':' || isrc || ':' || CASE WHEN regexp_full_match(tn, '[+-]?[0-9]+(_[0-9]+)*') THEN replace(tn, '_', '')::BIGINT::VARCHAR ELSE '?' END || ':' || CASE WHEN regexp_full_match(duration, '[0-9]{{1,3}}:[0-9]{{2}}') THEN ((split_part(duration, ':', 1)::INT * 60 + split_part(duration, ':', 2)::INT) * 1000)::VARCHAR ELSE '?' END || ':' || CASE WHEN ex THEN 'E' ELSE '-' END AS track FROM g WHERE upc <> '')
+        SELECT path, upc, arg_min(title, k) AS title, 'A' AS artist, arg_min(label, k) AS label, arg_min(rd, k) AS release_date, 'Album' AS release_type, string_agg(track, '|' ORDER BY k) AS tracks, coalesce(string_agg(nullif(isrc, ''), '|' ORDER BY k), '') AS isrcs FROM t GROUP BY path, upc"""),
+    "csv_findings": (csv_findings, f"WITH {_CSV} " + " UNION ALL ".join(f"SELECT path, line, '{rule}' AS rule_id, '{severity}' AS severity, {actual} AS actual FROM g WHERE {where}" for rule, severity, where, actual in _CSV_CHECKS)
+        + "".join(f" UNION ALL SELECT DISTINCT path, NULL::BIGINT, '{rule}', 'critical', NULL FROM c WHERE {where}" for rule, where in _CSV_FILES) + " UNION ALL SELECT path, NULL, 'csv.missing_release_title', 'error', upc FROM g WHERE upc <> '' GROUP BY path, upc HAVING arg_min(title, k) = ''"),
+    "json_releases": (json_releases, f"""WITH {_J}, w AS (SELECT path, pos, string_agg(CASE WHEN {_NOTHING("(x->'$.isrc')")} OR trim(x->>'$.isrc') = '' THEN '?' ELSE x->>'$.isrc' END || ':' || CASE WHEN coalesce(trim(x->>'$.title'), '') = '' THEN '?' ELSE trim(x->>'$.title') END || ':' || coalesce(CASE json_type(x->'$.track_number') WHEN 'VARCHAR' THEN try_cast(x->>'$.track_number' AS INT) WHEN 'BOOLEAN' THEN 1 WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE trunc((x->>'$.track_number')::DOUBLE)::INT END::VARCHAR, '?') || ':' || coalesce(try_cast(x->>'$.duration_ms' AS BIGINT)::VARCHAR, '?'), '|' ORDER BY fld) AS tracks FROM u WHERE whole GROUP BY path, pos)
+        SELECT path, pos::INT AS pos, CASE WHEN NOT {_NOTHING("(r->'$.upc')")} THEN trim(r->>'$.upc') END AS upc, r->>'$.title' AS title, CASE WHEN NOT {_NOTHING("(r->'$.artist')")} THEN trim(r->>'$.artist') END AS artist, CASE WHEN NOT {_NOTHING("(r->'$.release_date')")} THEN r->>'$.release_date' END AS release_date,
+        CASE WHEN json_type(r->'$.deals') = 'ARRAY' THEN (SELECT count(*) FROM (SELECT unnest(r->'$.deals[*]') AS e) WHERE json_type(e) = 'OBJECT') ELSE -1 END::INT AS n_deals, coalesce(tracks, '') AS tracks FROM t LEFT JOIN w USING (path, pos) WHERE whole"""),
+    "json_findings": (json_findings, f"WITH {_J} " + " UNION ALL ".join(f"SELECT path, '{rule}' AS rule_id, '{severity}' AS severity, fld || '{'.' + x if x else ''}' AS field FROM {source} WHERE {where}" for rule, severity, source, where, x in _JSON_CHECKS)
+        + " UNION ALL SELECT path, 'json.parse', 'critical', '' FROM p WHERE NOT fine UNION ALL SELECT path, 'json.structure', 'critical', '' FROM p WHERE fine AND json_type(j) NOT IN ('OBJECT', 'ARRAY')"),
     "xml_messages": (xml_messages, """SELECT o_orderkey::VARCHAR AS path, o_orderkey % 10 > 0 AS whole, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey::VARCHAR END AS message_id, CASE WHEN o_orderkey % 10 > 0 AND o_orderkey % 3 > 0 THEN '41' END AS version,
         CASE WHEN o_orderkey % 10 > 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'bad' ELSE lpad(o_orderkey::VARCHAR, 12, '0') END END AS upc, CASE WHEN o_orderkey % 10 > 0 THEN 'R & ' || o_orderkey END AS title, CASE WHEN o_orderkey % 10 > 0 THEN o_orderpriority END AS label,
         CASE WHEN o_orderkey % 10 > 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'BAD' ELSE 'USPR126' || lpad(o_orderkey::VARCHAR, 5, '0') END END AS isrc, CASE WHEN o_orderkey % 10 > 0 AND o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deal_start,

@@ -6,11 +6,12 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
 from ..operators.findings import explode_findings, finding
+from ..schema import FINDING
 
 # Columns of metadata files.
 REQUIRED = ("release_title", "artist_name", "upc", "release_date", "label_name", "isrc", "track_title", "track_number", "duration")
@@ -20,72 +21,166 @@ OPTIONAL = (
 )
 
 
+# What an ISRC, a date and whole numbers look like in metadata files.
+FILE_ISRC = r"^[A-Z]{2}-?[A-Z0-9]{3}-?\d{2}-?\d{5}$"
+FILE_DATE = r"^\d{4}-\d{2}-\d{2}$"
+WHOLE = r"^[+-]?\d+(_\d+)*$"
+
+
+def whole_number(c: Column) -> Column:
+    """A whole number written in digits, with a sign or underscores between them; else null."""
+    c = F.trim(c)
+    return F.when(c.rlike(WHOLE), F.replace(c, F.lit("_"), F.lit("")).try_cast("long"))
+
+
 # ------------------------------------------------------------------ CSV
 def missing_columns(columns: list[str]) -> list[str]:
     return sorted(set(REQUIRED) - {c.strip().lower() for c in columns})
 
 
-def read_csv(spark, path: str) -> DataFrame:
-    """Rows of metadata CSV files as text, header names lower-cased and trimmed, absent columns null."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
-    df = df.toDF(*[c.strip().lower().lstrip("﻿") for c in df.columns])
-    return df.select(*[F.trim(F.col(c)).alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in (*REQUIRED, *OPTIONAL)]).withColumn("line", F.monotonically_increasing_id())
-
-
 def csv_findings(rows: DataFrame) -> DataFrame:
+    """Findings of the rows of `uploads` (kind csv): path, line (null: of the file or a release), rule_id, severity, message, field, actual.
+
+    A row without UPC has no further finding; a release's title is that of its first row. Each row is a track, so no release is without tracks.
+    """
     c = F.col
-    return explode_findings(rows, ["line"], [
-        finding(I.blank(c("upc")), "csv.missing_upc", "error", "row has no UPC", "upc"),
-        finding(~I.blank(c("upc")) & ~c("upc").rlike(I.UPC), "csv.upc_format", "error", "UPC is not 12 or 13 digits", "upc", c("upc")),
-        finding(~I.blank(c("isrc")) & ~I.isrc_valid(c("isrc")), "csv.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", c("isrc")),
-        finding(~I.blank(c("release_date")) & c("release_date").try_cast("date").isNull(), "csv.date_format", "error", "date is not YYYY-MM-DD", "release_date", c("release_date")),
-        finding(~I.blank(c("track_number")) & c("track_number").try_cast("int").isNull(), "csv.track_number", "warning", "track number is not a number", "track_number", c("track_number")),
-        finding(~I.blank(c("duration")) & I.mmss_ms(c("duration")).isNull(), "csv.duration_format", "warning", "duration is not MM:SS", "duration", c("duration")),
-        finding(I.blank(c("release_title")), "csv.missing_release_title", "error", "row has no release title", "release_title"),
+    given = F.col("fault").isNull() & ~I.blank(c("upc"))
+    odd = lambda name, pattern: given & ~I.blank(c(name)) & ~c(name).rlike(pattern)
+    per_row = explode_findings(rows, ["path", "line"], [
+        finding(c("fault") == "encoding", "csv.encoding", "critical", "file is not UTF-8"),
+        finding(c("fault") == "empty", "csv.empty", "critical", "file has no header"),
+        finding(c("fault") == "missing_columns", "csv.missing_columns", "critical", F.concat(F.lit("missing: "), F.array_join("missing", ", "))),
+        finding(c("fault").isNull() & I.blank(c("upc")), "csv.missing_upc", "error", "row has no UPC", "upc"),
+        finding(odd("upc", I.UPC), "csv.upc_format", "error", "UPC is not 12 or 13 digits", "upc", c("upc")),
+        finding(odd("isrc", FILE_ISRC), "csv.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", c("isrc")),
+        finding(odd("release_date", FILE_DATE), "csv.date_format", "error", "date is not YYYY-MM-DD", "release_date", c("release_date")),
+        finding(odd("track_number", WHOLE), "csv.track_number", "error", "track number is not a whole number", "track_number", c("track_number")),
+        finding(odd("duration", r"^\d{1,3}:\d{2}$"), "csv.duration_format", "warning", "duration is not MM:SS", "duration", c("duration")),
     ])
+    untitled = rows.where(given).groupBy("path", "upc").agg(F.min_by("release_title", "line").alias("title")).where(I.blank(c("title")))
+    return per_row.unionByName(untitled.select("path", F.lit(None).cast("long").alias("line"), F.lit("csv.missing_release_title").alias("rule_id"), F.lit("error").alias("severity"), F.lit("release has no title").alias("message"), F.lit("release_title").alias("field"), c("upc").alias("actual")))
 
 
 def releases_of_csv(rows: DataFrame) -> DataFrame:
-    """One row a UPC: the first row's release fields, and the tracks in order."""
-    names = ["release_title", "artist_name", "release_date", "label_name", "release_type", "genre", "parental_warning", "c_line", "p_line", "territory", "commercial_model", "language"]
+    """One row a UPC of a file: the first row's release fields, and the tracks in order."""
+    names = ["release_title", "artist_name", "release_date", "label_name", "release_type", "genre", "parental_warning", "c_line", "p_line", "territory", "commercial_model", "use_type", "start_date", "end_date"]
     track = F.struct(
-        "line", "isrc", F.col("track_title").alias("title"), F.col("track_number").try_cast("int").alias("track_number"), I.mmss_ms(F.col("duration")).alias("duration_ms"),
-        "composer", "lyricist", "producer", "mix_engineer", F.lower("explicit").isin("true", "yes", "1").alias("explicit"), "language", "track_version",
+        "line", "isrc", F.col("track_title").alias("title"), whole_number(F.col("track_number")).alias("track_number"), I.mmss_ms(F.col("duration")).alias("duration_ms"), "composer", "lyricist", "producer",
+        "mix_engineer", F.coalesce(F.lower("explicit").isin("true", "yes", "1"), F.lit(False)).alias("explicit"), "language", "track_version", "resource_reference",
     )
-    g = rows.where(~I.blank(F.col("upc"))).groupBy("upc").agg(F.min_by(F.struct(*names), "line").alias("r"), F.array_sort(F.collect_list(track)).alias("tracks"))
-    return g.select("upc", "r.*", "tracks").withColumnsRenamed({"release_title": "title", "artist_name": "artist", "label_name": "label"}).withColumn("isrc_list", F.array_compact(F.transform("tracks", lambda t: F.nullif(t["isrc"], F.lit("")))))
+    g = rows.where(F.col("fault").isNull() & ~I.blank(F.col("upc"))).groupBy("path", "upc").agg(F.min_by(F.struct(*names), "line").alias("r"), F.array_sort(F.collect_list(track)).alias("tracks"))
+    out = g.select("path", "upc", "r.*", "tracks").withColumnsRenamed({"release_title": "title", "artist_name": "artist", "label_name": "label"})
+    usual = lambda name, value: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(value)).alias(name)
+    return out.withColumns({"release_type": usual("release_type", "Album"), "territory": usual("territory", "Worldwide"), "isrc_list": F.array_compact(F.transform("tracks", lambda t: F.nullif(t["isrc"], F.lit(""))))})
 
 
 # ------------------------------------------------------------------ JSON
-JSON_RELEASE = (
-    "array<struct<upc:string,title:string,artist:string,label:string,release_date:string,release_type:string,genre:string,parental_warning:string,c_line:string,p_line:string,"
-    "language:string,publisher:string,deals:array<struct<territory:string,commercial_model:string,use_type:string,start_date:string,end_date:string>>,"
-    "tracks:array<struct<isrc:string,title:string,track_number:string,duration_ms:string,composer:string,lyricist:string,producer:string,mix_engineer:string,explicit:boolean,language:string,track_version:string>>>>"
-)
+# Fields of releases, tracks and deals in JSON.
+JSON_NEEDED = ("upc", "title", "artist", "label", "release_date")
+JSON_FIELDS = ("release_type", "genre", "parental_warning", "c_line", "p_line", "language", "publisher")
+JSON_TRACK = ("composer", "lyricist", "producer", "mix_engineer", "explicit", "language", "track_version")
+JSON_DEAL = ("territory", "commercial_model", "use_type", "start_date", "end_date")
+
+
+def _get(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _items(v: Column) -> Column:
+    """Elements of a JSON array; null for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+
+
+def _nothing(v: Column) -> Column:
+    """Whether a value is absent, null, false, zero, or an empty text, array or object."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    return v.isNull() | F.coalesce((kind == "VOID") | F.startswith(kind, F.lit("ARRAY")) & (F.size(_items(v)) == 0) | (kind.isin("BOOLEAN") & (text == "false")) | (kind == "STRING") & (text == "") | kind.isin("OBJECT<>") | (kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))) & (F.try_variant_get(v, "$", "double") == 0), F.lit(False))
+
+
+def _text(v: Column) -> Column:
+    """A value as text, trimmed; null if it is absent or null."""
+    return F.trim(F.try_variant_get(v, "$", "string"))
+
+
+def _not_whole(v: Column) -> Column:
+    """Whether a value is given but no whole number can be made of it: texts that aren't digits, arrays and objects."""
+    kind = F.schema_of_variant(v)
+    nested = F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
+    return v.isNotNull() & F.coalesce((kind != "VOID") & (nested | (kind == "STRING") & ~_text(v).rlike(WHOLE)), F.lit(False))
+
+
+def _whole(v: Column) -> Column:
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "STRING", whole_number(_text(v))).when(kind == "BOOLEAN", F.when(_text(v) == "true", 1).otherwise(0).cast("long")).otherwise(F.try_variant_get(v, "$", "double").try_cast("long"))
+
+
+def parse_json_uploads(files: DataFrame) -> DataFrame:
+    """path, fault (encoding, parse, structure; null) and pos and v, the releases of a text of one or an array of them. Each text is parsed once.
+
+    files: path, text, and fault where a source gives one. Texts with NaN or a key twice in an object count as no JSON.
+    """
+    fault = F.col("fault") if "fault" in files.columns else F.lit(None).cast("string")
+    body = F.regexp_replace(F.coalesce("text", F.lit("")), "^\\ufeff", "")
+    parsed = files.select("path", fault.alias("given"), F.try_parse_json(body).alias("j"))
+    parsed = parsed.withColumn("list", F.when(_is_object(F.col("j")), F.array("j")).otherwise(_items(F.col("j"))))
+    wrong = F.coalesce("given", F.when(F.col("j").isNull(), "parse").when(F.col("list").isNull(), "structure"))
+    return parsed.select("path", wrong.alias("fault"), F.posexplode_outer("list").alias("pos", "v"))
 
 
 def releases_of_json(files: DataFrame) -> DataFrame:
-    """Releases of JSON texts, an object or an array of them. Texts that don't parse give one row with `broken` true."""
-    body = F.trim(F.regexp_replace("text", "^﻿", ""))
-    array = F.when(F.startswith(body, F.lit("[")), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    parsed = F.when(F.expr("try_parse_json(text)").isNotNull(), F.from_json(array, JSON_RELEASE))
-    rows = files.select("path", F.posexplode_outer(parsed).alias("pos", "r"))
-    tracks = F.transform("r.tracks", lambda t: t.withField("track_number", t["track_number"].try_cast("int")).withField("duration_ms", t["duration_ms"].try_cast("long")))
-    return rows.select("path", "pos", F.col("r").isNull().alias("broken"), F.col("r").alias("release"), tracks.alias("tracks"))
-
-
-def json_findings(releases: DataFrame) -> DataFrame:
-    c = lambda name: F.col(f"release.{name}")
-    found = [finding(F.col("broken"), "json.parse_error", "critical", "text is not JSON", "")]
-    for name in ("upc", "title", "artist", "label", "release_date"):
-        found.append(finding(~F.col("broken") & I.blank(c(name)), f"json.missing_{name}", "error", f"no {name}", name))
+    """path, pos, fault, broken (the text is no JSON), release (its fields, tracks and deals as given) and tracks."""
+    v = F.col("v")
+    track = lambda t: F.struct(
+        *[F.nullif(_text(_get(t, k)), F.lit("")).alias(k) for k in ("isrc", "title")], _whole(_get(t, "track_number")).cast("int").alias("track_number"), _whole(_get(t, "duration_ms")).alias("duration_ms"), *[_text(_get(t, k)).alias(k) for k in JSON_TRACK]
+    )
+    deal = lambda d: F.struct(*[_text(_get(d, k)).alias(k) for k in JSON_DEAL])
+    objects = lambda name: F.filter(_items(_get(v, name)), _is_object)
+    made = F.struct(*[F.when(~_nothing(_get(v, k)), _text(_get(v, k))).alias(k) for k in JSON_NEEDED], *[_text(_get(v, k)).alias(k) for k in JSON_FIELDS], F.transform(objects("deals"), deal).alias("deals"))
+    return parse_json_uploads(files).select("path", "pos", "fault", F.col("fault").eqNullSafe("parse").alias("broken"), F.when(_is_object(v), made).alias("release"), F.when(_is_object(v), F.transform(F.coalesce(objects("tracks"), F.array().cast("array<variant>")), track)).alias("tracks"))
+
+
+def json_findings(files: DataFrame) -> DataFrame:
+    """Findings of JSON texts: path, pos (of the release), rule_id, severity, message, field (its path in the release), actual; one pass, one explode."""
+    v, fault, pos = F.col("v"), F.col("fault"), F.col("pos")
+    whole = fault.isNull() & _is_object(v)
+    at = lambda *parts: F.concat(F.lit("releases["), pos.cast("string"), F.lit("]"), *parts)
+    found = [
+        finding(fault == "encoding", "json.encoding", "critical", "file is not UTF-8"), finding(fault == "parse", "json.parse", "critical", "text is not JSON"), finding(fault == "structure", "json.structure", "critical", "neither a release nor an array of releases"),
+        finding(fault.isNull() & pos.isNotNull() & ~_is_object(v), "json.release_type", "error", "a release is not an object"),
+    ]
+    for k in JSON_NEEDED:
+        found.append(finding(whole & _nothing(_get(v, k)), f"json.missing_{k}", "error", f"no {k}", k))
+    odd = lambda k, pattern: whole & ~_nothing(_get(v, k)) & (_text(_get(v, k)) != "") & ~_text(_get(v, k)).rlike(pattern)
+    tracks, deals = _get(v, "tracks"), _get(v, "deals")
     found += [
-        finding(~I.blank(c("upc")) & ~c("upc").rlike(I.UPC), "json.upc_format", "error", "UPC is not 12 or 13 digits", "upc", c("upc")),
-        finding(~I.blank(c("release_date")) & c("release_date").try_cast("date").isNull(), "json.date_format", "error", "date is not YYYY-MM-DD", "release_date", c("release_date")),
-        finding(~F.col("broken") & (F.coalesce(F.size("tracks"), F.lit(0)) <= 0), "json.no_tracks", "warning", "no tracks", "tracks"),
-        finding(F.exists("tracks", lambda t: I.blank(t["isrc"])), "json.track_isrc", "error", "a track has no ISRC", "tracks"),
-    ]
-    return explode_findings(releases, ["path", "pos"], found)
+        finding(odd("upc", I.UPC), "json.upc_format", "error", "UPC is not 12 or 13 digits", "upc", _text(_get(v, "upc"))), finding(odd("release_date", FILE_DATE), "json.date_format", "error", "date is not YYYY-MM-DD", "release_date", _text(_get(v, "release_date"))),
+        finding(whole & deals.isNotNull() & (F.schema_of_variant(deals) != "VOID") & _items(deals).isNull(), "json.deals_type", "warning", "deals are not an array", "deals"),
+        finding(whole & _nothing(tracks), "json.no_tracks", "error", "no tracks", "tracks"), finding(whole & ~_nothing(tracks) & _items(tracks).isNull(), "json.tracks_type", "error", "tracks are not an array", "tracks"),
+    ]
+
+    def of_track(t: Column, i: Column) -> Column:
+        is_track, isrc = _is_object(t), _text(_get(t, "isrc"))
+        each = [
+            finding(~is_track, "json.track_type", "error", "a track is not an object"), finding(is_track & _nothing(_get(t, "isrc")), "json.track.missing_isrc", "error", "no isrc", "isrc"), finding(is_track & _nothing(_get(t, "title")), "json.track.missing_title", "error", "no title", "title"),
+            finding(is_track & ~_nothing(_get(t, "isrc")) & (isrc != "") & ~isrc.rlike(FILE_ISRC), "json.track.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", isrc), finding(is_track & _not_whole(_get(t, "track_number")), "json.track.track_number", "warning", "not a whole number", "track_number", _text(_get(t, "track_number"))),
+            finding(is_track & _not_whole(_get(t, "duration_ms")), "json.track.duration_ms", "warning", "not a whole number", "duration_ms", _text(_get(t, "duration_ms"))),
+        ]
+        place = F.concat(F.lit("tracks["), i.cast("string"), F.lit("]"))
+        return F.transform(F.array_compact(F.array(*each)), lambda f: f.withField("field", F.when(f["field"] == "", place).otherwise(F.concat(place, F.lit("."), f["field"]))))
+
+    of_tracks = F.when(whole, F.flatten(F.transform(_items(tracks), of_track)))
+    rows = parse_json_uploads(files).select("path", "pos", F.explode(F.concat(F.array_compact(F.array(*found)), F.coalesce(of_tracks, F.array().cast(of_type())))).alias("f"))
+    rows = rows.select("path", "pos", "f.*")
+    return rows.withColumn("field", F.when(pos.isNotNull(), F.when(F.col("field") == "", at()).otherwise(at(F.lit("."), F.col("field")))).otherwise(""))
+
+
+def of_type() -> str:
+    return f"array<{FINDING if isinstance(FINDING, str) else FINDING.simpleString()}>"
 
 
 # ------------------------------------------------------------------ XML
