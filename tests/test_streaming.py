@@ -1,12 +1,14 @@
 """Streams over files: each micro-batch is a file, and what comes out must equal the batch result over all files."""
 
 import datetime as dt
+import random
 import shutil
 import time
 
 import pytest
 from tonearm.streaming import events as E
 from tonearm.streaming import ratelimit as L
+from tonearm.streaming import scanstate as M
 
 USAGE = "endpoint string, status_code int, latency_ms long, created_at timestamp"
 
@@ -61,14 +63,33 @@ def test_rescored(spark, tmp_path):
     assert last == {r["scan_id"]: r["score"] for r in E.rescored(b).collect()} == {1: 87.0, 2: 99.5}
 
 
-@pytest.mark.parametrize("split", [1, 3])
-def test_limits(spark, tmp_path, split):
-    rows = [(k, at(i / 4), i) for i in range(24) for k in ((1, 2) if i % 3 else (1,))]
-    cut = len(rows) // split
-    s, b = stream(spark, tmp_path, [rows[i : i + cut] for i in range(0, len(rows), cut)], "user_id long, ts timestamp, event_id long")
-    got = drain(L.limit_stream(s, "user_id", "ts", "event_id", 3), tmp_path, "append", f"limits{split}", len(rows))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, L.limit_batch(b, "user_id", "ts", "event_id", 3).collect()))
-    assert got.where("not allowed").count() > 0
+END = at(10_000)  # rows of another key that push the watermark past all others
+
+
+@pytest.mark.parametrize("split", [1, 4])
+def test_limits_in_any_order_of_arrival(spark, tmp_path, split):
+    rows = [(k, at(i / 4), i, "pro" if k == 2 else "starter") for i in range(40) for k in ((1, 2) if i % 3 else (1,))]
+    random.Random(split).shuffle(rows)
+    cut = -(-len(rows) // split)
+    s, b = stream(spark, tmp_path, [rows[i : i + cut] for i in range(0, len(rows), cut)] + [[(9, END, 999, "pro")]], "user_id long, ts timestamp, event_id long, tier string")
+    got = drain(L.limits(s, "user_id", "ts", "event_id", seconds=120, tier="tier", late="1 hour"), tmp_path, "append", f"limits{split}")
+    want = L.limits(b.where("user_id < 9"), "user_id", "ts", "event_id", seconds=120, tier="tier")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == len(rows)
+    assert got.where("not allowed").count() > 0 and got.where("user_id = 2 and remaining > 20").count() > 0
+
+
+@pytest.mark.parametrize("split", [1, 5])
+def test_scan_moves_in_any_order_of_arrival(spark, tmp_path, split):
+    events = ["queue", "start", "complete", "start", "cancel", "fail"]
+    rows = [(k, at(i * (2 + k * 3)), events[(i * (k % 2 + 1)) % 6], i) for k in range(6) for i in range(5)]
+    random.Random(split).shuffle(rows)
+    cut = -(-len(rows) // split)
+    s, b = stream(spark, tmp_path, [rows[i : i + cut] for i in range(0, len(rows), cut)] + [[(99, END, "queue", 999)]], "scan_id long, at timestamp, event string, event_id long")
+    got = drain(M.moves(s, late="5 hours"), tmp_path, "append", f"moves{split}")
+    want = M.moves(b.where("scan_id < 99"), until=1_900_000_000_000_000)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert got.where("event = 'timeout'").count() > 0 and got.where("not legal").count() > 0
 
 
 def test_index_batches_replay(spark, tmp_path):

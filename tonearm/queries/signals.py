@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import enrichment as N
 from ..operators import fraud as D
+from ..operators import search as S
 from ..plans import rules as R
 from ..schema import with_release_defaults
 from ..streaming import events as E
@@ -46,6 +47,32 @@ def best_candidates(spark, d):
     return N.best_candidates(t, c, "p_partkey").select("p_partkey", "candidate_id", F.round("score", 6).alias("score"), "confidence")
 
 
+def _songs(spark, d):
+    """Recordings: the first words of a document are its title and artist; releases: the same with a word less, a word more or in another order, some with ISRCs."""
+    k = F.col("doc_id")
+    w = F.split(F.lower("text"), r"[^a-z]+")
+    docs = T.load(spark, d, "documents").select(k, F.slice(w, 1, 5).alias("t"), F.slice(w, 6, 2).alias("a"))
+    code = F.concat(F.lit("USPR1"), F.lpad((k % 10_000_000).cast("string"), 7, "0"))
+    recordings = docs.select(k.alias("recording_id"), F.when(k % 2 == 0, code).alias("isrc"), F.array_join("t", " ").alias("title"), F.array_join("a", " ").alias("artist"))
+    title = F.when(k % 4 == 0, F.array_join(F.slice("t", 2, 4), " ")).when(k % 4 == 1, F.concat(F.lit("Live: "), F.array_join(F.reverse("t"), " "))).otherwise(F.upper(F.array_join("t", " ")))
+    codes = F.when(k % 6 == 0, F.array(F.lit("bad"), F.lower(code), code)).when(k % 6 == 1, F.array(code)).otherwise(F.array().cast("array<string>"))
+    return docs.select(k.alias("release_id"), codes.alias("isrc_list"), title.alias("title"), F.array_join("a", " ").alias("artist")), recordings
+
+
+def recording_search(spark, d):
+    """The five best recordings of every release by words."""
+    releases, recordings = _songs(spark, d)
+    return S.search(releases, recordings, "release_id").select("release_id", "pos", "recording_id", F.round("overlap", 9).alias("overlap"))
+
+
+def recording_lookup(spark, d):
+    """ISRC first, search for the rest. Whether names are alike is told by a library, so the SQL has the ISRC part and how many were searched."""
+    releases, recordings = _songs(spark, d)
+    found = S.lookup(releases, recordings, "release_id")
+    by_isrc = F.col("via") == "isrc"
+    return found.select("release_id", F.when(by_isrc, "isrc").alias("via"), F.when(by_isrc, F.array_join(F.transform("recordings", lambda x: x.cast("string")), ",")).alias("recordings"))
+
+
 def isrc_lookup(spark, d):
     k = F.col("p_partkey")
     isrc = F.when(k % 3 == 2, F.concat(F.lit("bad-"), k.cast("string"))).otherwise(F.concat(F.lit("gb-abc-26-"), F.lpad(k.cast("string"), 5, "0")))
@@ -120,7 +147,16 @@ _LANGUAGE = {
     "truth": "p_partkey % 3 = 0 OR p_partkey % 4 = 0", "length": "len(p_name) IN (10, 11, 12)", "part": "contains(p_name, 'ring')", "method": "false", "keyword": "false", "unknown": "false", "syntax": "false",
 }
 
+_SONGS = r"""d AS (SELECT doc_id AS k, list_transform(w[1:5], lambda x: x) AS t, w[6:7] AS a, 'USPR1' || lpad((doc_id % 10000000)::VARCHAR, 7, '0') AS code FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents)),
+ rec AS (SELECT k, array_to_string(t, ' ') AS title, array_to_string(a, ' ') AS artist FROM d), rel AS (SELECT k, CASE k % 4 WHEN 0 THEN array_to_string(t[2:5], ' ') WHEN 1 THEN 'Live: ' || array_to_string(list_reverse(t), ' ') ELSE upper(array_to_string(t, ' ')) END AS title, array_to_string(a, ' ') AS artist FROM d)"""
+_WORD_SETS = lambda name: f"SELECT DISTINCT k, w FROM (SELECT k, 't:' || unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS w FROM {name} UNION ALL SELECT k, 'a:' || unnest(regexp_extract_all(lower(artist), '[\\p{{L}}\\p{{N}}]+')) FROM {name})"
+
 QUERIES = {
+    "recording_search": (recording_search, f"""WITH {_SONGS}, rw AS MATERIALIZED ({_WORD_SETS("rec")}), lw AS MATERIALIZED ({_WORD_SETS("rel")}), n AS (SELECT count(DISTINCT k) AS rows FROM rw), u AS MATERIALIZED (SELECT w, count(*) AS n FROM rw GROUP BY w),
+        r AS MATERIALIZED (SELECT k, w, round(ln(1 + rows / n::DOUBLE) * 1000000)::BIGINT AS u FROM rw JOIN u USING (w), n), l AS MATERIALIZED (SELECT k, w, round(ln(1 + rows / coalesce(u.n, 1)::DOUBLE) * 1000000)::BIGINT AS u FROM lw LEFT JOIN u USING (w), n),
+        s AS (SELECT l.k AS release_id, r.k AS recording_id, sum(l.u) AS shared FROM l JOIN r USING (w) GROUP BY 1, 2), o AS (SELECT release_id, recording_id, shared::DOUBLE / (x.u + y.u - shared)::DOUBLE AS overlap FROM s JOIN (SELECT k, sum(u) AS u FROM l GROUP BY k) AS x ON x.k = release_id JOIN (SELECT k, sum(u) AS u FROM r GROUP BY k) AS y ON y.k = recording_id)
+        SELECT release_id, row_number() OVER (PARTITION BY release_id ORDER BY overlap DESC, recording_id)::INT AS pos, recording_id, round(overlap, 9) AS overlap FROM o WHERE overlap >= 0.3 QUALIFY pos <= 5"""),
+    "recording_lookup": (recording_lookup, "SELECT doc_id AS release_id, CASE WHEN doc_id % 6 = 0 THEN 'isrc' END AS via, CASE WHEN doc_id % 6 = 0 THEN doc_id::VARCHAR END AS recordings FROM documents"),
     "name_signals": (name_signals, """WITH a AS (SELECT c_custkey AS release_id, 'supplier ' || c_custkey AS folded, c_custkey % 3 = 0 AS odd FROM customer), k AS (SELECT 'supplier ' || (s_suppkey * 37) AS known, s_suppkey AS pos FROM supplier),
         m AS (SELECT release_id, levenshtein(folded, known) AS distance FROM a JOIN k ON levenshtein(folded, known) <= 2 QUALIFY row_number() OVER (PARTITION BY release_id ORDER BY pos) = 1)
         SELECT release_id, 'fraud.artist_name_similarity' AS signal_id, CASE WHEN distance <= 1 THEN 'high' ELSE 'medium' END AS confidence FROM m WHERE distance > 0

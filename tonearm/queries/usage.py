@@ -8,6 +8,7 @@ from ..plans import analytics as A
 from ..sources import detect
 from ..streaming import events as E
 from ..streaming import ratelimit as L
+from ..streaming import scanstate as M
 from . import tables as T
 
 
@@ -65,6 +66,21 @@ def rate_limit_log(spark, d):
     return L.limit_batch(e, "user_id", "ts", "event_id", 5, 3600 * 24).select("user_id", "event_id", "allowed")
 
 
+def rate_limit_tiers(spark, d):
+    """A limit by tier, with what remains and when the window ends."""
+    e = T.load(spark, d, "events").withColumn("tier", F.element_at(F.array(F.lit("starter"), F.lit("pro"), F.lit("none")), (F.col("user_id") % 3).cast("int") + 1))
+    return L.limits(e, "user_id", "ts", "event_id", seconds=3600 * 48, tier="tier").select("user_id", "event_id", "allowed", "remaining", "reset")
+
+
+def scan_moves(spark, d):
+    """A line item is an event of its order's scan; some come out of turn, some too late. In the end all that still wait time out."""
+    n = F.col("l_linenumber")
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("l_orderkey") % 1000 * 60 + n * (3 + F.col("l_partkey") % 7) * 60 + F.col("l_suppkey") % 60)
+    event = F.element_at(F.array(*[F.lit(x) for x in ("queue", "start", "complete", "fail", "cancel")]), ((n - F.when(F.col("l_partkey") % 5 > 0, 1).otherwise(0)) % 5).cast("int") + 1)
+    rows = T.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("scan_id"), at.alias("at"), event.alias("event"), (n * 100_000 + F.col("l_partkey")).cast("long").alias("event_id"))
+    return M.moves(rows, until=1_900_000_000_000_000)
+
+
 def format_detect(spark, d):
     p = T.load(spark, d, "pages")
     name = F.when(F.col("page_id") % 3 == 0, "a.csv").when(F.col("page_id") % 3 == 1, "A.JSON").otherwise("")
@@ -91,5 +107,17 @@ QUERIES = {
         r AS (SELECT user_id, event_id, i, true AS allowed, [t] AS log FROM e WHERE i = 1 UNION ALL
         SELECT user_id, event_id, i, len(l) < 5, CASE WHEN len(l) < 5 THEN list_append(l, t) ELSE l END FROM (SELECT e.*, list_filter(r.log, lambda x: x >= e.t - 86400000000) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
         SELECT user_id, event_id, allowed FROM r"""),
+    "rate_limit_tiers": (rate_limit_tiers, """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE WHEN user_id % 3 = 1 THEN 30 ELSE 5 END AS most FROM events),
+        r AS (SELECT user_id, event_id, i, t, true AS allowed, [t] AS log, most FROM e WHERE i = 1 UNION ALL
+        SELECT user_id, event_id, i, t, len(l) < most, CASE WHEN len(l) < most THEN list_append(l, t) ELSE l END, most FROM (SELECT e.*, list_filter(r.log, lambda x: x >= e.t - 172800000000) AS l FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+        SELECT user_id, event_id, allowed, CASE WHEN allowed THEN most - len(log) ELSE 0 END::BIGINT AS remaining, ceil((CASE WHEN allowed THEN t ELSE log[1] END + 172800000000) / 1000000.0)::BIGINT AS reset FROM r"""),
+    "scan_moves": (scan_moves, """WITH RECURSIVE e AS (SELECT l_orderkey AS scan_id, l_linenumber * 100000 + l_partkey AS event_id, make_timestamp((1704067200 + l_orderkey % 1000 * 60 + l_linenumber * (3 + l_partkey % 7) * 60 + l_suppkey % 60)::BIGINT * 1000000) AS "at",
+        ['queue', 'start', 'complete', 'fail', 'cancel'][((l_linenumber - CASE WHEN l_partkey % 5 > 0 THEN 1 ELSE 0 END) % 5)::INT + 1] AS event FROM lineitem),
+        o AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY "at", event_id) AS i FROM e),
+        s AS (SELECT scan_id, event_id, "at", event, i, NULL::VARCHAR AS was, NULL::TIMESTAMP AS fell, NULL::VARCHAR AS before, CASE WHEN event = 'queue' THEN 'queued' END AS status, CASE WHEN event = 'queue' THEN "at" END AS since, event = 'queue' AS legal FROM o WHERE i = 1 UNION ALL
+        SELECT scan_id, event_id, "at", event, i, was, fell, b, coalesce(m, b), CASE WHEN m IS NOT NULL THEN "at" ELSE coalesce(fell, since) END, m IS NOT NULL FROM (SELECT *, CASE WHEN event = 'queue' AND b IS NULL THEN 'queued' WHEN event = 'start' AND b = 'queued' THEN 'running' WHEN event = 'complete' AND b = 'running' THEN 'complete'
+            WHEN event = 'fail' AND b = 'running' OR event = 'cancel' AND b IN ('queued', 'running') THEN 'failed' END AS m FROM (SELECT *, CASE WHEN fell IS NULL THEN was ELSE 'failed' END AS b FROM (SELECT o.scan_id, o.event_id, o."at", o.event, o.i, s.status AS was, s.since, CASE WHEN s.status IN ('queued', 'running') AND s.since + INTERVAL 15 MINUTES < o."at" THEN s.since + INTERVAL 15 MINUTES END AS fell FROM s JOIN o ON o.scan_id = s.scan_id AND o.i = s.i + 1))))
+        SELECT scan_id, "at", event_id, event, before, status, legal FROM s UNION ALL SELECT scan_id, fell, NULL, 'timeout', was, 'failed', true FROM s WHERE fell IS NOT NULL
+        UNION ALL SELECT scan_id, since + INTERVAL 15 MINUTES, NULL, 'timeout', status, 'failed', true FROM (SELECT * FROM s QUALIFY i = max(i) OVER (PARTITION BY scan_id)) WHERE status IN ('queued', 'running')"""),
     "format_detect": (format_detect, """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'csv' WHEN page_id % 3 = 1 THEN 'json' WHEN page_id % 2 = 0 THEN 'json' ELSE 'xml' END AS format FROM pages"""),
 }
