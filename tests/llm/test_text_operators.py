@@ -474,6 +474,48 @@ def test_quality_word_vectors_are_those_of_all_documents(spark, monkeypatch):
     assert (near[0] == index[6] + index[7]).all() and (near[3] == 0).all()
 
 
+def plain_shape(text):
+    """Shape numbers of one text, token by token."""
+    raw = (text or "").encode()
+    kind = ["w" if b in b"\t\n\v\f\r " else "l" if chr(b).isascii() and chr(b).isalpha() or b >= 128 else "d" if chr(b).isdigit() else "m" for b in raw]
+    runs, at = [], 0
+    while at < len(raw):
+        end = at
+        while end < len(raw) and kind[end] == kind[at]:
+            end += 1
+        if kind[at] != "w":
+            runs.append((kind[at], raw[at:end]))
+        at = end
+    n, size = max(len(runs), 1), max(len(raw), 1)
+    shouted = [k == "l" and len(t) > 1 and all(65 <= b <= 90 for b in t) for k, t in runs]
+    names = [(t.lower() if t.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in t), s) for (_, t), s in zip(runs, shouted)]
+    out = [math.log1p(len(raw)), math.log1p(len(runs)), sum(k == "m" for k, _ in runs) / n, sum(k == "d" for k, _ in runs) / n, sum(shouted) / n, sum(65 <= b <= 90 for b in raw) / size]
+    out += [kind.count("m") / size, kind.count("w") / size, raw.count(b"\n") / size * 10, sum(len(t) for k, t in runs if k == "l") / n / 8, sum(k == "l" and len(t) > 12 for k, t in runs) / n]
+    return [*out, len(set(names)) / n, min(len(set(zip(names, names[1:]))) / n, 2), float(not raw), sum(a == b for a, b in zip(names, names[1:])) / n]
+
+
+def test_quality_shape_numbers_of_a_plain_version():
+    texts = ["the cat sat on the mat", "the cat sat on the mat", "mat the mat the", "", None, " \n\t", "AB ab Ab A1-2 !! ÜBER über", "x" * 40 + " 12 12 12", "end mat", "a"]
+    shape = quality.tokens(*C.text_buffer(pa.array(texts)))[2]
+    assert np.allclose(shape, [plain_shape(t) for t in texts], atol=1e-6)
+
+
+def test_quality_score_is_of_its_text_alone(spark, sf):
+    """Scores of the query, for two layouts of the rows, and text by text from features made one at a time."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = docs.select("doc_id", "text"), labels.where(C.crc_mod("doc_id", 3) != 1)
+    of = lambda d, m: {r["doc_id"]: r["score"] for r in quality.score(d, *m).collect()}
+    model, other = quality.fit(docs.coalesce(1), labels), quality.fit(docs.repartition(7), labels)
+    one, many = of(docs.coalesce(1), model), of(docs.repartition(7), other)
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-9
+    vectors, network = model
+    folded = network.fold(vectors)
+    for r in docs.limit(60).collect():
+        bucket, at, shape = quality.tokens(*C.text_buffer(pa.array([r["text"]])))
+        want = network.predict((folded[bucket].astype(float).mean(0) if len(bucket) else np.zeros(folded.shape[1]))[None], shape)
+        assert abs(float(want[0]) - one[r["doc_id"]]) < 1e-9
+
+
 def test_quality_odd_rows(spark, odd, clashing, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0), (None, 1), (7, None), (99, 1)], "doc_id long, quality int")
     model = quality.fit(odd, labels)

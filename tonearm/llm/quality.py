@@ -81,8 +81,10 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     row = np.repeat(np.arange(n_rows), np.diff(at))
     pair = np.unique(row.astype(np.int64) * BUCKETS + bucket)
     distinct = np.bincount(pair // BUCKETS, minlength=n_rows)
-    bigram = np.unique((row[:-1].astype(np.uint64) << C.U64(40)) ^ (C.mix(hashes[:-1] * C.U64(3) + hashes[1:]) >> C.U64(24))) if len(row) > 1 else np.zeros(0, C.U64)
-    bigrams = np.bincount((bigram >> C.U64(40)).astype(np.int64) % max(n_rows, 1), minlength=n_rows)[:n_rows] if len(bigram) else np.zeros(n_rows)
+    together = row[1:] == row[:-1]  # neighbours in one row
+    inside = row[1:] == row[:-1]  # neighbours of one row
+    bigram = np.unique((row[:-1][inside].astype(np.uint64) << C.U64(40)) ^ (C.mix(hashes[:-1][inside] * C.U64(3) + hashes[1:][inside]) >> C.U64(24)))
+    bigrams = np.bincount((bigram >> C.U64(40)).astype(np.int64), minlength=n_rows)
     shape[:, 0] = np.log1p(size)
     shape[:, 1] = np.log1p(np.diff(at))
     shape[:, 2] = share(kind[starts] == 3, n)
@@ -111,8 +113,8 @@ def pool(bucket: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         b = min(a + step, len(bucket))
         clip = np.clip(at, a, b) - a
         rows = np.flatnonzero(np.diff(clip))
-        out[rows] += np.add.reduceat(vectors[bucket[a:b]], clip[rows], axis=0)
-    return (out / np.maximum(np.diff(at), 1)[:, None]).astype(np.float32)
+        out[rows] += np.add.reduceat(vectors[bucket[a:b]], clip[rows], axis=0, dtype=np.float64)
+    return out / np.maximum(np.diff(at), 1)[:, None]
 
 
 def beside(vectors: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def beside(vectors: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Index vectors beside the scaled sums of the neighbours' index vectors: BUCKETS x 2 DIM."""
+    """Index vectors beside the scaled sums of the neighbours' index vectors: BUCKETS x 2 DIM. The sums are whole numbers in doubles, so their order doesn't matter."""
     index = index_vectors()
 
     def run(batches):
@@ -146,21 +148,21 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
                     ids, first = C.runs(bucket[lo:hi][order])
                     total[ids] += np.add.reduceat(near[order], first[: len(ids)], axis=0, dtype=np.int32)
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([total[k * (BUCKETS // 64) : (k + 1) * (BUCKETS // 64)].astype(np.float32).tobytes() for k in range(64)], pa.binary())], ["part", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([total[k * (BUCKETS // 64) : (k + 1) * (BUCKETS // 64)].tobytes() for k in range(64)], pa.binary())], ["part", "v"])
 
     def add_up(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column("part").to_pylist(), b.column("v").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.float32)
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, np.float64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], ["part", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "v"])
 
     schema = "part int, v binary"
     found = texts.select("text").mapInArrow(run, schema).repartition(8, "part").mapInArrow(add_up, schema).toArrow()
-    context = np.zeros((64, BUCKETS // 64 * DIM), np.float32)
+    context = np.zeros((64, BUCKETS // 64 * DIM))
     for k, v in zip(found["part"].to_pylist(), found["v"].to_pylist()):
-        context[k] = np.frombuffer(v, np.float32)
+        context[k] = np.frombuffer(v, np.float64)
     context = context.reshape(BUCKETS, DIM)
     context = context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     return np.concatenate((index / np.sqrt(SPARSE), context), axis=1).astype(np.float32)
@@ -224,7 +226,7 @@ class Network:
         if self.plain:
             return np.full(len(shape), self.share)
         d = len(self.mean) - shape.shape[1]
-        rest = ((shape - self.mean[d:]) / self.spread[d:]) @ self.w[0][d:] + self.w[1]
+        rest = ((shape.astype(np.float64) - self.mean[d:]) / self.spread[d:]) @ self.w[0][d:] + self.w[1]  # doubles: no trace of a row's neighbours
         hidden = np.tanh(folded + rest - (self.mean[:d] / self.spread[:d]) @ self.w[0][:d])
         logit = hidden @ self.w[2] + self.w[3]
         return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -30, 30).astype(np.float64)))
