@@ -7,6 +7,7 @@ from tonearm.operators import bulk as B
 from tonearm.operators import fraud as D
 from tonearm.operators import media as M
 from tonearm.operators import scoring as S
+from tonearm.sources import messages as G
 from tonearm.sources import metadata as P
 from tonearm.sources import stores as K
 
@@ -102,15 +103,15 @@ def test_lists_of_names_and_definitions(spark, tmp_path):
 def test_messages_have_deals_and_versions():
     text = """<n:M xmlns:n="http://x/xml/ern/382" MessageSchemaVersionId="ern/382"><ReleaseList/><DealList><ReleaseDeal><DealReleaseReference>R0</DealReleaseReference><Deal><DealTerms>
     <CommercialModelType>SubscriptionModel</CommercialModelType><UseType>Stream</UseType><TerritoryCode>DE</TerritoryCode><ValidityPeriod><StartDate>2024-01-01</StartDate></ValidityPeriod></DealTerms></Deal></ReleaseDeal></DealList></n:M>"""
-    m = P.parse_message(text)
+    m = G.parse_message(text)
     assert m["version"] == "ern/382" and m["deals"] == [{"release_reference": "R0", "commercial_model": "SubscriptionModel", "start_date": "2024-01-01", "end_date": None, "territory": "DE", "use_types": ["Stream"]}]
-    assert P.parse_message("<x/>")["deals"] == [] and P.parse_message("<x")["error"]
+    assert G.parse_message("<x/>")["deals"] == [] and G.parse_message("<x")["error"]
 
 
 def test_csv_json_and_xml_sources(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<NewReleaseMessage xmlns='http://x/ern/41'><ReleaseList><Release IsMainRelease='true'><ICPN>0123456789012</ICPN><TitleText>T</TitleText></Release></ReleaseList></NewReleaseMessage>")
     files = spark.read.text(str(tmp_path / "a.xml"), wholetext=True).select(F.lit("a").alias("path"), F.col("value").alias("text"))
-    row = files.select(P.parse_xml(F.col("text")).alias("m")).select("m.*").first()
+    row = files.select(G.parse_xml(F.col("text")).alias("m")).select("m.*").first()
     assert (row["upc"], row["title"], row["error"]) == ("0123456789012", "T", None)
     texts = spark.createDataFrame([("j", '[{"upc": "1", "title": "x", "tracks": [{"isrc": "A", "track_number": "2"}]}]'), ("bad", "{")], "path string, text string")
     out = {(r["path"], r["broken"]): r["tracks"] for r in P.releases_of_json(texts).collect()}

@@ -22,7 +22,13 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_names(left: DataFrame, names: DataFrame, key: str, name: str, known: str, pos: str, most: int = 2, length_gap: int = 3) -> DataFrame:
-    """For each row of left the first known name (by pos) within `most` edits; rows whose first hit is equal leave.
+    """For each row of left the first known name (by pos) within `most` edits; rows whose first hit is equal leave."""
+    first = first_near(left.select(name), names, name, known, pos, most, length_gap).where("distance > 0")
+    return left.select(key, name).join(first, name).select(key, name, known, pos, "distance")
+
+
+def first_near(left: DataFrame, names: DataFrame, name: str, known: str, pos: str, most: int = 2, length_gap: int = 3) -> DataFrame:
+    """For each distinct name of left the first known name (by pos) within `most` edits, equal ones included: name, known, pos, distance.
 
     Candidates come from an equi-join on deletion neighbourhoods: two strings within k edits share a string that is made by
     deleting at most k characters from each. So no nested-loop join is needed, and the join stays exact and
@@ -42,9 +48,9 @@ def similar_names(left: DataFrame, names: DataFrame, key: str, name: str, known:
             out = F.concat(out, layer)
         return F.array_distinct(out)
 
-    a = left.select(name).distinct().withColumn("__n", F.explode(neighbours(F.col(name))))
-    b = names.groupBy(known).agg(F.min(pos).alias(pos)).withColumn("__n", F.explode(neighbours(F.col(known))))
+    hashed = lambda c: F.explode(F.array_distinct(F.transform(neighbours(c), lambda s: F.xxhash64(s))))  # noqa: E731  8 bytes a neighbour; what collides is compared below
+    a = left.select(name).distinct().withColumn("__n", hashed(F.col(name)))
+    b = names.groupBy(known).agg(F.min(pos).alias(pos)).withColumn("__n", hashed(F.col(known)))
     pairs = a.join(b, "__n").select(name, known, pos).distinct()
     near = pairs.withColumn("distance", F.levenshtein(name, known, most)).where((F.col("distance") >= 0) & (F.abs(F.length(name) - F.length(known)) <= length_gap))
-    first = near.groupBy(name).agg(F.min_by(F.struct(known, pos, "distance"), pos).alias("m")).select(name, "m.*").where("distance > 0")
-    return left.select(key, name).join(first, name).select(key, name, known, pos, "distance")
+    return near.groupBy(name).agg(F.min_by(F.struct(known, pos, "distance"), pos).alias("m")).select(name, "m.*")

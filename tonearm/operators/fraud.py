@@ -67,11 +67,16 @@ def name_signals(releases: DataFrame, known: DataFrame) -> DataFrame:
     """Artists that look like known ones. known: name, pos."""
     folded = X.strip_marks(X.fold_lookalikes(F.col("artist")))
     rows = releases.select("release_id", "artist", X.has_lookalikes(F.col("artist")).alias("odd"), F.trim(F.lower(F.when(F.col("artist").rlike("[^\\x00-\\x7F]"), folded).otherwise(F.col("artist")))).alias("folded"))
-    near = S.similar_names(rows.where("folded <> ''"), known.select(F.lower(F.trim("name")).alias("known"), "pos"), "release_id", "folded", "known", "pos")
-    similar = near.select("release_id", F.lit("fraud.artist_name_similarity").alias("signal_id"), F.when(F.col("distance") <= 1, "high").otherwise("medium").alias("confidence"), F.concat(F.lit("close to "), "known").alias("explanation"))
-    close = near.where("distance <= 1").select("release_id").unionByName(rows.join(known.select(F.lower(F.trim("name")).alias("folded")), "folded", "left_semi").select("release_id")).distinct().withColumn("close", F.lit(True))
-    odd = rows.where("odd").join(close, "release_id", "left").select("release_id", F.lit("fraud.homoglyph_artist_name").alias("signal_id"), F.when(F.col("close"), "high").otherwise("medium").alias("confidence"), F.lit("look-alike characters").alias("explanation"))
-    return odd.unionByName(similar)
+    names = known.select(F.lower(F.trim("name")).alias("known"), "pos")
+    near = S.first_near(rows.where("folded <> ''").select("folded"), names, "folded", "known", "pos")
+    equal = names.select(F.col("known").alias("folded"), F.lit(True).alias("equal")).distinct()
+    # what each name is near to is found once; both signals come out of one explode
+    found = rows.join(near, "folded", "left").join(equal, "folded", "left")
+    edits, same = F.col("distance"), F.coalesce("equal", F.lit(False))
+    signal = lambda condition, name, strong, text: F.when(condition, F.struct(F.lit(name).alias("signal_id"), F.when(strong, "high").otherwise("medium").alias("confidence"), text.alias("explanation")))
+    odd = signal(F.col("odd"), "fraud.homoglyph_artist_name", same | F.coalesce((edits > 0) & (edits <= 1), F.lit(False)), F.lit("look-alike characters"))
+    similar = signal(F.coalesce(edits > 0, F.lit(False)), "fraud.artist_name_similarity", edits <= 1, F.concat(F.lit("close to "), "known"))
+    return found.select("release_id", F.explode(F.array_compact(F.array(odd, similar))).alias("s")).select("release_id", "s.*")
 
 
 def velocity(releases: DataFrame, key: str, days: int, at: str = "created_at") -> DataFrame:

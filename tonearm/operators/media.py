@@ -32,7 +32,7 @@ def audio_findings(tracks: DataFrame, platforms: DataFrame, keys: list[str]) ->
     few = platforms.count() <= MOST_PLATFORMS
     both = tracks.crossJoin(F.broadcast(platforms) if few else platforms)
     measured = lambda name: F.coalesce(c(name), F.lit(0)) != 0
-    return explode_findings(both, [*keys, "platform"], [
+    found = explode_findings(both, [*keys, "platform"], [
         finding(~F.array_contains("formats", F.lower("format")), "format_not_accepted", "critical", "format is not accepted", "format", c("format")),
         finding(measured("sample_rate") & (c("sample_rate") < c("min_rate")), "sample_rate_too_low", "critical", "sample rate is too low", "sample_rate", c("sample_rate")),
         finding(measured("sample_rate") & (c("sample_rate") >= c("min_rate")) & ~F.array_contains("rates", c("sample_rate")), "sample_rate_not_preferred", "info", "sample rate is not preferred", "sample_rate", c("sample_rate")),
@@ -42,6 +42,7 @@ def audio_findings(tracks: DataFrame, platforms: DataFrame, keys: list[str]) ->
         finding(measured("loudness") & (c("loudness") > c("high")), "loudness_too_loud", "warning", "too loud", "loudness", c("loudness")),
         finding((c("min_seconds") > 0) & (c("seconds") < c("min_seconds")), "duration_too_short", "warning", "too short", "seconds", c("seconds")),
     ])
+    return found.withColumn("rule_id", F.concat("platform", F.lit(".audio."), "rule_id"))
 
 
 def measured_findings(tracks: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,19 +90,19 @@ def artwork_findings(art: DataFrame, keys: list[str]) -> DataFrame:
     known = (c("width") > 0) & (c("height") > 0)
     side = F.least("width", "height")
     return explode_findings(art, keys, [
-        finding(c("format").isNull(), "format_undetected", "critical", "format is unknown", "format"),
-        finding(~F.lower("format").isin("jpeg", "png"), "format_not_accepted", "critical", "neither JPEG nor PNG", "format", c("format")),
-        finding(c("file_size_bytes") > MOST_BYTES, "file_size_too_large", "critical", "file is over 10 MiB", "file_size_bytes", c("file_size_bytes")),
-        finding(known & (side < LEAST_SIDE), "resolution_too_low", "critical", "a side is under 3000 pixels", "width", side),
-        finding(known & (side >= LEAST_SIDE) & (side < GOOD_SIDE), "resolution_below_recommended", "info", "a side is under 4000 pixels", "width", side),
-        finding(known & (F.abs(F.try_divide(c("width").cast("double"), c("height")) - 1) > 0.01), "not_square", "critical", "not square", "width", F.concat_ws("x", "width", "height")),
-        finding(c("color_mode") == "CMYK", "color_mode_cmyk", "critical", "CMYK colours", "color_mode", c("color_mode")),
-        finding(c("color_mode") == "P", "color_mode_palette", "critical", "palette colours", "color_mode", c("color_mode")),
-        finding(c("color_mode").isin("L", "1"), "color_mode_grayscale", "warning", "grey", "color_mode", c("color_mode")),
-        finding(c("color_mode").isin("RGBA", "LA"), "transparency", "warning", "has transparency", "color_mode", c("color_mode")),
-        finding(c("dpi_x").isNull(), "dpi_not_set", "info", "no resolution set", "dpi_x"),
-        finding(c("dpi_x") < 72, "dpi_too_low", "warning", "under 72 dpi", "dpi_x", c("dpi_x")),
-        finding((c("dpi_x") >= 72) & (c("dpi_x") < 300), "dpi_below_recommended", "info", "under 300 dpi", "dpi_x", c("dpi_x")),
+        finding(c("format").isNull(), "universal.artwork.format_undetected", "critical", "format is unknown", "format"),
+        finding(~F.lower("format").isin("jpeg", "png"), "universal.artwork.format_not_accepted", "critical", "neither JPEG nor PNG", "format", c("format")),
+        finding(c("file_size_bytes") > MOST_BYTES, "universal.artwork.file_size_too_large", "critical", "file is over 10 MiB", "file_size_bytes", c("file_size_bytes")),
+        finding(known & (side < LEAST_SIDE), "universal.artwork.resolution_too_low", "critical", "a side is under 3000 pixels", "width", side),
+        finding(known & (side >= LEAST_SIDE) & (side < GOOD_SIDE), "universal.artwork.resolution_below_recommended", "info", "a side is under 4000 pixels", "width", side),
+        finding(known & (F.abs(F.try_divide(c("width").cast("double"), c("height")) - 1) > 0.01), "universal.artwork.not_square", "critical", "not square", "width", F.concat_ws("x", "width", "height")),
+        finding(c("color_mode") == "CMYK", "universal.artwork.cmyk_color_space", "critical", "CMYK colours", "color_mode", c("color_mode")),
+        finding(c("color_mode") == "P", "universal.artwork.palette_color_mode", "critical", "palette colours", "color_mode", c("color_mode")),
+        finding(c("color_mode").isin("L", "1"), "universal.artwork.grayscale_color_mode", "warning", "grey", "color_mode", c("color_mode")),
+        finding(c("color_mode").isin("RGBA", "LA"), "universal.artwork.has_transparency", "warning", "has transparency", "color_mode", c("color_mode")),
+        finding(c("dpi_x").isNull(), "universal.artwork.dpi_not_set", "info", "no resolution set", "dpi_x"),
+        finding(c("dpi_x") < 72, "universal.artwork.dpi_too_low", "warning", "under 72 dpi", "dpi_x", c("dpi_x")),
+        finding((c("dpi_x") >= 72) & (c("dpi_x") < 300), "universal.artwork.dpi_below_recommended", "info", "under 300 dpi", "dpi_x", c("dpi_x")),
     ])
 
 

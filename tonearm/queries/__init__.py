@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, checks, files, findings, signals, usage
+from . import catalogue, checks, files, findings, operations, signals, usage
 
-_ALL = {**findings.QUERIES, **catalogue.QUERIES, **checks.QUERIES, **usage.QUERIES, **files.QUERIES, **signals.QUERIES}
+_ALL = {**findings.QUERIES, **catalogue.QUERIES, **checks.QUERIES, **usage.QUERIES, **files.QUERIES, **signals.QUERIES, **operations.QUERIES}
 
 
 def queries() -> dict:

@@ -200,7 +200,7 @@ _BY_HAND = [
 ]
 _PLAT = "plat(platform, formats, min_bits, min_rate, rates, low, high, peak, min_seconds) AS (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]}, {v[4]}::DOUBLE, {v[5]}::DOUBLE, {v[6]}::DOUBLE, {v[7]})" for k, v in M.PLATFORMS.items()) + ")"
 _AUDIO = [("format_not_accepted", "critical", "NOT list_contains(formats, format)"), ("sample_rate_too_low", "critical", "sample_rate < min_rate"), ("sample_rate_not_preferred", "info", "sample_rate >= min_rate AND NOT list_contains(rates, sample_rate)"), ("bit_depth_too_low", "critical", "bit_depth < min_bits"), ("true_peak_exceeded", "critical", "true_peak <> 0 AND true_peak > peak"), ("loudness_too_quiet", "warning", "loudness <> 0 AND loudness < low"), ("loudness_too_loud", "warning", "loudness <> 0 AND loudness > high"), ("duration_too_short", "warning", "min_seconds > 0 AND seconds < min_seconds")]
-_ART = [("format_undetected", "critical", "format IS NULL"), ("format_not_accepted", "critical", "format NOT IN ('jpeg', 'png')"), ("file_size_too_large", "critical", "bytes > 10485760"), ("resolution_too_low", "critical", "least(w, h) < 3000"), ("resolution_below_recommended", "info", "least(w, h) >= 3000 AND least(w, h) < 4000"), ("not_square", "critical", "abs(w::DOUBLE / h - 1) > 0.01"), ("color_mode_cmyk", "critical", "mode = 'CMYK'"), ("color_mode_grayscale", "warning", "mode = 'L'"), ("dpi_not_set", "info", "dpi IS NULL"), ("dpi_too_low", "warning", "dpi < 72"), ("dpi_below_recommended", "info", "dpi >= 72 AND dpi < 300")]
+_ART = [("format_undetected", "critical", "format IS NULL"), ("format_not_accepted", "critical", "format NOT IN ('jpeg', 'png')"), ("file_size_too_large", "critical", "bytes > 10485760"), ("resolution_too_low", "critical", "least(w, h) < 3000"), ("resolution_below_recommended", "info", "least(w, h) >= 3000 AND least(w, h) < 4000"), ("not_square", "critical", "abs(w::DOUBLE / h - 1) > 0.01"), ("cmyk_color_space", "critical", "mode = 'CMYK'"), ("grayscale_color_mode", "warning", "mode = 'L'"), ("dpi_not_set", "info", "dpi IS NULL"), ("dpi_too_low", "warning", "dpi < 72"), ("dpi_below_recommended", "info", "dpi >= 72 AND dpi < 300")]
 
 
 def _any(cases, source: str, columns: str = "") -> str:
@@ -248,9 +248,9 @@ QUERIES = {
     "rule_eval_pass_fail": (rule_eval, f"WITH {_REC} " + " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS rule_id, CASE WHEN {v} THEN 'pass' ELSE 'fail' END AS status FROM r" for k, v in _RULES.items())),
     "rule_eval_skip": (rule_eval_skip, "SELECT p_partkey, rule_id, severity, 'manual review required' AS message FROM part CROSS JOIN (VALUES " + ", ".join(map(str, _BY_HAND)) + ") v(rule_id, severity)"),
     "audio_thresholds": (audio_thresholds, f"""WITH {_PLAT}, t AS (SELECT p_partkey, ['wav', 'mp3', 'aiff', 'wma'][(p_partkey % 4)::INT + 1] AS format, [44100, 48000, 22050][(p_partkey % 3)::INT + 1] AS sample_rate, CASE WHEN p_partkey % 2 = 0 THEN 16 ELSE 8 END AS bit_depth,
-        p_size / -20.0::DOUBLE AS true_peak, p_size / -2.0::DOUBLE AS loudness, p_size * 5 AS seconds FROM part), b AS (SELECT * FROM t CROSS JOIN plat), f AS ({_any(_AUDIO, 'b', 'p_partkey, platform, ')}) SELECT p_partkey, platform, rule_id, severity FROM f"""),
+        p_size / -20.0::DOUBLE AS true_peak, p_size / -2.0::DOUBLE AS loudness, p_size * 5 AS seconds FROM part), b AS (SELECT * FROM t CROSS JOIN plat), f AS ({_any(_AUDIO, 'b', 'p_partkey, platform, ')}) SELECT p_partkey, platform, platform || '.audio.' || rule_id AS rule_id, severity FROM f"""),
     "artwork_checks": (artwork_checks, f"""WITH a AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'gif' WHEN p_partkey % 4 < 3 THEN 'jpeg' END AS format, p_size * 400000 AS bytes, p_size * 100 AS w, CASE WHEN p_partkey % 2 = 0 THEN p_size * 100 ELSE 3500 END AS h,
-        CASE p_partkey % 5 WHEN 0 THEN 'CMYK' WHEN 1 THEN 'L' ELSE 'RGB' END AS mode, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 400)::DOUBLE END AS dpi FROM part), f AS ({_any(_ART, 'a', 'p_partkey, ')}) SELECT p_partkey, rule_id, severity FROM f"""),
+        CASE p_partkey % 5 WHEN 0 THEN 'CMYK' WHEN 1 THEN 'L' ELSE 'RGB' END AS mode, CASE WHEN p_partkey % 3 > 0 THEN (p_partkey % 400)::DOUBLE END AS dpi FROM part), f AS ({_any(_ART, 'a', 'p_partkey, ')}) SELECT p_partkey, 'universal.artwork.' || rule_id AS rule_id, severity FROM f"""),
     "peak_dbfs": (peak_dbfs, "SELECT vec_id, round(20 * log10(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))), 2) AS peak FROM embeddings"),
     "rule_label": (rule_label, "SELECT s_suppkey, 'Supplier ' || split_part(s_name, '#', 2) AS label FROM supplier"),
     "sha_keys": (sha_keys, "SELECT doc_id, sha256(text) AS digest, substr(sha256('key' || doc_id), 1, 8) AS prefix FROM documents"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bulk as B
 from ..sources import bulk as SB
+from ..sources import messages as SX
 from ..sources import metadata as SM
 from ..sources import stores as K
 from ..sources import uploads as SU
@@ -133,7 +134,7 @@ def json_findings(spark, d):
     return SM.json_findings(_json_texts(spark, d)).select("path", "rule_id", "severity", "field")
 
 
-def _messages(spark, d):
+def _message_texts(spark, d):
     """Release messages: some broken, without namespace, sections, headers or publishers, or with bad identifiers."""
     o = T.load(spark, d, "orders")
     k = F.col("o_orderkey")
@@ -148,7 +149,27 @@ def _messages(spark, d):
     deal = tag("ReleaseDeal", F.concat(F.lit("<DealReleaseReference>R0</DealReleaseReference>"), tag("Deal", tag("DealTerms", F.concat(F.lit("<UseType>Stream</UseType><TerritoryCode>DE</TerritoryCode>"), tag("ValidityPeriod", tag("StartDate", _day("o_orderdate"))))))))
     root = F.when(k % 3 > 0, F.lit("<NewReleaseMessage xmlns='http://x/xml/ern/41'>")).otherwise("<NewReleaseMessage>")
     whole = F.concat(root, header, tag("ResourceList", recording), tag("ReleaseList", release), some(k % 4 > 0, tag("DealList", deal)), F.lit("</NewReleaseMessage>"))
-    return o.select(name.alias("path"), SM.parse_xml(F.when(k % 10 == 0, "<broken").otherwise(whole)).alias("m"))
+    return o.select(name.alias("path"), F.when(k % 10 == 0, "<broken").otherwise(whole).alias("text"))
+
+
+def _messages(spark, d):
+    return _message_texts(spark, d).select("path", SX.parse_xml(F.col("text")).alias("m"))
+
+
+def message_tracks(spark, d):
+    """A table function in SQL text, joined laterally: a row a track."""
+    SX.register_table_functions(spark)
+    _message_texts(spark, d).createOrReplaceTempView("message_files")
+    return spark.sql("SELECT path, t.error IS NULL AS whole, t.message_id, t.upc, t.pos, t.isrc, t.title, t.publisher FROM message_files, LATERAL parse_message(text) AS t")
+
+
+def csv_lateral(spark, d):
+    """Another, whose columns are its arguments."""
+    SX.register_table_functions(spark)
+    o = T.load(spark, d, "orders")
+    k = F.col("o_orderkey")
+    _texts(o, "o_orderkey", F.concat_ws(",", k.cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit(', x"'))), F.when(F.col("f") % 3 == 0, "Key,Priority").when(F.col("f") % 3 == 1, "PRIORITY,other").otherwise("key , priority")).createOrReplaceTempView("order_files")
+    return spark.sql("SELECT path, t.line, t.key, t.priority FROM order_files, LATERAL parse_csv(text, 'key', 'priority') AS t")
 
 
 def xml_messages(spark, d):
@@ -156,7 +177,7 @@ def xml_messages(spark, d):
 
 
 def xml_findings(spark, d):
-    return SM.xml_findings(_messages(spark, d), "http://x/xml/ern/41").select("path", "rule_id", "severity", "field")
+    return SX.xml_findings(_messages(spark, d), "http://x/xml/ern/41").select("path", "rule_id", "severity", "field")
 
 
 def scans_json(spark, d):
@@ -264,6 +285,10 @@ QUERIES = {
         CASE WHEN o_orderkey % 10 > 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'BAD' ELSE 'USPR126' || lpad(o_orderkey::VARCHAR, 5, '0') END END AS isrc, CASE WHEN o_orderkey % 10 > 0 AND o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deal_start,
         CASE WHEN o_orderkey % 10 > 0 AND o_orderkey % 4 > 0 THEN 'Stream' END AS deal_use FROM orders"""),
     "xml_findings": (xml_findings, " UNION ALL ".join(f"SELECT k::VARCHAR AS path, '{rule}' AS rule_id, '{severity}' AS severity, '{field}' AS field FROM (SELECT o_orderkey AS k FROM orders) WHERE {where}" for rule, severity, field, where in _XML_CHECKS)),
+    "message_tracks": (message_tracks, """SELECT o_orderkey::VARCHAR AS path, o_orderkey % 10 > 0 AS whole, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey::VARCHAR END AS message_id, CASE WHEN o_orderkey % 10 > 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'bad' ELSE lpad(o_orderkey::VARCHAR, 12, '0') END END AS upc,
+        CASE WHEN o_orderkey % 10 > 0 THEN 0 END AS pos, CASE WHEN o_orderkey % 10 > 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'BAD' ELSE 'USPR126' || lpad(o_orderkey::VARCHAR, 5, '0') END END AS isrc, CASE WHEN o_orderkey % 10 > 0 THEN 'S ' || o_orderkey END AS title, CASE WHEN o_orderkey % 10 > 0 AND o_orderkey % 7 > 2 THEN 'P' END AS publisher FROM orders"""),
+    "csv_lateral": (csv_lateral, """SELECT 'file-' || (o_orderkey // 100) AS path, row_number() OVER (PARTITION BY o_orderkey // 100 ORDER BY o_orderkey) + 1 AS line, CASE WHEN o_orderkey // 100 % 3 <> 1 THEN o_orderkey::VARCHAR END AS key,
+        CASE WHEN o_orderkey // 100 % 3 = 1 THEN o_orderkey::VARCHAR ELSE o_orderpriority || ', x' END AS priority FROM orders"""),
     "scans_json": (scans_json, f"""WITH {T.RESULTS}, {T.SCANS}, f AS (SELECT scan_id, list({{'severity': severity, 'rule_id': rule_id, 'layer': layer, 'message': layer}} ORDER BY severity, rule_id, layer) AS results FROM results GROUP BY 1)
         SELECT scan_id, to_json({{'scan_id': scan_id, 'grade': grade, 'results': coalesce(results, [])}})::VARCHAR AS document FROM scans LEFT JOIN f USING (scan_id)"""),
     "webhook_deliveries": (deliveries, """SELECT e.user_id % 10 AS org_id, s_name AS url, event_type AS event, event_id::VARCHAR AS payload FROM events e JOIN supplier ON e.user_id % 10 = s_suppkey % 10 AND s_suppkey % 4 > 0

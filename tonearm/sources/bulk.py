@@ -69,9 +69,24 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
 PDF_ROW = r"([0-9]{13})\s*\|\s*([^|\n]*)\|\s*([^|\n]*)\|\s*([0-9]{6})\s*\|\s*([^|\n]*)\|\s*([^|\n]*)\|\s*([0-9]{2})"
 
 
+def anchored_row(line: Column) -> Column:
+    """A line of columns two blanks apart that begins with an EAN, as a delimited row: the first MMDDYY cell is the anchor; before it stand the artist and the pieces of the title."""
+    cells = F.filter(F.transform(F.split(F.regexp_extract(line, r"^[0-9]{13}\s*(.*)$", 1), " {2,}"), lambda c: F.trim(c)), lambda c: c != "")
+    is_date = lambda c: c.rlike("^(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])[0-9]{2}$")
+    at = F.array_position(F.transform(cells, is_date), True)
+    before = F.slice(cells, 2, F.greatest(at - 2, F.lit(0)).cast("int"))
+    whole = F.when(at > 1, F.concat(F.slice(cells, 1, 1), F.array(F.array_join(before, " ")), F.slice(cells, F.greatest(at, F.lit(1)).cast("int"), F.size(cells)))).otherwise(cells)
+    return F.array_join(F.concat(F.array(F.substring(line, 1, 13)), whole), "|")
+
+
 def rows_of_page_text(pages: DataFrame) -> DataFrame:
-    """Registration rows out of a page's extracted text: delimited ones, else lines that begin with an EAN with columns two blanks apart."""
+    """Registration rows out of a page's extracted text: delimited rows where there are any; a text that is delimited itself as it is; else each line that isn't blank, those that begin with an EAN aligned at their date."""
     hits = F.regexp_extract_all("text", F.lit(PDF_ROW), F.lit(0))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x).rlike("^[0-9]{13}\\s"))
-    spaced = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), "^([0-9]{13})\\s+", "$1|"), " {2,}", "|"))
-    return pages.select("path", F.posexplode(F.when(F.size(hits) > 0, hits).otherwise(spaced)).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("row_number"), "line", F.lit("|").alias("delimiter"))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    delimiters = lambda c: F.length(F.regexp_replace(F.coalesce(F.element_at(F.col("lines"), 1), F.lit("")), f"[^{c}]", ""))
+    rows = pages.select("path", hits.alias("hits"), lines.alias("lines")).where("size(hits) > 0 or size(lines) > 0")
+    delimited = F.when(F.size("hits") > 0, False).otherwise((delimiters("|") >= 3) | (delimiters(",") >= 3))
+    aligned = F.transform("lines", lambda x: F.when(x.rlike("^[0-9]{13}"), anchored_row(x)).otherwise(x))
+    found = F.when(F.size("hits") > 0, F.col("hits")).when(delimited, F.col("lines")).otherwise(aligned)
+    comma = delimited & (delimiters("|") < 3)
+    return rows.select("path", F.when(comma, ",").otherwise("|").alias("delimiter"), F.posexplode(found).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("row_number"), "line", "delimiter")

@@ -1,11 +1,7 @@
-"""Release metadata from CSV, JSON and XML texts: one row a release with its tracks, and findings."""
+"""Release metadata from CSV and JSON uploads: one row a release with its tracks, and findings."""
 
 from __future__ import annotations
 
-import re
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,43 +179,6 @@ def of_type() -> str:
     return f"array<{FINDING if isinstance(FINDING, str) else FINDING.simpleString()}>"
 
 
-# ------------------------------------------------------------------ XML
-XML_RELEASE = (
-    "struct<error:string,namespace:string,message_id:string,missing:array<string>,upc:string,title:string,artist:string,label:string,release_date:string,genre:string,"
-    "c_line:string,p_line:string,parental_warning:string,upcs:array<string>,tracks:array<struct<isrc:string,title:string,duration:string,publisher:string,artist:string>>,"
-    "deals:array<struct<release_reference:string,commercial_model:string,start_date:string,end_date:string,territory:string,use_types:array<string>>>,version:string>"
-)
-# Sections and headers that a message must have.
-SECTIONS = ("MessageHeader", "ResourceList", "ReleaseList", "DealList")
-HEADERS = ("MessageId", "MessageSender", "MessageRecipient", "MessageCreatedDateTime")
-
-
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
-
-
-def _find(node, *names):
-    """First descendant text along local names, whatever the namespace."""
-    nodes = [node]
-    for name in names:
-        nodes = [d for n in nodes if n is not None for d in n.iter() if d is not n and _local(d.tag) == name]
-    return next(((d.text or "").strip() for d in nodes if (d.text or "").strip()), None)
-
-
-def _all(node, name):
-    return [d for d in node.iter() if _local(d.tag) == name] if node is not None else []
-
-
-def _deal(node) -> dict:
-    """Reference, model, dates, territory and uses of a deal of a release."""
-    terms = next(iter(_all(node, "DealTerms")), None)
-    first = lambda *path: _find(terms, *path) if terms is not None else None
-    return {
-        "release_reference": _find(node, "DealReleaseReference"), "commercial_model": first("CommercialModelType"), "start_date": first("ValidityPeriod", "StartDate"),
-        "end_date": first("ValidityPeriod", "EndDate"), "territory": first("TerritoryCode"), "use_types": [(u.text or "").strip() for u in _all(node, "UseType") if (u.text or "").strip()],
-    }
-
-
 def fill_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Each field filled from the first of its aliases that isn't blank; names of columns compare without case, blanks, dashes and underscores."""
     plain = lambda s: "".join(x for x in s.lower() if x not in " _-")
@@ -227,69 +186,3 @@ def fill_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     given = lambda c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
     made = {field: F.coalesce(*[given(there[plain(a)]) for a in [field, *names] if plain(a) in there], F.lit(None).cast("string")) for field, names in aliases.items()}
     return df.withColumns(made)
-
-
-def parse_message(text: str | None) -> dict:
-    """What a release message says. Documents with a DTD are refused, so that no entity is resolved."""
-    empty = dict.fromkeys(("error", "namespace", "message_id", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning"))
-    empty |= {"missing": [], "upcs": [], "tracks": [], "deals": [], "version": None}
-    if not (text or "").strip():
-        return empty | {"error": "empty"}
-    if "<!DOCTYPE" in text or "<!ENTITY" in text:
-        return empty | {"error": "DTD is not allowed"}
-    try:
-        root = ET.fromstring(text.encode())
-    except (ET.ParseError, ValueError) as e:
-        return empty | {"error": str(e)}
-    present = {_local(d.tag) for d in root.iter()}
-    releases = [r for r in _all(root, "Release")]
-    main = next((r for r in releases if r.get("IsMainRelease") == "true"), releases[0] if releases else None)
-    spots = _all(main, "ReleaseDetailsByTerritory")
-    spot = next((s for s in spots if _find(s, "TerritoryCode") in ("Worldwide", "WW", "001")), spots[0] if spots else main)
-    first = lambda *paths: next((v for n in (spot, main) if n is not None for p in paths if (v := _find(n, *p))), None)
-    tracks = []
-    for t in _all(root, "SoundRecording"):
-        publisher = _find(t, "DisplayPublisher")
-        for k in _all(t, "Contributor") if not publisher else []:
-            if any("MusicPublisher" in ((r.text or "") + "".join(r.attrib.values())) for r in k.iter() if "Role" in _local(r.tag)):
-                publisher = _find(k, "FullName") or "MusicPublisher"
-        tracks.append({"isrc": _find(t, "ISRC") or _find(t, "IsRC"), "title": _find(t, "TitleText"), "duration": _find(t, "Duration"), "publisher": publisher, "artist": _find(t, "DisplayArtist", "FullName") or _find(t, "DisplayArtistName")})
-    return empty | {
-        "namespace": root.tag[1:].split("}")[0] if root.tag.startswith("{") else None,
-        "message_id": _find(root, "MessageId"), "missing": [s for s in (*SECTIONS, *HEADERS) if s not in present],
-        "upc": next((v for p in ("ICPN", "UPC") if main is not None and (v := _find(main, p))), None), "title": first(("ReferenceTitle", "TitleText"), ("TitleText",)), "artist": first(("DisplayArtistName",), ("DisplayArtist", "FullName")),
-        "label": first(("LabelName",)), "release_date": first(("OriginalReleaseDate",), ("ReleaseDate",), ("GlobalReleaseDate",)), "genre": first(("GenreText",)), "c_line": first(("CLineText",)), "p_line": first(("PLineText",)),
-        "parental_warning": first(("ParentalWarningType",)), "upcs": [(u.text or "").strip() for u in _all(root, "UPC")], "tracks": tracks, "deals": [_deal(d) for d in _all(root, "ReleaseDeal")],
-        "version": next((x for x in (root.get("MessageSchemaVersionId"), root.get("ReleaseProfileVersionId")) if x), None) or (re.search(r"ern/([0-9/]+)", root.tag) or [None, None])[1],
-    }
-
-
-def _parse_series(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_message(t) for t in texts], columns=["error", "namespace", "message_id", "missing", "upc", "title", "artist", "label", "release_date", "genre", "c_line", "p_line", "parental_warning", "upcs", "tracks", "deals", "version"])
-
-
-def parse_xml(text):
-    """Messages as structs: Spark's own XML functions stop at malformed input and don't tell namespaces."""
-    return F.pandas_udf(_parse_series, XML_RELEASE)(text)
-
-
-def xml_findings(messages: DataFrame, namespace: str | None = None) -> DataFrame:
-    """messages: path, m (of parse_xml)."""
-    m = lambda name: F.col(f"m.{name}")
-    whole = m("error").isNull()
-    per = explode_findings(messages, ["path"], [
-        finding(m("error").isNotNull(), "ddex.xml.wellformed", "critical", F.concat(F.lit("not well-formed: "), m("error"))),
-        finding(whole & m("namespace").isNull(), "ddex.xml.namespace", "error", "no namespace"),
-        finding(whole & F.lit(namespace is not None) & (m("namespace") != F.lit(namespace or "")), "ddex.xml.namespace_mismatch", "error", "other namespace", "", m("namespace")),
-    ])
-    gone = messages.where(whole).select("path", F.explode("m.missing").alias("x"))
-    section = F.col("x").isin(*SECTIONS)
-    gone = gone.select("path", F.concat(F.when(section, "ddex.structure.missing_").otherwise("ddex.header.missing_"), F.lower("x")).alias("rule_id"), F.when(section, "critical").otherwise("error").alias("severity"), F.concat(F.col("x"), F.lit(" is missing")).alias("message"), F.col("x").alias("field"), F.lit(None).cast("string").alias("actual"))
-    tracks = messages.where(whole).select("path", F.explode("m.tracks").alias("t"))
-    of_tracks = explode_findings(tracks, ["path"], [
-        finding(~I.blank(F.col("t.isrc")) & ~I.isrc_valid(F.col("t.isrc")), "ddex.metadata.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", F.col("t.isrc")),
-        finding(I.blank(F.col("t.publisher")), "ddex.metadata.missing_publisher", "error", "track has no publisher", "publisher", F.col("t.title")),
-    ])
-    upcs = messages.where(whole).select("path", F.explode("m.upcs").alias("u"))
-    of_upcs = explode_findings(upcs, ["path"], [finding(~F.col("u").rlike(I.UPC), "ddex.metadata.upc_format", "error", "UPC is not 12 or 13 digits", "upc", F.col("u"))])
-    return per.unionByName(gone).unionByName(of_tracks).unionByName(of_upcs)
