@@ -157,7 +157,7 @@ def test_fraud_names_velocity_isrcs(spark):
 def test_media(spark):
     t = spark.createDataFrame([(1, "WAV", 44100, 16, -2.0, -14.0, 200), (2, "wma", 22050, 8, -0.5, -30.0, 30)], "id int, format string, sample_rate int, bit_depth int, true_peak double, loudness double, seconds int")
     got = {(r["id"], r["platform"], r["rule_id"]) for r in M.audio_findings(t, M.platform_table(spark), ["id"]).collect()}
-    assert {x for x in got if x[0] == 1} == {(1, "youtube", "sample_rate_too_low")}
+    assert {x for x in got if x[0] == 1} == {(1, "youtube", "youtube.audio.sample_rate_too_low")}
     assert {x[2] for x in got if x[:2] == (2, "tiktok")} == {f"tiktok.audio.{x}" for x in ("format_not_accepted", "sample_rate_too_low", "bit_depth_too_low", "true_peak_exceeded", "loudness_too_quiet", "duration_too_short")}
     a = spark.createDataFrame([(1, "jpeg", 100, 4000, 4000, "RGB", 300.0), (2, None, 20_000_000, 1000, 2000, "CMYK", None)], "id int, format string, file_size_bytes long, width int, height int, color_mode string, dpi_x double")
     got = {(r["id"], r["rule_id"]) for r in M.artwork_findings(a, ["id"]).collect()}
