@@ -122,3 +122,13 @@ def text_heavy(pixels: Column) -> Column:
 def missing(releases: DataFrame, media: DataFrame, key: str, rule_id: str, message: str) -> DataFrame:
     """An info finding for each release without a row in media."""
     return releases.join(media.select(key).distinct(), key, "left_anti").select(key, F.lit(rule_id).alias("rule_id"), F.lit("info").alias("severity"), F.lit(message).alias("message"))
+
+
+def declared_findings(releases: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings of what metadata declares alone: artwork_width and artwork_height, and tracks (title, duration_ms); a row a short track."""
+    c, tracks = F.col, F.coalesce("tracks", F.array())
+    small = (c("artwork_width") > 0) & (c("artwork_height") > 0) & (F.least("artwork_width", "artwork_height") < LEAST_SIDE)
+    size = F.concat_ws("x", c("artwork_width").cast("string"), c("artwork_height").cast("string"))
+    short = lambda t: finding((t["duration_ms"] > 0) & (t["duration_ms"] < 60_000), "declared.track.short", "warning", F.concat(F.lit('"'), F.coalesce(t["title"], F.lit("Unknown Track")), F.lit('" is under 60 seconds')), "tracks", F.concat(F.floor(t["duration_ms"] / 1000).cast("string"), F.lit("s")))
+    found = F.concat(F.array_compact(F.array(finding(small, "declared.artwork.resolution", "critical", "artwork is declared under 3000 pixels", "artwork_width", size))), F.array_compact(F.transform(tracks, short)))
+    return releases.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")

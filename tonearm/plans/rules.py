@@ -266,6 +266,21 @@ def select_rules(rules: list[Rule], platforms=DEFAULT_PLATFORMS, layer: str | No
     return [r for r in by_id.values() if (r.active or not active_only) and (r.platform is None or r.platform in platforms) and layer in (None, r.layer)]
 
 
+def rule_frame(spark, rules: list[Rule]) -> DataFrame:
+    """Rules as a table, one row an id (the last definition), to filter by platform, layer or state; get one by its id, count them as any table."""
+    fields = ", ".join(f"`{n}` {'boolean' if n == 'active' else 'string'}" for n in Rule.__dataclass_fields__)
+    last = {r.id: r for r in rules}
+    return spark.createDataFrame([tuple(r.__dict__.values()) for r in last.values()], fields)
+
+
+def list_rules(frame: DataFrame, platform: str | None = None, layer: str | None = None, active_only: bool = True) -> DataFrame:
+    """Rules of a table; with a platform, its own and the universal ones."""
+    out = frame.where("active") if active_only else frame
+    if platform is not None:
+        out = out.where(F.col("platform").isNull() | (F.col("platform") == platform))
+    return out if layer is None else out.where(F.col("layer") == layer)
+
+
 #: What a result tells of its rule alone.
 _OF_RULE = "array<struct<rule_id:string,severity:string,message:string,fix_hint:string,platform:string>>"
 

@@ -42,3 +42,16 @@ def index_batches(releases: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "org_id").parquet(path)
 
     return releases.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def weekly_counters(events: DataFrame, keys: tuple[str, ...], at: str = "created_at", late: str = "1 day") -> DataFrame:
+    """Calls by week (from Monday) and keys. A stream in append mode gives each week once, when the watermark has passed it; a table gives all."""
+    marked = events.withWatermark(at, late) if events.isStreaming else events
+    week = F.window(at, "7 days", startTime="4 days")  # the epoch was a Thursday
+    return marked.groupBy(week, *keys).agg(F.count("*").alias("calls")).select(F.to_date("window.start").alias("week"), *keys, "calls")
+
+
+def append_usage(events: DataFrame, path: str, checkpoint: str, at: str = "created_at"):
+    """Usage events of a stream appended by day; the file sink's log keeps a replayed batch from appending twice."""
+    dated = events.withColumn("day", F.to_date(at))
+    return dated.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day")
