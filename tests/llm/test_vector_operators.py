@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tonearm.llm import annsearch, vecdedup
@@ -139,6 +140,36 @@ def test_search_visits_few_rows_of_clustered_vectors():
     assert more.visited <= h.visited
 
 
+def test_search_of_many_clustered_vectors_against_brute_force(spark, monkeypatch):
+    """All queries over 50,000 rows: recall, and the rows that hashing visits."""
+    r = np.random.default_rng(2)
+    x = (r.standard_normal((400, 64))[r.integers(0, 400, 50_000)] + 0.35 * r.standard_normal((50_000, 64))).astype(np.float32)
+    fits, fit = [], annsearch.fit
+    monkeypatch.setattr(annsearch, "fit", lambda *a: fits.append(fit(*a)) or fits[-1])
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+    table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": lists}))
+    got = annsearch.search(table, table.where("vec_id % 50 = 0")).toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 50_000, 50):
+        near = u @ u[q]
+        near[q] = -2
+        hits += len(set(np.argpartition(-near, 5)[:5].tolist()) & set(got.vec_id[got.query_id == q]))
+    assert len(got) == 5000 and hits >= 0.9 * 5000 and fits[0].visited < 0.2
+
+
+def test_search_never_meets_more_than_a_scan_where_nothing_prunes():
+    x = np.random.default_rng(3).standard_normal((4000, 64))
+    h = annsearch.fit(x, 5, 4000)
+    assert h is None or (h.visited < 1 and h.tables == 1)
+
+
+def test_search_of_repeated_ids_takes_the_same_row(spark):
+    rows = [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0), (1, [0.0, 1.0], 0), (2, [-1.0, 0.1], 0)]
+    out = [sorted(map(tuple, annsearch.search(t, t.where("vec_id = 0")).select("rank", "vec_id", "score").collect())) for t in (frame(spark, rows), frame(spark, rows[::-1]).repartition(3))]
+    assert out[0] == out[1] and [r[1] for r in out[0]] == [1, 2]
+
+
 def test_search_answers_exactly_where_hashing_cannot(spark, clustered, monkeypatch):
     monkeypatch.setattr(annsearch, "TARGET", 2.0)
     table = frame(spark, clustered)

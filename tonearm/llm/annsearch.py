@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-h(x) = floor((a.x + b) / w) with Gaussian a, several of them a table, TABLES tables, over unit vectors. A query
+h(x) = floor((a.x + b) / w) with Gaussian a, several of them a table, one or more tables, over unit vectors. A query
 visits perturbed buckets of each table in the order of their estimated success (the sum of squared distances to
 the slot borders that a perturbation crosses), candidates of all tables are merged and ranked by exact cosine in
 double precision. Every row is indexed. Buckets are dealt in blocks of bounded size; a block keeps a query's best k.
 
-The hash functions a table, the slot width and the number of probes are fitted on a bounded sample: of all choices whose
+The number of tables, the hash functions a table, the slot width and the number of probes are fitted on a bounded sample: of all choices whose
 recall there, against brute force, reaches TARGET, the one with the least expected cost on the whole table is taken (rows
 visited, and probes at PROBE_COST rows each). So more functions, hence smaller buckets, are taken as rows
 grow. Where hashing can't answer, rows are compared exactly, by blocks: if no choice reaches TARGET, for queries that found
@@ -13,7 +13,7 @@ fewer than k candidates although there are more, and for vectors of another leng
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components take no part, neither do rows
 with a null id; vectors of different lengths aren't compared; a query finds all candidates if they are fewer than k; ties go
-to the smaller id; repeated rows are candidates each, except that of equal ids one is; other columns are not
+to the smaller id; of rows with equal ids one takes part, that whose vector's bytes are the smallest; other columns are not
 read. The rank starts from 1.
 """
 
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import vectors as V
 
-TABLES = 4
+#: Numbers of tables to choose from; with one, buckets are disjoint and no row is met twice.
+TABLES = (1, 2, 4)
 #: (functions a table, slot width in standard deviations of the projections) to choose from.
-CHOICES = ((4, 1.3), (4, 2.0), (8, 1.3), (8, 2.0), (8, 3.0), (12, 1.3), (12, 2.0), (12, 3.0), (16, 2.0), (16, 3.0), (16, 4.0))
+CHOICES = ((1, 2.0), (2, 1.3), (2, 2.0), (2, 2.6), (3, 2.0), (4, 1.3), (4, 2.0), (8, 1.3), (8, 2.0), (8, 3.0), (12, 1.3), (12, 2.0), (12, 3.0), (16, 2.0), (16, 3.0), (16, 4.0))
 SAMPLE, SAMPLE_QUERIES = 8192, 128
 TARGET = 0.96
 MOST_PROBES = 512
@@ -66,13 +67,14 @@ def perturbations(most: int, functions: int) -> np.ndarray:
 
 
 class Hashing:
-    def __init__(self, dim: int, sample: np.ndarray, functions: int, slot: float, seed: int = 5):
+    def __init__(self, dim: int, sample: np.ndarray, functions: int, slot: float, tables: int = max(TABLES), seed: int = 5):
         r = np.random.default_rng(seed)
-        self.functions = functions
-        self.a = r.standard_normal((dim, TABLES * functions))
+        self.functions, self.tables = functions, tables
+        self.a = r.standard_normal((dim, max(TABLES) * functions))
         spread = float((sample @ self.a).std()) if len(sample) else 1.0
         self.w = slot * max(spread, 1e-9)
-        self.b = r.uniform(0, self.w, TABLES * functions)
+        self.b = r.uniform(0, self.w, max(TABLES) * functions)
+        self.a, self.b = self.a[:, : tables * functions], self.b[: tables * functions]  # the first of them
         self.shifts = perturbations(MOST_PROBES, functions)
         self.probes = len(self.shifts)
 
@@ -80,7 +82,7 @@ class Hashing:
         """Slots of unit vectors (rows x tables x functions) and the places within them, 0 to 1."""
         y = (u @ self.a + self.b) / self.w
         slot = np.floor(y)
-        return slot.astype(np.int64).reshape(-1, TABLES, self.functions), (y - slot).reshape(-1, TABLES, self.functions)
+        return slot.astype(np.int64).reshape(-1, self.tables, self.functions), (y - slot).reshape(-1, self.tables, self.functions)
 
     def keys(self, slot: np.ndarray) -> np.ndarray:
         h = np.zeros(slot.shape[:-1], C.U64)
@@ -96,8 +98,8 @@ class Hashing:
         border = np.concatenate((place, 1 - place), axis=-1)  # distance to the lower and the upper border
         step = np.concatenate((np.full(m, -1), np.ones(m, int)))
         order = np.argsort(border, axis=-1, kind="stable")  # place p and 1 - p mirror each other in this order
-        out = np.empty((len(u), TABLES, len(shifts)), np.int64)
-        for t in range(TABLES):
+        out = np.empty((len(u), self.tables, len(shifts)), np.int64)
+        for t in range(self.tables):
             o = order[:, t]
             move = np.zeros((len(u), len(shifts), m), np.int64)
             for c in range(2 * m):
@@ -128,20 +130,23 @@ def fit(sample: np.ndarray, k: int, total: int) -> Hashing | None:
         visited = h.visits(queries)
         reached = np.full(best.shape, h.probes)
         rows = np.zeros(h.probes)
-        for t in range(TABLES):
+        for t in range(h.tables):
             same = visited[:, t, None, :] == own[best, t][:, :, None]
             reached = np.minimum(reached, np.where(same.any(-1), same.argmax(-1), h.probes))
             bucket, n = np.unique(own[:, t], return_counts=True)
             spot = np.minimum(np.searchsorted(bucket, visited[:, t]), len(bucket) - 1)
             rows += np.where(bucket[spot] == visited[:, t], n[spot], 0).mean(0)
-        recall = np.cumsum(np.bincount(reached.ravel(), minlength=h.probes + 1)[: h.probes]) / reached.size
-        enough = int(np.searchsorted(recall, TARGET)) + 1
-        if enough > h.probes:
-            continue
-        visits = float(rows[:enough].sum() / len(u))
-        cost = visits * total + PROBE_COST * TABLES * enough
-        if cost < least:
-            h.probes, h.recall, h.visited, found, least = enough, float(recall[enough - 1]), visits, h, cost
+            if t + 1 not in TABLES:
+                continue
+            recall = np.cumsum(np.bincount(reached.ravel(), minlength=h.probes + 1)[: h.probes]) / reached.size
+            enough = int(np.searchsorted(recall, TARGET)) + 1
+            if enough > h.probes:
+                continue
+            visits = float(rows[:enough].sum() / len(u))
+            cost = visits * total + PROBE_COST * (t + 1) * enough
+            if cost < least:
+                found, least = Hashing(u.shape[1], u, functions, slot, t + 1), cost
+                found.probes, found.recall, found.visited = enough, float(recall[enough - 1]), visits
     return found
 
 
@@ -220,8 +225,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
     kinds = {V.kind_of(index, embedding), V.kind_of(queries, embedding)}
     kind = kinds.pop() if len(kinds) == 1 else "<f8"
     rows = V.packed(index, vec_id, embedding, kind)
-    live = rows.where("id is not null and v is not null").dropDuplicates(["id"])
-    asked = V.packed(queries, vec_id, embedding, kind).where("id is not null and v is not null").dropDuplicates(["id"])
+    one = lambda r: r.where("id is not null and v is not null").groupBy("id").agg(F.min("v").alias("v"))
+    live, asked = one(rows), one(V.packed(queries, vec_id, embedding, kind))
     usual = V.usual_size(rows) or 0
     dim = usual // np.dtype(kind).itemsize
     most, asked_most = live.where(F.length("v") == usual), asked.where(F.length("v") == usual)
@@ -236,8 +241,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
         for b in batches:
             if b.num_rows:
                 key = h.keys(h.slots(V.unit(V.unpack(b.column("v"), dim, kind)))[0])
-                who = np.repeat(np.arange(b.num_rows), TABLES)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), b.num_rows)), pa.array(key.ravel()), b.column("id").take(pa.array(who)), b.column("v").take(pa.array(who))], ["tab", "key", "id", "v"])
+                who = np.repeat(np.arange(b.num_rows), h.tables)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(h.tables, dtype=np.int32), b.num_rows)), pa.array(key.ravel()), b.column("id").take(pa.array(who)), b.column("v").take(pa.array(who))], ["tab", "key", "id", "v"])
 
     def query_rows(batches):
         h = shared.value
@@ -245,8 +250,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_
             for at in range(0, big.num_rows, 64):
                 b = big.slice(at, 64)
                 visited = h.visits(V.unit(V.unpack(b.column("v"), dim, kind)))
-                who = np.repeat(np.arange(b.num_rows), TABLES * visited.shape[2])
-                tab = np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), visited.shape[2]), b.num_rows)
+                who = np.repeat(np.arange(b.num_rows), h.tables * visited.shape[2])
+                tab = np.tile(np.repeat(np.arange(h.tables, dtype=np.int32), visited.shape[2]), b.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(tab), pa.array(visited.ravel()), b.column("id").take(pa.array(who))], ["tab", "key", "id"])
 
     places = C.materialise(most.mapInArrow(index_rows, "tab int, key long, id long, v binary"), "ann-index")
