@@ -33,6 +33,7 @@ TOOL_WORDS = (
 )
 # Fixed value: titles without content.
 GENERIC_TITLE = r"(?i)^(track\s*[0-9]+|untitled\s*[0-9]*|new\s+song\s*[0-9]*|demo\s*[0-9]*|recording\s*[0-9]*|test\s+track\s*[0-9]*|[0-9]+|song\s*[0-9]*|audio\s*[0-9]*|instrumental\s*[0-9]+|unknown)$"
+# Fixed value: titles that end with a number.
 NUMBERED_TITLE = r"^(.+?)\s+[0-9]+\s*$"
 
 

@@ -154,7 +154,8 @@ def usage_history(events: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ tiers
-TIERS = ("free", "pro", "enterprise")
+# Tiers, the lowest first.
+TIERS = ("starter", "pro", "enterprise")
 
 
 def tier_allows(tier: Column, least: str) -> Column:

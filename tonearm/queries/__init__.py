@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue, checks, files, findings, operations, reports, signals, usage
+from . import catalogue, checks, files, findings, measures, operations, reports, signals, usage
 
-_ALL = {**findings.QUERIES, **catalogue.QUERIES, **checks.QUERIES, **usage.QUERIES, **files.QUERIES, **signals.QUERIES, **operations.QUERIES, **reports.QUERIES}
+_ALL = {**findings.QUERIES, **catalogue.QUERIES, **checks.QUERIES, **usage.QUERIES, **files.QUERIES, **signals.QUERIES, **operations.QUERIES, **measures.QUERIES, **reports.QUERIES}
 
 
 def queries() -> dict:

@@ -55,9 +55,9 @@ def search_page(spark, d):
 
 def tier_quota(spark, d):
     c = T.load(spark, d, "customer")
-    tier = F.element_at(F.array(F.lit("free"), F.lit("pro"), F.lit("enterprise")), (F.col("c_custkey") % 3).cast("int") + 1)
-    limit = F.when(tier == "free", 10).when(tier == "pro", 100).otherwise(-1)
-    layers = A.allowed_layers(F.array(F.lit("ddex"), F.lit("audio")), F.when(tier == "free", F.array(F.lit("ddex"))).otherwise(F.array(F.lit("audio"), F.lit("ddex"))))
+    tier = F.element_at(F.array(F.lit("starter"), F.lit("pro"), F.lit("enterprise")), (F.col("c_custkey") % 3).cast("int") + 1)
+    limit = F.when(tier == "starter", 10).when(tier == "pro", 100).otherwise(-1)
+    layers = A.allowed_layers(F.array(F.lit("ddex"), F.lit("audio")), F.when(tier == "starter", F.array(F.lit("ddex"))).otherwise(F.array(F.lit("audio"), F.lit("ddex"))))
     return c.select("c_custkey", A.tier_allows(tier, "pro").alias("allowed"), A.quota_left(F.col("c_custkey") % 150, limit).alias("quota_left"), F.array_join(layers, "|").alias("layers"))
 
 
