@@ -15,6 +15,8 @@ label 1; rows with equal ids are scored as rows of their own; other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -159,7 +161,11 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["part", "v"])
 
     schema = "part int, v binary"
-    found = texts.select("text").mapInArrow(run, schema).repartition(8, "part").mapInArrow(add_up, schema).toArrow()
+    rows = texts.select("text")
+    # two levels of sums: each task reads the square root of the tasks' number of parts, not all of them
+    salts = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    first = rows.mapInArrow(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(64 * salts, "part", "salt").select("part", "v").mapInArrow(add_up, schema)
+    found = first.repartition(64, "part").mapInArrow(add_up, schema).toArrow()
     context = np.zeros((64, BUCKETS // 64 * DIM))
     for k, v in zip(found["part"].to_pylist(), found["v"].to_pylist()):
         context[k] = np.frombuffer(v, np.float64)
