@@ -20,7 +20,7 @@ def test_stages_and_columns(spark, sf):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
 def test_run_equals_its_stages(spark, sf):
