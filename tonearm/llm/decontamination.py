@@ -183,14 +183,14 @@ WITH d AS MATERIALIZED (
 ), b AS MATERIALIZED (
     SELECT CAST(item_id AS VARCHAR) AS item, words, least(len(words), 10) AS n FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0
 ), w AS MATERIALIZED (
-    SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS t
+    SELECT DISTINCT item, n, array_to_string(words[i : i + n - 1], ' ') AS t, words[i] AS x, CASE WHEN n > 1 THEN words[i + 1] END AS y
     FROM (SELECT item, words, n, unnest(generate_series(1, len(words) - n + 1)) AS i FROM b)
 ), p AS MATERIALIZED (
-    SELECT r, i, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten
-    FROM (SELECT r, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM d)
+    SELECT r, i, x, lead(x) OVER (PARTITION BY r ORDER BY i) AS y FROM (SELECT r, unnest(words) AS x, generate_subscripts(words, 1) AS i FROM d)
+), c AS MATERIALIZED (
+    SELECT r, i, n, t, item FROM p JOIN w ON p.x = w.x AND (n = 1 OR p.y = w.y)
 ), h AS MATERIALIZED (
-    SELECT DISTINCT r, i, w.n, item
-    FROM p, (SELECT DISTINCT n FROM w) AS m JOIN w ON w.n = m.n AND len(ten) >= m.n AND array_to_string(ten[1 : m.n], ' ') = t
+    SELECT DISTINCT r, i, n, item FROM c JOIN d USING (r) WHERE i + n - 1 <= len(words) AND array_to_string(words[i : i + n - 1], ' ') = t
 ), covered AS (
     SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS i FROM h) GROUP BY r
 ), named AS (
