@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tonearm.sources import stores as K
+from tonearm.streaming import outbox as O
 
 
 def _tasks(df):
@@ -17,3 +18,18 @@ def test_deliveries_of_one_organisation_are_cut(spark, monkeypatch):
     found = K.deliveries(events, ends)
     assert found.count() == found.distinct().count() == 200 * 20
     assert max(_tasks(found)) < 3000
+
+
+def test_retries_compare_failures_only(spark, tmp_path):
+    """Events that come twice go out once; the log of what arrived isn't shuffled for what is due, and an empty log not at all."""
+    events = spark.createDataFrame([(1, 1, "scan", "a"), (1, 1, "scan", "b"), (1, 2, "scan", "c"), (2, 1, "scan", "d"), (None, 1, "scan", "e"), (None, 1, "scan", "f")], "event_id int, org_id int, event string, payload string")
+    ends = spark.createDataFrame([(1, "u", ["scan"], True), (1, "u", ["scan"], True), (1, "v", ["scan"], True), (2, "u", ["scan"], True), (2, "w", ["scan"], False)], "org_id int, url string, events array<string>, active boolean")
+    out = O.outgoing(events, ends)
+    got = sorted((r["url"], r["payload"] if r["payload"] == "d" else "?") for r in out.collect())
+    assert got == [("u", "?"), ("u", "?"), ("u", "d"), ("v", "?"), ("v", "?"), ("v", "d")] and out.select("delivery_id").distinct().count() == 6
+    path, at = str(tmp_path / "log"), lambda m: F.timestamp_seconds(F.lit(60 * m))
+    assert "Join" not in O.read_log(spark, path).join(out, "delivery_id")._jdf.queryExecution().optimizedPlan().toString()
+    O.deliver(out, path, 0, lambda r: 503 if r["url"] == "u" else 200, at(0))
+    waiting = O.due(O.read_log(spark, path), at(1))
+    assert sorted(r["attempt"] for r in waiting.collect()) == [2, 2, 2] and "Aggregate [delivery_id" in waiting._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in waiting._jdf.queryExecution().optimizedPlan().toString()
