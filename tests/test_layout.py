@@ -1,7 +1,12 @@
 """Work of small tables is dealt to many tasks, with the same results."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
+from tonearm.operators import loudness as LO
+from tonearm.queries import operations as Q
 from tonearm.sources import stores as K
 from tonearm.streaming import outbox as O
 
@@ -33,3 +38,21 @@ def test_retries_compare_failures_only(spark, tmp_path):
     waiting = O.due(O.read_log(spark, path), at(1))
     assert sorted(r["attempt"] for r in waiting.collect()) == [2, 2, 2] and "Aggregate [delivery_id" in waiting._jdf.queryExecution().optimizedPlan().toString()
     assert "max_by" not in waiting._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_track_loudness_shuffles_no_samples(spark, tmp_path):
+    spark.range(300, 312).coalesce(1).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = Q.track_loudness(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "samples" in plan and not any("samples" in line for line in plan.splitlines() if "Repartition" in line)
+    rate, n, k, b = 8000, 4000, F.col("s_suppkey"), F.col("block")
+    s = spark.range(300, 312).select(F.col("id").alias("s_suppkey"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("block")).withColumn("channel", F.explode(F.array(F.lit(0), F.lit(1))))
+    height, strength = 100 + (k * 37) % 2000 + F.col("channel") * 50, F.pow(F.lit(10.0), -((k + b * (k % 3)) % 40) / 20)
+    sample = lambda i: strength * F.sin(2 * math.pi * height * (b * n + i) / rate)
+    plain = LO.loudness(s.select(k.alias("track"), "channel", "block", F.lit(rate).alias("rate"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), sample).alias("samples")))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for got, want in zip(rows(found), rows(plain), strict=True):
+        assert got[0] == want[0] and all(abs(x - y) < 2e-6 for x, y in zip(got[1:], want[1:], strict=True))
+    back = spark.createDataFrame([(1, 0, 2, 8000, [0.1] * 900), (1, 0, 1, 8000, [0.1] * 900)], "track int, channel int, block int, rate int, samples array<double>").coalesce(1)
+    with pytest.raises(Exception, match="block 1 after 2"):
+        LO.energies(back, in_order=True).collect()

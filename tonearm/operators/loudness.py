@@ -60,48 +60,65 @@ def response(rate: int) -> np.ndarray:
     return np.array(filtered([1.0] + [0.0] * int(rate * RESPONSE), rate))
 
 
+@functools.lru_cache(16)
+def spectrum(rate: int, size: int) -> np.ndarray:
+    return np.fft.rfft(response(rate), size)
+
+
 class Weighting:
     """Filters one channel block by block."""
 
     def __init__(self, rate: int):
-        self.h = response(rate)
+        self.h, self.rate = response(rate), rate
         self.past = np.zeros(len(self.h) - 1)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         whole = np.concatenate((self.past, x))
-        size = 1 << (len(whole) + len(self.h) - 2).bit_length()
-        y = np.fft.irfft(np.fft.rfft(whole, size) * np.fft.rfft(self.h, size), size)[len(self.past) : len(whole)]
+        size = 1 << (len(whole) - 1).bit_length()  # what wraps around falls into the past, which is cut off
+        y = np.fft.irfft(np.fft.rfft(whole, size) * spectrum(self.rate, size), size)[len(self.past) : len(whole)]
         self.past = whole[len(whole) - len(self.past) :]
         return y
 
 
-def energies(blocks: DataFrame) -> DataFrame:
-    """track, channel, tenth (number of the tenth of a second), squares (sum of the weighted samples' squares) and n (samples in it here)."""
+def energies(blocks: DataFrame, in_order: bool = False) -> DataFrame:
+    """track, channel, tenth (number of the tenth of a second), squares (sum of the weighted samples' squares) and n (samples in it here).
+
+    in_order: each channel's blocks follow each other in one task already, as where a row or file holds a track; then no samples are shuffled. Blocks that go back are an error.
+    """
     track = blocks.schema["track"]
     schema = T.StructType([track, *T._parse_datatype_string("channel int, tenth bigint, squares double, n bigint").fields])
     rows = blocks.where("rate > 0").select("track", F.col("channel").cast("int").alias("channel"), "block", F.col("rate").cast("int").alias("rate"), F.col("samples").cast("array<double>").alias("samples"))
-    ordered = rows.repartition("track", "channel").sortWithinPartitions("track", "channel", "block")
+    ordered = rows if in_order else rows.repartition("track", "channel").sortWithinPartitions("track", "channel", "block")
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        here, weigh, at = None, None, 0
+        here, weigh, at, last = None, None, 0, None
         for big in batches:
-            for i in range(big.num_rows):
-                b = big.slice(i, 1)
-                key = (b.column("track")[0].as_py(), b.column("channel")[0].as_py(), b.column("rate")[0].as_py())
+            row, channels, tenths, squares, counts = [], [], [], [], []
+            tracks, channel, block, rate = (big.column(c).to_pylist() for c in ("track", "channel", "block", "rate"))
+            samples = big.column("samples")
+            for i, key in enumerate(zip(tracks, channel, rate)):
                 if key != here:
                     here, weigh, at = key, Weighting(key[2]), 0
-                x = np.nan_to_num(b.column("samples").flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+                elif None not in (block[i], last) and block[i] < last:
+                    raise ValueError(f"block {block[i]} after {last}")
+                last = block[i]
+                x = np.nan_to_num(samples.slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64))
                 if not len(x):
                     continue
                 y = weigh(x)
                 tenth = (np.arange(at, at + len(x)) * 10) // key[2]
                 first = np.flatnonzero(np.concatenate(([True], tenth[1:] != tenth[:-1])))
-                n = len(first)
                 at += len(x)
-                out = [b.column("track").take(pa.array(np.zeros(n, np.int64))), pa.array(np.full(n, key[1]), pa.int32()), pa.array(tenth[first]), pa.array(np.add.reduceat(y * y, first)), pa.array(np.diff(np.append(first, len(x))))]
+                row.append(np.full(len(first), i))
+                channels.append(np.full(len(first), key[1], np.int32))
+                tenths.append(tenth[first])
+                squares.append(np.add.reduceat(y * y, first))
+                counts.append(np.diff(np.append(first, len(x))))
+            if row:  # one batch for each that came
+                out = [big.column("track").take(pa.array(np.concatenate(row))), *(pa.array(np.concatenate(c)) for c in (channels, tenths, squares, counts))]
                 yield pa.RecordBatch.from_arrays([o.cast(f.type) for o, f in zip(out, arrow)], schema=arrow)
 
     return ordered.mapInArrow(run, schema)
@@ -111,10 +128,10 @@ def _level(energy):
     return F.when(energy > 0, F.lit(OFFSET) + 10 * F.log10(energy))
 
 
-def loudness(blocks: DataFrame) -> DataFrame:
-    """track, integrated (LUFS), loudness_range (LU) and seconds of each track."""
+def loudness(blocks: DataFrame, in_order: bool = False, tracks: DataFrame | None = None) -> DataFrame:
+    """track, integrated (LUFS), loudness_range (LU) and seconds of each track. in_order: see energies. tracks: the tracks, if they are known without their blocks."""
     weight = F.when(F.col("channel") == 3, 0.0).when(F.col("channel") > 3, SURROUND).otherwise(1.0)
-    each = energies(blocks).groupBy("track", "channel", "tenth").agg(F.sum("squares").alias("s"), F.sum("n").alias("n"))
+    each = energies(blocks, in_order).groupBy("track", "channel", "tenth").agg(F.sum("squares").alias("s"), F.sum("n").alias("n"))
     tenths = each.groupBy("track", "tenth").agg(F.sum(weight * F.col("s") / F.col("n")).alias("z"), F.max("n").alias("n"))
     order = Window.partitionBy("track").orderBy("tenth")
 
@@ -129,5 +146,5 @@ def loudness(blocks: DataFrame) -> DataFrame:
     levels = rows.join(first, "track").groupBy("track").agg(
         F.round(_level(F.avg(gated("moment", "gate"))), 6).alias("integrated"), F.percentile(_level(gated("short", "range_gate")), F.array(F.lit(0.1), F.lit(0.95))).alias("p"), (F.max("tenths") / 10).alias("seconds")
     )
-    tracks = blocks.select("track").distinct()
+    tracks = blocks.select("track").distinct() if tracks is None else tracks.select("track").distinct()
     return tracks.join(levels, "track", "left").select("track", "integrated", F.round(F.col("p")[1] - F.col("p")[0], 6).alias("loudness_range"), "seconds")
