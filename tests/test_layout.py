@@ -5,8 +5,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm.operators import enrichment as N
 from tonearm.operators import loudness as LO
 from tonearm.queries import operations as Q
+from tonearm.queries import signals as G
 from tonearm.sources import stores as K
 from tonearm.streaming import outbox as O
 
@@ -56,3 +58,14 @@ def test_track_loudness_shuffles_no_samples(spark, tmp_path):
     back = spark.createDataFrame([(1, 0, 2, 8000, [0.1] * 900), (1, 0, 1, 8000, [0.1] * 900)], "track int, channel int, block int, rate int, samples array<double>").coalesce(1)
     with pytest.raises(Exception, match="block 1 after 2"):
         LO.energies(back, in_order=True).collect()
+
+
+def test_isrc_lookup_beyond_five_digits(spark, tmp_path):
+    keys = [0, 4, 9_999, 10_000, 10_001, 100_000, 100_001, 100_002, 100_003, 1_000_001, 1_000_002]
+    spark.createDataFrame([(k, f"title {k}") for k in keys], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    status = lambda k: "invalid" if k % 3 == 2 else "not_found" if k % 2 else "ok" if k % 4 == 0 else "mismatch"
+    isrc = lambda k: f"bad-{k}" if k % 3 == 2 else "gb-abc-26-" + str(k).rjust(5, "0")[:5]
+    assert sorted(tuple(r) for r in G.isrc_lookup(spark, str(tmp_path)).collect()) == [(k, isrc(k), status(k)) for k in keys]
+    twice = spark.createDataFrame([("USPR12600001", "b"), ("us-pr1-26-00001", "a")], "isrc string, r_title string")
+    for held in (twice, twice.orderBy("r_title").coalesce(1)):
+        assert N.isrc_lookup(spark.createDataFrame([(1, "USPR12600001", "a")], "id int, isrc string, title string"), held, "id").first()["status"] == "ok"

@@ -25,8 +25,8 @@ def best_candidates(tracks: DataFrame, candidates: DataFrame, key: str, most: in
 
 
 def isrc_lookup(tracks: DataFrame, recordings: DataFrame, key: str) -> DataFrame:
-    """status of each track's ISRC: invalid, not_found, mismatch or ok. recordings: isrc, r_title, r_artist."""
-    ref = recordings.withColumn("__k", I.isrc_key(F.col("isrc"))).drop("isrc").dropDuplicates(["__k"])
+    """status of each track's ISRC: invalid, not_found, mismatch or ok. recordings: isrc, r_title; of those of one ISRC the smallest title counts."""
+    ref = recordings.groupBy(I.isrc_key(F.col("isrc")).alias("__k")).agg(F.min("r_title").alias("r_title"))
     joined = tracks.withColumn("__k", I.isrc_key(F.col("isrc"))).join(ref, "__k", "left")
     likeness = S.sequence_ratio(F.col("title"), F.col("r_title"))
     status = F.when(~I.isrc_valid(F.col("isrc")), "invalid").when(F.col("r_title").isNull(), "not_found").when(likeness < MISMATCH, "mismatch").otherwise("ok")
