@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm.functions import similarity as Y
 from tonearm.operators import enrichment as N
 from tonearm.operators import loudness as LO
 from tonearm.queries import operations as Q
@@ -69,3 +70,13 @@ def test_isrc_lookup_beyond_five_digits(spark, tmp_path):
     twice = spark.createDataFrame([("USPR12600001", "b"), ("us-pr1-26-00001", "a")], "isrc string, r_title string")
     for held in (twice, twice.orderBy("r_title").coalesce(1)):
         assert N.isrc_lookup(spark.createDataFrame([(1, "USPR12600001", "a")], "id int, isrc string, title string"), held, "id").first()["status"] == "ok"
+
+
+def test_near_names_make_no_shuffle_of_pairs(spark):
+    left = spark.createDataFrame([("abcd",), ("abce",), ("ab",), ("",), ("zzzzz",)], "n string")
+    names = spark.createDataFrame([("abcde", 2), ("abcd", 3), ("abdc", 3), ("b", 1), ("abxy", 9)], "k string, p int")
+    found = Y.first_near(left, names, "n", "k", "p")
+    assert sorted(tuple(r) for r in found.collect()) == [("", "b", 1, 1), ("ab", "b", 1, 1), ("abcd", "abcde", 2, 1), ("abce", "abcde", 2, 1)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [n#" in line]
+    assert joins and all("k#" not in line.split("],")[0] for line in joins)  # pairs are never made distinct
+    assert Y.first_near(left, names.where("p = 3"), "n", "k", "p").where("n = 'abce'").first()["k"] == "abcd"

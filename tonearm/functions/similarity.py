@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import layout as L
+
+#: Names of a task: each has up to some hundred neighbours.
+NAMES = 5_000
+
 
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -40,17 +45,21 @@ def first_near(left: DataFrame, names: DataFrame, name: str, known: str, pos: st
 
     def neighbours(c):
         n = F.greatest(F.length(c), F.lit(1))
-        once = lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)))
+        without = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n))
+        once = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), without(c, i).alias("s")))
         out = F.array(c)
-        layer = out
-        for _ in range(most):
-            layer = F.flatten(F.transform(layer, once))
-            out = F.concat(out, layer)
-        return F.array_distinct(out)
+        if most > 0:
+            out = F.concat(out, F.transform(once, lambda x: x["s"]))
+        if most > 1:  # the second place is at or behind the first, so each pair of places comes once
+            out = F.concat(out, F.flatten(F.transform(F.filter(once, lambda x: x["i"] < n), lambda x: F.transform(F.sequence(x["i"], n - 1), lambda j: without(x["s"], j)))))
+        return out
 
     hashed = lambda c: F.explode(F.array_distinct(F.transform(neighbours(c), lambda s: F.xxhash64(s))))  # noqa: E731  8 bytes a neighbour; what collides is compared below
-    a = left.select(name).distinct().withColumn("__n", hashed(F.col(name)))
-    b = names.groupBy(known).agg(F.min(pos).alias(pos)).withColumn("__n", hashed(F.col(known)))
-    pairs = a.join(b, "__n").select(name, known, pos).distinct()
-    near = pairs.withColumn("distance", F.levenshtein(name, known, most)).where((F.col("distance") >= 0) & (F.abs(F.length(name) - F.length(known)) <= length_gap))
-    return near.groupBy(name).agg(F.min_by(F.struct(known, pos, "distance"), pos).alias("m")).select(name, "m.*")
+    a = L.spread(left.select(name).distinct(), NAMES).withColumn("__n", hashed(F.col(name)))
+    b = L.spread(names.groupBy(known).agg(F.min(pos).alias(pos)), NAMES).withColumn("__n", hashed(F.col(known)))
+    # a pair that meets often is compared often: that costs less than to shuffle all pairs that meet. Only the smallest pos is kept of each name
+    near = lambda df: df.withColumn("distance", F.levenshtein(name, known, most)).where((F.col("distance") >= 0) & (F.abs(F.length(name) - F.length(known)) <= length_gap))
+    first = near(a.join(b, "__n")).groupBy(name).agg(F.min(pos).alias(pos))
+    # known names may share a pos: of those that are near the smallest
+    found = near(first.join(names.groupBy(known).agg(F.min(pos).alias(pos)), pos))
+    return found.groupBy(name).agg(F.min(F.struct(known, pos, "distance")).alias("m")).select(name, "m.*")
