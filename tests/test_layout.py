@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import similarity as Y
 from tonearm.operators import enrichment as N
 from tonearm.operators import loudness as LO
+from tonearm.queries import checks as C
 from tonearm.queries import operations as Q
 from tonearm.queries import signals as G
 from tonearm.sources import stores as K
@@ -80,3 +81,9 @@ def test_near_names_make_no_shuffle_of_pairs(spark):
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [n#" in line]
     assert joins and all("k#" not in line.split("],")[0] for line in joins)  # pairs are never made distinct
     assert Y.first_near(left, names.where("p = 3"), "n", "k", "p").where("n = 'abce'").first()["k"] == "abcd"
+
+
+def test_rules_of_one_small_file_are_many_tasks(spark, tmp_path):
+    """60,000 parts in one file, which is one task as it is read."""
+    spark.range(60_000).coalesce(1).select(F.col("id").alias("p_partkey"), F.lit("a").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("c").alias("p_type"), F.lit(7).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    assert C.rule_eval(spark, str(tmp_path)).rdd.getNumPartitions() == 3

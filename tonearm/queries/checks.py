@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import layout as L
 from ..functions import identifiers as I
 from ..functions import similarity as Y
 from ..functions import text as X
@@ -116,7 +117,7 @@ def _pick(k, *values):
 
 
 def _records(spark, d):
-    p = T.load(spark, d, "part")
+    p = L.spread(T.load(spark, d, "part"), 20_000)  # each gives some seventy rows
     k = F.col("p_partkey")
     return with_release_defaults(p.select(
         k, F.concat("p_name", _pick(k, " (Live)", " (feat. X)", "", "", "", "", "")).alias("title"), F.when(k % 4 > 0, F.col("p_brand")).alias("artist"), F.lpad(k.cast("string"), F.when(k % 2 == 0, 12).otherwise(11), F.lit("7")).alias("upc"),
