@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tonearm.functions import similarity as Y
 from tonearm.operators import enrichment as N
 from tonearm.operators import loudness as LO
+from tonearm.plans import reports as P
 from tonearm.queries import checks as C
 from tonearm.queries import operations as Q
 from tonearm.queries import signals as G
@@ -87,3 +88,12 @@ def test_rules_of_one_small_file_are_many_tasks(spark, tmp_path):
     """60,000 parts in one file, which is one task as it is read."""
     spark.range(60_000).coalesce(1).select(F.col("id").alias("p_partkey"), F.lit("a").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("c").alias("p_type"), F.lit(7).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
     assert C.rule_eval(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_tracks_of_an_organisation_meet_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(P, "TRACKS", 100, raising=False)
+    tracks = spark.range(1000).select((F.col("id") % 300).alias("release_id"), F.concat(F.lit("us-pr1-26-0000"), (F.col("id") % 7).cast("string")).alias("isrc"))
+    found = P.org_isrcs(tracks, spark.range(300).select(F.col("id").alias("release_id"), (F.col("id") % 2).alias("org_id")))
+    want = tracks.toPandas().assign(org_id=lambda x: x["release_id"] % 2, isrc=lambda x: x["isrc"].str.upper().str.replace("-", "")).groupby(["org_id", "isrc"])["release_id"].agg(["min", "nunique"])
+    assert {(r["org_id"], r["isrc"]): (r["release_id"], r["releases"]) for r in found.collect()} == {k: tuple(v) for k, v in want.iterrows()}
+    assert "RepartitionByExpression [release_id" in found._jdf.queryExecution().optimizedPlan().toString()

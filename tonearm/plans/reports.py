@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import layout as L
 from ..functions import identifiers as I
 from ..operators import scoring as S
 from ..schema import severity_rank
 
+#: Tracks of a task where they meet their releases.
+TRACKS = 500_000
+
 # Rule groups of the two kinds of registration files.
 RULE_GROUPS = {
     "bulk_registration": {
@@ -79,8 +83,12 @@ def report_rows(issues: DataFrame, releases: DataFrame, enrichment: DataFrame, r
 def org_isrcs(tracks: DataFrame, releases: DataFrame, org_id=None) -> DataFrame:
     """ISRCs of an organisation's releases, or of every one's by organisation: the key form, the first release and how many hold it. Blank ones are left out."""
     own = releases if org_id is None else releases.where(F.col("org_id") == org_id)
-    held = tracks.where(~I.blank(F.col("isrc"))).join(own.select("release_id", "org_id"), "release_id")
-    return held.groupBy("org_id", I.isrc_key(F.col("isrc")).alias("isrc")).agg(F.min("release_id").alias("release_id"), F.count_distinct("release_id").alias("releases"))
+    codes = tracks.where(~I.blank(F.col("isrc"))).select("release_id", I.isrc_key(F.col("isrc")).alias("isrc"))
+    n = L.parts(tracks.count(), TRACKS)
+    # a release's tracks are together once they have met it, so its codes become distinct there, and only counts of codes go on
+    held = codes.repartition(n, "release_id").join(own.select("release_id", "org_id").repartition(n, "release_id"), "release_id")
+    once = held.select("release_id", "org_id", "isrc").distinct()
+    return once.groupBy("org_id", "isrc").agg(F.min("release_id").alias("release_id"), F.count("release_id").alias("releases"))
 
 
 def newest(rows: DataFrame, at: str, tie: str, k: int = 50) -> DataFrame:
