@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonearm.functions import similarity as Y
+from tonearm.functions import text as X
 from tonearm.operators import enrichment as N
+from tonearm.operators import fraud as D
 from tonearm.operators import loudness as LO
 from tonearm.plans import reports as P
 from tonearm.queries import checks as C
@@ -97,3 +99,14 @@ def test_tracks_of_an_organisation_meet_in_bounded_tasks(spark, monkeypatch):
     want = tracks.toPandas().assign(org_id=lambda x: x["release_id"] % 2, isrc=lambda x: x["isrc"].str.upper().str.replace("-", "")).groupby(["org_id", "isrc"])["release_id"].agg(["min", "nunique"])
     assert {(r["org_id"], r["isrc"]): (r["release_id"], r["releases"]) for r in found.collect()} == {k: tuple(v) for k, v in want.iterrows()}
     assert "RepartitionByExpression [release_id" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_marks_are_made_once(spark):
+    words = spark.createDataFrame([("Deep SLEEP lab",), ("Rain sounds",), ("Anna",), (None,), ("",)], "t string")
+    got = [tuple(r) for r in words.select(X.has_word(F.col("t"), X.FUNCTIONAL_WORDS), F.size(X.words_found(F.col("t"), X.FUNCTIONAL_WORDS)) > 0).collect()]
+    assert [bool(a) for a, _ in got] == [b for _, b in got] == [True, True, False, False, False]
+    rows = spark.createDataFrame([(1, "Deep Sleep", "Calm", None, None, [("Rain 1", 9), ("rain 2", 9), ("Rain 3", 9)])], "release_id int, artist string, title string, publisher string, iswc string, tracks array<struct<title:string,duration_ms:long>>")
+    rows = rows.withColumn("tracks", F.transform("tracks", lambda t: t.withField("composer", F.lit(None).cast("string"))))
+    plan = D.lone_signals(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]+\\s*$") <= 2
+    assert {r["signal_id"] for r in D.lone_signals(rows).collect()} >= {"fraud.functional_music_spam", "fraud.short_track_duration", "fraud.ai_generation_suspected"}

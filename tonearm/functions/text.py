@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -77,6 +78,12 @@ def words_found(c: Column, words) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in sorted(words)]), lambda w: F.contains(low, w))
 
 
+def has_word(c: Column, words) -> Column:
+    """Whether a text contains one of the words; those that hold another of them add nothing."""
+    least = [w for w in sorted(words) if not any(v != w and v in w for v in words)]
+    return F.lower(c).rlike("|".join(re.escape(w) for w in least))
+
+
 def safe_file_name(c: Column) -> Column:
     """The last part of a path with other characters than letters, digits, dots and dashes as underscores; "upload" if none is left."""
     name = F.regexp_replace(F.regexp_replace(c, r"^.*[/\\]", ""), r"[^\p{L}\p{N}_.\-]", "_")
@@ -118,4 +125,5 @@ def title_prefix(c: Column) -> Column:
 def formulaic_titles(titles: Column) -> Column:
     """Titles of an array that share their prefix before a number with another."""
     prefixes = F.filter(F.transform(titles, title_prefix), lambda p: p.isNotNull())
-    return F.size(F.filter(prefixes, lambda p: F.size(F.filter(prefixes, lambda q: q == p)) >= 2))
+    # as the one element of an array the prefixes are made once, not again for each title
+    return F.element_at(F.transform(F.array(prefixes), lambda ps: F.size(F.filter(ps, lambda p: F.size(F.filter(ps, lambda q: q == p)) >= 2))), 1)

@@ -37,19 +37,23 @@ def _sum(*flags: Column) -> Column:
     return sum((F.coalesce(f, F.lit(False)).cast("int") for f in flags[1:]), F.coalesce(flags[0], F.lit(False)).cast("int"))
 
 
-def row_signals() -> list[Column]:
-    """Signals that one release shows alone."""
+def marks(releases: DataFrame) -> DataFrame:
+    """Adds what several signals ask of a release, each made once: __numbered, __uniform, __generic, then __spam and __ai."""
     tracks, n = F.coalesce("tracks", F.array()), F.coalesce(F.size("tracks"), F.lit(0))
-    numbered = X.formulaic_titles(titles(tracks))
-    spam = _sum(
-        F.size(X.words_found(F.col("artist"), X.FUNCTIONAL_WORDS)) > 0, F.size(X.words_found(F.col("title"), X.FUNCTIONAL_WORDS)) > 0, n > MANY_TRACKS,
-        uniform_duration(tracks), (n >= 3) & (numbered >= F.greatest(F.lit(3.0), n * 0.7)),
-    )
+    out = releases.withColumns({"__numbered": X.formulaic_titles(titles(tracks)), "__uniform": uniform_duration(tracks), "__generic": F.size(F.filter(titles(tracks), X.generic_title))})
+    numbered, uniform = F.col("__numbered"), F.col("__uniform")
+    spam = _sum(X.has_word(F.col("artist"), X.FUNCTIONAL_WORDS), X.has_word(F.col("title"), X.FUNCTIONAL_WORDS), n > MANY_TRACKS, uniform, (n >= 3) & (numbered >= F.greatest(F.lit(3.0), n * 0.7)))
     composer = F.exists(tracks, lambda t: ~I.blank(t["composer"]))
-    tool = F.size(X.words_found(F.concat_ws(" \n ", "publisher", "artist", "title"), X.TOOL_WORDS)) > 0
-    ai = _sum(~composer & (n > 0), tool, (n >= 3) & (numbered >= n * 0.8), ~composer & I.blank(F.col("iswc")) & (n >= 5), uniform_duration(tracks) & (n >= 5))
+    tool = X.has_word(F.concat_ws(" \n ", "publisher", "artist", "title"), X.TOOL_WORDS)
+    ai = _sum(~composer & (n > 0), tool, (n >= 3) & (numbered >= n * 0.8), ~composer & I.blank(F.col("iswc")) & (n >= 5), uniform & (n >= 5))
+    return out.withColumns({"__spam": spam, "__ai": ai})
+
+
+def row_signals() -> list[Column]:
+    """Signals that one release shows alone, of rows with their marks."""
+    tracks, n = F.coalesce("tracks", F.array()), F.coalesce(F.size("tracks"), F.lit(0))
+    spam, ai, generic = F.col("__spam"), F.col("__ai"), F.col("__generic")
     short = F.filter(tracks, lambda t: (t["duration_ms"] > 0) & (t["duration_ms"] < SHORT_SECONDS * 1000))
-    generic = F.size(F.filter(titles(tracks), X.generic_title))
     share = F.try_divide(generic.cast("double"), n)
     return [
         signal(spam >= 2, "fraud.functional_music_spam", by_count(spam), F.concat(spam.cast("string"), F.lit(" marks of functional music"))),
@@ -60,7 +64,7 @@ def row_signals() -> list[Column]:
 
 
 def lone_signals(releases: DataFrame) -> DataFrame:
-    return releases.select("release_id", F.explode(F.array_compact(F.array(*row_signals()))).alias("s")).select("release_id", "s.*")
+    return marks(releases).select("release_id", F.explode(F.array_compact(F.array(*row_signals()))).alias("s")).select("release_id", "s.*")
 
 
 def name_signals(releases: DataFrame, known: DataFrame) -> DataFrame:
