@@ -184,3 +184,16 @@ def test_table_functions_in_sql(spark):
     assert [tuple(r) for r in rows] == [(2, "x\ny", "1", None), (3, None, "2", None)]
     with pytest.raises(Exception, match="name the columns"):
         spark.sql("SELECT * FROM texts, LATERAL parse_csv(text)").collect()
+
+
+def test_search_shuffles_no_pairs(spark, monkeypatch):
+    """3,000 sets of three words, each word of 150 to 180 sets: 1.4 million pairs meet, the shuffles hold postings and the best few; tiles of a word find the same."""
+    rows = lambda name: spark.createDataFrame([(i, f"a{i % 20} b{i % 19} c{i % 17}", "") for i in range(3000)], f"{name} int, title string, artist string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: store.executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    found = {tuple(r) for r in S.search(rows("k"), rows("recording_id"), "k").collect()}
+    assert len(found) == 15_000 and shuffled() - before < 10_000_000
+    assert {(k, r) for k, pos, r, _ in found if pos == 1} == {(i, i) for i in range(3000)}
+    monkeypatch.setattr(S, "TILE", 64)
+    assert {tuple(r) for r in S.search(rows("k"), rows("recording_id"), "k").collect()} == found

@@ -5,19 +5,27 @@ by weighted overlap: the weight of shared words over that of all words of either
 texts that reach it share a word among the rarest of each: those before the common words that together weigh less
 than LEAST of the text. Just these rare words are indexed and looked up; very common ones never meet, and no pair that counts
 is missed. Equal word sets are one entry on both sides, so a song that stands a million times in the index costs one.
+Sets are dealt by rare word to tasks, with their words and weights. A task scores the pairs that meet in it and gives the best few of each
+asked set, so the pairs, whose number grows with the square of a word's sets, are never shuffled or written.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import layout as L
 from ..functions import identifiers as I
 from . import enrichment as N
 
 LEAST, MOST = 0.3, 5
 #: Weights are whole numbers of this unit, so that sums don't depend on order.
 UNIT = 1_000_000
+#: Recordings a task that compares postings, and sets of a word a side that meet in one tile.
+TASK, TILE = 5_000, 8192
 
 
 def words(title: Column, artist: Column) -> Column:
@@ -26,14 +34,77 @@ def words(title: Column, artist: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(part(title, "t:"), part(artist, "a:"))))
 
 
-def _weighted(sets: DataFrame, frequencies: DataFrame, rows: int, least: float) -> DataFrame:
-    """sid, w (word), u (its weight), whole (the set's weight) and rare (whether it is among the rarest that count). Words of no recording weigh as much as those of one."""
-    each = sets.select("sid", F.explode("words").alias("w")).join(frequencies, "w", "left")
+def _postings(sets: DataFrame, frequencies: DataFrame, rows: int, least: float, *more: str) -> DataFrame:
+    """A row for each rare word (w) of a set that both sides hold: the set with all its words, their weights (us) and whole weight, and the sets a side that hold w.
+
+    Words of no recording weigh as much as those of one.
+    """
+    each = sets.select("sid", *more, F.explode("words").alias("w")).join(frequencies, "w", "left")
     n = F.coalesce("n", F.lit(1))
-    each = each.select("sid", "w", n.alias("n"), F.round(F.log(1 + F.lit(rows) / n) * UNIT).cast("long").alias("u"))
+    each = each.withColumn("n", n).withColumn("u", F.round(F.log(1 + F.lit(rows) / n) * UNIT).cast("long"))
     whole = Window.partitionBy("sid")
     rest = whole.orderBy(F.col("n"), F.col("w")).rowsBetween(0, Window.unboundedFollowing)  # from the word on to the commonest
-    return each.select("sid", "w", "u", F.sum("u").over(whole).alias("whole"), (F.sum("u").over(rest) >= F.sum("u").over(whole) * least).alias("rare"))
+    rare = (F.sum("u").over(rest) >= F.sum("u").over(whole) * least) & F.col("n_asked").isNotNull()
+    each = each.select("sid", *more, "w", "u", F.when(rare, F.struct("w", "n_asked", "n_held")).alias("post"))
+    each = each.groupBy("sid", *more).agg(F.collect_list("w").alias("words"), F.collect_list("u").alias("us"), F.sum("u").alias("whole"), F.collect_list("post").alias("posts"))
+    return each.select("sid", *more, "words", "us", "whole", F.explode("posts").alias("post")).select("sid", *more, "words", "us", "whole", "post.*")
+
+
+def _tiled(postings: DataFrame, own: str, other: str, tasks: int) -> DataFrame:
+    """Postings dealt by word; a word that many sets hold is cut into tiles: each part of one side meets each of the other's."""
+    cut = lambda c: F.ceil(F.col(c) / TILE).cast("int")
+    part, word = F.pmod(F.xxhash64("sid"), cut(f"n_{own}")).cast("int"), F.xxhash64("w")
+    out = postings.select("*", part.alias(own), F.explode(F.sequence(F.lit(0), cut(f"n_{other}") - 1)).alias(other))
+    out = out.withColumn("deal", F.when((cut("n_asked") > 1) | (cut("n_held") > 1), word).otherwise(F.pmod(word, F.lit(tasks)))).drop("n_asked", "n_held")
+    return out.repartition(tasks, "deal", "asked", "held")  # as many tasks as the rows ask for: little data, but much work
+
+
+def _best_met(k: int, least: float):
+    """Of two tables of postings, the best k held sets that each asked set meets at a word: q, h, overlap. Pairs stay in the task."""
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+        l, r = l.combine_chunks(), r.combine_chunks()  # noqa: E741
+        if not l.num_rows or not r.num_rows:
+            return _met([], [], [], l, r)
+        r = r.take(pc.sort_indices(r.column("w"))).combine_chunks()
+        word = pa.concat_arrays([x for t in (l, r) for x in t.column("w").chunks]).dictionary_encode().indices.to_numpy()
+        lw, rw = word[: l.num_rows], word[l.num_rows :]
+        ends = np.flatnonzero(np.append(rw[1:] != rw[:-1], True)) + 1  # of the runs of a word
+        first, last = np.zeros(word.max() + 1, np.int64), np.zeros(word.max() + 1, np.int64)
+        first[rw[ends - 1]], last[rw[ends - 1]] = np.append(0, ends[:-1]), ends
+        lists = [pa.concat_arrays(t.column("words").chunks) for t in (l, r)]
+        codes = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode().indices.to_numpy()
+        l_at, r_at = (np.append(0, np.cumsum(x.value_lengths().to_numpy())) for x in lists)
+        l_codes, r_codes = codes[: l_at[-1]], codes[l_at[-1] :]
+        us = pa.concat_arrays(l.column("us").chunks).flatten().to_numpy()
+        l_whole, r_whole = l.column("whole").to_numpy(), r.column("whole").to_numpy()
+        order = np.empty(r.num_rows, np.int64)
+        order[pc.sort_indices(r.column("r0")).to_numpy()] = np.arange(r.num_rows)
+        weight = np.zeros(codes.max() + 1, np.int64)
+        qs, hs, overlaps = [], [], []
+        for i in np.flatnonzero(last[lw]).tolist():
+            a, b = first[lw[i]], last[lw[i]]
+            mine = slice(l_at[i], l_at[i + 1])
+            weight[l_codes[mine]] = us[mine]
+            shared = np.add.reduceat(weight[r_codes[r_at[a] : r_at[b]]], r_at[a:b] - r_at[a])
+            weight[l_codes[mine]] = 0
+            overlap = shared / (l_whole[i] + r_whole[a:b] - shared)
+            near = np.flatnonzero(overlap >= least)
+            if len(near) > k:
+                edge = np.partition(overlap[near], -k)[-k]
+                near = near[overlap[near] >= edge]
+                near = near[np.lexsort((order[a + near], -overlap[near]))[:k]]
+            qs.append(np.full(len(near), i))
+            hs.append(a + near)
+            overlaps.append(overlap[near])
+        return _met(qs, hs, overlaps, l, r)
+
+    return run
+
+
+def _met(qs: list, hs: list, overlaps: list, l: pa.Table, r: pa.Table) -> pa.Table:  # noqa: E741
+    rows = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
+    return pa.table({"q": l.column("sid").take(pa.array(rows(qs, np.int64))), "h": r.column("sid").take(pa.array(rows(hs, np.int64))), "overlap": pa.array(rows(overlaps, np.float64))})
 
 
 def search(tracks: DataFrame, recordings: DataFrame, key: str, recording: str = "recording_id", k: int = MOST, least: float = LEAST) -> DataFrame:
@@ -43,18 +114,18 @@ def search(tracks: DataFrame, recordings: DataFrame, key: str, recording: str =
     """
     asked = tracks.where(F.col(key).isNotNull()).select(key, words(F.col("title"), F.col("artist")).alias("words")).where(F.size("words") > 0)
     held = recordings.where(F.col(recording).isNotNull()).select(F.col(recording).alias("r"), words(F.col("title"), F.col("artist")).alias("words")).where(F.size("words") > 0)
-    sid = F.sha2(F.array_join("words", " "), 256)
+    sid = F.substring(F.unhex(F.sha2(F.array_join("words", " "), 256)), 1, 16)
     asked, held = asked.withColumn("sid", sid), held.withColumn("sid", sid)
-    asked_sets, held_sets = asked.select("sid", "words").dropDuplicates(["sid"]), held.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("times"))
-    frequencies = held_sets.select(F.explode("words").alias("w"), "times").groupBy("w").agg(F.sum("times").alias("n"))
+    asked_sets = asked.select("sid", "words").dropDuplicates(["sid"])
+    held_sets = held.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("times"), F.min("r").alias("r0"))
+    n_asked = asked_sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n_asked"))
+    frequencies = held_sets.select(F.explode("words").alias("w"), "times").groupBy("w").agg(F.sum("times").alias("n"), F.count("*").alias("n_held")).join(n_asked, "w", "left")
     rows = held.count()
-    left, right = _weighted(asked_sets, frequencies, rows, least), _weighted(held_sets.select("sid", "words"), frequencies, rows, least)
-    met = left.where("rare").select(F.col("sid").alias("q"), "w").join(right.where("rare").select(F.col("sid").alias("h"), "w"), "w").select("q", "h").distinct()
-    # all shared words of the pairs that met
-    l, r = left.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("w", "u"))).alias("u"), F.first("whole").alias("lw")), held_sets.join(right.groupBy("sid").agg(F.first("whole").alias("rw")), "sid").select("sid", "words", "rw")
-    pairs = met.join(l.withColumnRenamed("sid", "q"), "q").join(r.withColumnRenamed("sid", "h"), "h")
-    shared = F.aggregate(F.array_intersect(F.map_keys("u"), "words"), F.lit(0).cast("long"), lambda s, w: s + F.element_at("u", w))
-    scored = pairs.select("q", "h", shared.alias("shared"), "lw", "rw").withColumn("overlap", F.col("shared") / (F.col("lw") + F.col("rw") - F.col("shared"))).where(F.col("overlap") >= least)
+    tasks = L.parts(rows, TASK)
+    left = _tiled(_postings(asked_sets, frequencies, rows, least), "asked", "held", tasks)
+    right = _tiled(_postings(held_sets.select("sid", "words", "r0"), frequencies, rows, least, "r0"), "held", "asked", tasks)
+    deal = ["deal", "asked", "held"]
+    scored = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInArrow(_best_met(k, least), "q binary, h binary, overlap double").distinct()
     # the best k of each word set: of equal sets only the k smallest recordings can count
     of_set = Window.partitionBy("sid").orderBy("r")
     first = held.select("sid", "r").withColumn("n", F.row_number().over(of_set)).where(F.col("n") <= k).select(F.col("sid").alias("h"), "r")
