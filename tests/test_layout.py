@@ -12,6 +12,7 @@ from tonearm.operators import fraud as D
 from tonearm.operators import loudness as LO
 from tonearm.plans import reports as P
 from tonearm.queries import checks as C
+from tonearm.queries import files as QF
 from tonearm.queries import operations as Q
 from tonearm.queries import signals as G
 from tonearm.sources import stores as K
@@ -116,3 +117,9 @@ def test_candidates_are_dealt_by_key(spark, tmp_path):
     spark.range(40_000).coalesce(1).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("c").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
     plan = G.best_candidates(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [p_partkey" in plan
+
+
+def test_json_texts_of_one_small_file_are_many_tasks(spark, tmp_path):
+    """60,000 releases in one file, which is one task as it is read."""
+    spark.range(60_000).coalesce(1).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QF.json_findings(spark, str(tmp_path)).rdd.getNumPartitions() == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import layout as L
 from ..operators import bulk as B
 from ..sources import bulk as SB
 from ..sources import messages as SX
@@ -110,7 +111,7 @@ def csv_findings(spark, d):
 
 def _json_texts(spark, d):
     """Releases as JSON with faults of every kind: broken texts, other structures, fields of other types, tracks that are none."""
-    o = T.load(spark, d, "orders")
+    o = L.spread(T.load(spark, d, "orders").select("o_orderkey"), 20_000)  # a file of few bytes is one task, and taking texts apart is the work
     k = F.col("o_orderkey")
     pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs)).cast("int") + 1)
     upc = F.when(k % 4 == 3, F.concat(F.lit('"'), F.lpad(k.cast("string"), 12, "0"), F.lit('"'))).otherwise(pick(k, '""', '"abc"', "123456789012"))

@@ -87,15 +87,13 @@ def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+def _fields(v: Column) -> Column:
+    """Fields of a JSON object; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _nothing(v: Column) -> Column:
-    """Whether a value is absent, null, false, zero, or an empty text, array or object."""
-    kind = F.schema_of_variant(v)
-    text = F.try_variant_get(v, "$", "string")
-    return v.isNull() | F.coalesce((kind == "VOID") | F.startswith(kind, F.lit("ARRAY")) & (F.size(_items(v)) == 0) | (kind.isin("BOOLEAN") & (text == "false")) | (kind == "STRING") & (text == "") | kind.isin("OBJECT<>") | (kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))) & (F.try_variant_get(v, "$", "double") == 0), F.lit(False))
+def _is_object(v: Column) -> Column:
+    return _fields(v).isNotNull()
 
 
 def _text(v: Column) -> Column:
@@ -103,16 +101,32 @@ def _text(v: Column) -> Column:
     return F.trim(F.try_variant_get(v, "$", "string"))
 
 
-def _not_whole(v: Column) -> Column:
-    """Whether a value is given but no whole number can be made of it: texts that aren't digits, arrays and objects."""
-    kind = F.schema_of_variant(v)
-    nested = F.startswith(kind, F.lit("ARRAY")) | F.startswith(kind, F.lit("OBJECT"))
-    return v.isNotNull() & F.coalesce((kind != "VOID") & (nested | (kind == "STRING") & ~_text(v).rlike(WHOLE)), F.lit(False))
+def _each(values: Column, made) -> Column:
+    """made(x) of each value. What made() makes for a later _each() is made once, however often that names it."""
+    return F.transform(values, made)
+
 
+def _known(*values: Column) -> Column:
+    """An array of v, kind, text (trimmed) and nothing (absent, null, false, zero, or an empty text, array or object) of each value; each is looked at once.
+
+    Schemas are made of plain values only: that of an array or object costs a walk through all of it.
+    """
+    kind = lambda x: F.when(_items(x).isNotNull(), "ARRAY").when(_fields(x).isNotNull(), "OBJECT").otherwise(F.schema_of_variant(x))
+    kinds = _each(F.array(*values), lambda x: F.struct(x.alias("v"), kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("raw")))
+    nothing = lambda v, kind, raw: v.isNull() | F.coalesce(
+        F.when(kind == "VOID", True).when(kind == "ARRAY", F.size(_items(v)) == 0).when(kind == "OBJECT", F.size(_fields(v)) == 0).when(kind == "BOOLEAN", raw == "false").when(kind == "STRING", raw == "")
+        .when(kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL")), F.try_variant_get(v, "$", "double") == 0), F.lit(False)
+    )
+    return _each(kinds, lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), F.trim(x["raw"]).alias("text"), nothing(x["v"], x["kind"], x["raw"]).alias("nothing")))
 
-def _whole(v: Column) -> Column:
-    kind = F.schema_of_variant(v)
-    return F.when(kind == "STRING", whole_number(_text(v))).when(kind == "BOOLEAN", F.when(_text(v) == "true", 1).otherwise(0).cast("long")).otherwise(F.try_variant_get(v, "$", "double").try_cast("long"))
+
+def _not_whole(x: Column) -> Column:
+    """Whether a known value is given but no whole number can be made of it: texts that aren't digits, arrays and objects."""
+    return F.coalesce(x["kind"].isin("ARRAY", "OBJECT") | (x["kind"] == "STRING") & ~x["text"].rlike(WHOLE), F.lit(False))
+
+
+def _whole(x: Column) -> Column:
+    return F.when(x["kind"] == "STRING", whole_number(x["text"])).when(x["kind"] == "BOOLEAN", F.when(x["text"] == "true", 1).otherwise(0).cast("long")).otherwise(F.try_variant_get(x["v"], "$", "double").try_cast("long"))
 
 
 def parse_json_uploads(files: DataFrame) -> DataFrame:
@@ -131,46 +145,51 @@ def parse_json_uploads(files: DataFrame) -> DataFrame:
 def releases_of_json(files: DataFrame) -> DataFrame:
     """path, pos, fault, broken (the text is no JSON), release (its fields, tracks and deals as given) and tracks."""
     v = F.col("v")
-    track = lambda t: F.struct(
-        *[F.nullif(_text(_get(t, k)), F.lit("")).alias(k) for k in ("isrc", "title")], _whole(_get(t, "track_number")).cast("int").alias("track_number"), _whole(_get(t, "duration_ms")).alias("duration_ms"), *[_text(_get(t, k)).alias(k) for k in JSON_TRACK]
+    track = lambda t: F.struct(t.alias("t"), _known(_get(t, "track_number"), _get(t, "duration_ms")).alias("n"))
+    of_track = lambda x: F.struct(
+        *[F.nullif(_text(_get(x["t"], k)), F.lit("")).alias(k) for k in ("isrc", "title")], _whole(x["n"][0]).cast("int").alias("track_number"), _whole(x["n"][1]).alias("duration_ms"), *[_text(_get(x["t"], k)).alias(k) for k in JSON_TRACK]
     )
     deal = lambda d: F.struct(*[_text(_get(d, k)).alias(k) for k in JSON_DEAL])
     objects = lambda name: F.filter(_items(_get(v, name)), _is_object)
-    made = F.struct(*[F.when(~_nothing(_get(v, k)), _text(_get(v, k))).alias(k) for k in JSON_NEEDED], *[_text(_get(v, k)).alias(k) for k in JSON_FIELDS], F.transform(objects("deals"), deal).alias("deals"))
-    return parse_json_uploads(files).select("path", "pos", "fault", F.col("fault").eqNullSafe("parse").alias("broken"), F.when(_is_object(v), made).alias("release"), F.when(_is_object(v), F.transform(F.coalesce(objects("tracks"), F.array().cast("array<variant>")), track)).alias("tracks"))
+    made = lambda needed: F.struct(*[F.when(~needed[i]["nothing"], needed[i]["text"]).alias(k) for i, k in enumerate(JSON_NEEDED)], *[_text(_get(v, k)).alias(k) for k in JSON_FIELDS], F.transform(objects("deals"), deal).alias("deals"))
+    release = _each(F.array(_known(*[_get(v, k) for k in JSON_NEEDED])), made)[0]
+    tracks = _each(_each(F.coalesce(objects("tracks"), F.array().cast("array<variant>")), track), of_track)
+    return parse_json_uploads(files).select("path", "pos", "fault", F.col("fault").eqNullSafe("parse").alias("broken"), F.when(_is_object(v), release).alias("release"), F.when(_is_object(v), tracks).alias("tracks"))
 
 
 def json_findings(files: DataFrame) -> DataFrame:
     """Findings of JSON texts: path, pos (of the release), rule_id, severity, message, field (its path in the release), actual; one pass, one explode."""
     v, fault, pos = F.col("v"), F.col("fault"), F.col("pos")
-    whole = fault.isNull() & _is_object(v)
     at = lambda *parts: F.concat(F.lit("releases["), pos.cast("string"), F.lit("]"), *parts)
-    found = [
-        finding(fault == "encoding", "json.encoding", "critical", "file is not UTF-8"), finding(fault == "parse", "json.parse", "critical", "text is not JSON"), finding(fault == "structure", "json.structure", "critical", "neither a release nor an array of releases"),
-        finding(fault.isNull() & pos.isNotNull() & ~_is_object(v), "json.release_type", "error", "a release is not an object"),
-    ]
-    for k in JSON_NEEDED:
-        found.append(finding(whole & _nothing(_get(v, k)), f"json.missing_{k}", "error", f"no {k}", k))
-    odd = lambda k, pattern: whole & ~_nothing(_get(v, k)) & (_text(_get(v, k)) != "") & ~_text(_get(v, k)).rlike(pattern)
-    tracks, deals = _get(v, "tracks"), _get(v, "deals")
-    found += [
-        finding(odd("upc", I.UPC), "json.upc_format", "error", "UPC is not 12 or 13 digits", "upc", _text(_get(v, "upc"))), finding(odd("release_date", FILE_DATE), "json.date_format", "error", "date is not YYYY-MM-DD", "release_date", _text(_get(v, "release_date"))),
-        finding(whole & deals.isNotNull() & (F.schema_of_variant(deals) != "VOID") & _items(deals).isNull(), "json.deals_type", "warning", "deals are not an array", "deals"),
-        finding(whole & _nothing(tracks), "json.no_tracks", "error", "no tracks", "tracks"), finding(whole & ~_nothing(tracks) & _items(tracks).isNull(), "json.tracks_type", "error", "tracks are not an array", "tracks"),
-    ]
-
-    def of_track(t: Column, i: Column) -> Column:
-        is_track, isrc = _is_object(t), _text(_get(t, "isrc"))
+    of_file = [finding(fault == "encoding", "json.encoding", "critical", "file is not UTF-8"), finding(fault == "parse", "json.parse", "critical", "text is not JSON"), finding(fault == "structure", "json.structure", "critical", "neither a release nor an array of releases")]
+
+    def of_track(x: Column, i: Column) -> Column:
+        is_track, isrc, title, number, duration = x["is_track"], *[x["known"][n] for n in range(4)]
         each = [
-            finding(~is_track, "json.track_type", "error", "a track is not an object"), finding(is_track & _nothing(_get(t, "isrc")), "json.track.missing_isrc", "error", "no isrc", "isrc"), finding(is_track & _nothing(_get(t, "title")), "json.track.missing_title", "error", "no title", "title"),
-            finding(is_track & ~_nothing(_get(t, "isrc")) & (isrc != "") & ~isrc.rlike(FILE_ISRC), "json.track.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", isrc), finding(is_track & _not_whole(_get(t, "track_number")), "json.track.track_number", "warning", "not a whole number", "track_number", _text(_get(t, "track_number"))),
-            finding(is_track & _not_whole(_get(t, "duration_ms")), "json.track.duration_ms", "warning", "not a whole number", "duration_ms", _text(_get(t, "duration_ms"))),
+            finding(~is_track, "json.track_type", "error", "a track is not an object"), finding(is_track & isrc["nothing"], "json.track.missing_isrc", "error", "no isrc", "isrc"), finding(is_track & title["nothing"], "json.track.missing_title", "error", "no title", "title"),
+            finding(is_track & ~isrc["nothing"] & (isrc["text"] != "") & ~isrc["text"].rlike(FILE_ISRC), "json.track.isrc_format", "error", "ISRC is not CC-XXX-YY-NNNNN", "isrc", isrc["text"]),
+            finding(is_track & _not_whole(number), "json.track.track_number", "warning", "not a whole number", "track_number", number["text"]), finding(is_track & _not_whole(duration), "json.track.duration_ms", "warning", "not a whole number", "duration_ms", duration["text"]),
         ]
         place = F.concat(F.lit("tracks["), i.cast("string"), F.lit("]"))
         return F.transform(F.array_compact(F.array(*each)), lambda f: f.withField("field", F.when(f["field"] == "", place).otherwise(F.concat(place, F.lit("."), f["field"]))))
 
-    of_tracks = F.when(whole, F.flatten(F.transform(_items(tracks), of_track)))
-    rows = parse_json_uploads(files).select("path", "pos", F.explode(F.concat(F.array_compact(F.array(*found)), F.coalesce(of_tracks, F.array().cast(of_type())))).alias("f"))
+    def of_release(x: Column) -> Column:
+        known = {k: x[i] for i, k in enumerate((*JSON_NEEDED, "deals", "tracks"))}
+        upc, date, deals, tracks = known["upc"], known["release_date"], known["deals"], known["tracks"]
+        odd = lambda x, pattern: ~x["nothing"] & (x["text"] != "") & ~x["text"].rlike(pattern)
+        each = [finding(known[k]["nothing"], f"json.missing_{k}", "error", f"no {k}", k) for k in JSON_NEEDED] + [
+            finding(odd(upc, I.UPC), "json.upc_format", "error", "UPC is not 12 or 13 digits", "upc", upc["text"]), finding(odd(date, FILE_DATE), "json.date_format", "error", "date is not YYYY-MM-DD", "release_date", date["text"]),
+            finding(~deals["kind"].isin("VOID", "ARRAY"), "json.deals_type", "warning", "deals are not an array", "deals"),
+            finding(tracks["nothing"], "json.no_tracks", "error", "no tracks", "tracks"), finding(~tracks["nothing"] & (tracks["kind"] != "ARRAY"), "json.tracks_type", "error", "tracks are not an array", "tracks"),
+        ]
+        track = lambda t: F.struct(_is_object(t).alias("is_track"), _known(*[_get(t, k) for k in ("isrc", "title", "track_number", "duration_ms")]).alias("known"))
+        of_tracks = F.flatten(F.transform(_each(_items(tracks["v"]), track), of_track))
+        return F.concat(F.array_compact(F.array(*each)), F.coalesce(of_tracks, F.array().cast(of_type())))
+
+    release = _each(F.array(_known(*[_get(v, k) for k in (*JSON_NEEDED, "deals", "tracks")])), of_release)[0]
+    no_release = F.array_compact(F.array(finding(pos.isNotNull(), "json.release_type", "error", "a release is not an object")))
+    found = F.when(fault.isNotNull(), F.array_compact(F.array(*of_file))).when(_is_object(v), release).otherwise(no_release)
+    rows = parse_json_uploads(files).select("path", "pos", F.explode(found).alias("f"))
     rows = rows.select("path", "pos", "f.*")
     return rows.withColumn("field", F.when(pos.isNotNull(), F.when(F.col("field") == "", at()).otherwise(at(F.lit("."), F.col("field")))).otherwise(""))
 
