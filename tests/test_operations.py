@@ -197,3 +197,14 @@ def test_search_shuffles_no_pairs(spark, monkeypatch):
     assert {(k, r) for k, pos, r, _ in found if pos == 1} == {(i, i) for i in range(3000)}
     monkeypatch.setattr(S, "TILE", 64)
     assert {tuple(r) for r in S.search(rows("k"), rows("recording_id"), "k").collect()} == found
+
+
+def test_lookup_shuffles_no_pairs(spark):
+    """2,000 releases without a known ISRC are searched among recordings whose words each stand in 100 to 118."""
+    rows = spark.range(2000).select(F.col("id").cast("int").alias("k"), F.expr("concat('song', id % 20, ' night', id % 19, ' ring', id % 17)").alias("title"), F.lit("Ann").alias("artist"))
+    recordings = rows.select(F.col("k").alias("recording_id"), F.lit(None).cast("string").alias("isrc"), "title", "artist")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    found = S.lookup(rows.select("k", F.array(F.lit("bad")).alias("isrc_list"), "title", "artist"), recordings, "k").collect()
+    assert {(r["k"], r["via"], tuple(r["recordings"]), r["confidence"]) for r in found} == {(i, "search", (i,), "high") for i in range(2000)}
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 10_000_000
