@@ -354,11 +354,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str
     known = member.join(reps.select("id", "x", "sig"), "id")  # x: of the text that stands for its class
     texts = rows.join(known, ["id", "x"]).select("id", "x", "text", "family", "parts", "sig").dropDuplicates(["id", "x"])
     schema = "id long, family long, parts long, sig binary, shingles binary"
-    blocks = texts.where("parts = 1").mapInArrow(sets, schema)
-    links = _paired(blocks, "parts", ["family"]).mapInArrow(_confirm(percent, least), "a long, b long")
+    # the texts are shuffled once, for small and large families
+    blocks = C.materialise(texts.mapInArrow(sets, schema), "minhash-sets")
+    spent.append(blocks)
+    links = _paired(blocks.where("parts = 1"), "parts", ["family"]).mapInArrow(_confirm(percent, least), "a long, b long")
     if not sizes.where(F.col("w") > BLOCK).isEmpty():
-        spent.append(C.materialise(texts.where("parts > 1").mapInArrow(sets, schema), "minhash-large"))
-        star, tiles = _through_pivots(spent[-1], "parts", "family", _exact(percent, least), 64)
+        star, tiles = _through_pivots(blocks.where("parts > 1"), "parts", "family", _exact(percent, least), 64)
         links = links.unionByName(star).unionByName(tiles.mapInArrow(_confirm(percent, least), "a long, b long"))
     found = C.components(links)
     C.discard(*spent)
