@@ -594,3 +594,22 @@ def test_a_shared_folder_is_demanded_on_a_cluster():
 
     with pytest.raises(ValueError):
         C.shared_dir(Session())
+
+
+def test_minhash_shuffles_texts_once(spark, monkeypatch):
+    """A small family and one of over a block among 200 long texts: what is shuffled is less than two copies of the texts."""
+    import random
+
+    from tonearm.llm import minhash
+
+    r = random.Random(5)
+    text = lambda: " ".join(f"{r.getrandbits(64):016x}" for _ in range(2000))
+    near = lambda t, n: [t + f" more{i}" for i in range(n)]
+    texts = [*near(text(), 6), *near(text(), 2), *[text() for _ in range(192)]]
+    monkeypatch.setattr(minhash, "BLOCK", 6000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    before = store.executorSummary("driver").totalShuffleWrite()
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 6 else 6 if i < 8 else i for i in range(200)}
+    assert store.executorSummary("driver").totalShuffleWrite() - before < 1.6 * sum(map(len, texts))
