@@ -199,6 +199,20 @@ def test_search_shuffles_no_pairs(spark, monkeypatch):
     assert {tuple(r) for r in S.search(rows("k"), rows("recording_id"), "k").collect()} == found
 
 
+def test_search_cuts_words_by_postings(spark, monkeypatch):
+    """A word of 2,002 sets that only two of them post is one tile: in the rest rarer words outweigh it, so its postings aren't copied for those."""
+    rows = [(i, f"a{i % 400} b{i % 397} c{i % 389} night love") for i in range(2000)] + [(2000, "night"), (2001, "love"), (2002, "night love")]
+    songs = spark.createDataFrame(rows, "k int, title string").withColumn("artist", F.lit(""))
+    tiled, seen = S._tiled, []
+    monkeypatch.setattr(S, "_tiled", lambda *a: seen.append(tiled(*a)) or seen[-1])
+    monkeypatch.setattr(S, "TILE", 64)
+    found = {tuple(r) for r in S.search(songs, songs.withColumnRenamed("k", "recording_id"), "k").collect()}
+    for side in seen:
+        assert side.count() == side.select("sid", "w").distinct().count()
+    monkeypatch.setattr(S, "TILE", 8192)
+    assert {tuple(r) for r in S.search(songs, songs.withColumnRenamed("k", "recording_id"), "k").collect()} == found and len(found) > 2000
+
+
 def test_lookup_shuffles_no_pairs(spark):
     """2,000 releases without a known ISRC are searched among recordings whose words each stand in 100 to 118."""
     rows = spark.range(2000).select(F.col("id").cast("int").alias("k"), F.expr("concat('song', id % 20, ' night', id % 19, ' ring', id % 17)").alias("title"), F.lit("Ann").alias("artist"))

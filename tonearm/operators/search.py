@@ -24,7 +24,7 @@ from . import enrichment as N
 LEAST, MOST = 0.3, 5
 #: Weights are whole numbers of this unit, so that sums don't depend on order.
 UNIT = 1_000_000
-#: Recordings a task that compares postings, and sets of a word a side that meet in one tile.
+#: Recordings a task that compares postings, and postings of a word a side that meet in one tile.
 TASK, TILE = 5_000, 8192
 
 
@@ -34,28 +34,39 @@ def words(title: Column, artist: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(part(title, "t:"), part(artist, "a:"))))
 
 
-def _postings(sets: DataFrame, frequencies: DataFrame, rows: int, least: float, *more: str) -> DataFrame:
-    """A row for each rare word (w) of a set that both sides hold: the set with all its words, their weights (us) and whole weight, and the sets a side that hold w.
+def _weighed(sets: DataFrame, frequencies: DataFrame, rows: int, least: float, *more: str) -> DataFrame:
+    """A row for each word (w) of a set: its weight (u) and whether it is a posting, a rare word that both sides hold.
 
     Words of no recording weigh as much as those of one.
     """
     each = sets.select("sid", *more, F.explode("words").alias("w")).join(frequencies, "w", "left")
     n = F.coalesce("n", F.lit(1))
-    each = each.withColumn("n", n).withColumn("u", F.round(F.log(1 + F.lit(rows) / n) * UNIT).cast("long"))
+    each = each.select("sid", *more, "w", n.alias("n"), F.round(F.log(1 + F.lit(rows) / n) * UNIT).cast("long").alias("u"), F.coalesce("met", F.lit(False)).alias("met"))
     whole = Window.partitionBy("sid")
     rest = whole.orderBy(F.col("n"), F.col("w")).rowsBetween(0, Window.unboundedFollowing)  # from the word on to the commonest
-    rare = (F.sum("u").over(rest) >= F.sum("u").over(whole) * least) & F.col("n_asked").isNotNull()
-    each = each.select("sid", *more, "w", "u", F.when(rare, F.struct("w", "n_asked", "n_held")).alias("post"))
-    each = each.groupBy("sid", *more).agg(F.collect_list("w").alias("words"), F.collect_list("u").alias("us"), F.sum("u").alias("whole"), F.collect_list("post").alias("posts"))
-    return each.select("sid", *more, "words", "us", "whole", F.explode("posts").alias("post")).select("sid", *more, "words", "us", "whole", "post.*")
-
-
-def _tiled(postings: DataFrame, own: str, other: str, tasks: int) -> DataFrame:
-    """Postings dealt by word; a word that many sets hold is cut into tiles: each part of one side meets each of the other's."""
-    cut = lambda c: F.ceil(F.col(c) / TILE).cast("int")
-    part, word = F.pmod(F.xxhash64("sid"), cut(f"n_{own}")).cast("int"), F.xxhash64("w")
-    out = postings.select("*", part.alias(own), F.explode(F.sequence(F.lit(0), cut(f"n_{other}") - 1)).alias(other))
-    out = out.withColumn("deal", F.when((cut("n_asked") > 1) | (cut("n_held") > 1), word).otherwise(F.pmod(word, F.lit(tasks)))).drop("n_asked", "n_held")
+    return each.select("sid", *more, "w", "u", (F.col("met") & (F.sum("u").over(rest) >= F.sum("u").over(whole) * least)).alias("post"))
+
+
+def _postings(each: DataFrame, *more: str) -> DataFrame:
+    """A row for each posting: its word, the set with all its words, their weights (us) and whole weight."""
+    sets = each.groupBy("sid", *more).agg(F.collect_list("w").alias("words"), F.collect_list("u").alias("us"), F.sum("u").alias("whole"), F.collect_list(F.when(F.col("post"), F.col("w"))).alias("posts"))
+    return sets.select("sid", *more, "words", "us", "whole", F.explode("posts").alias("w"))
+
+
+def _crowds(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Words of more postings than a tile holds, with their postings a side (null: one tile). Sets that hold a word but don't post it don't count."""
+    # by a column that _postings() needs too, so that both read one shuffle
+    crowd = lambda each, side, c: each.where("post").groupBy("w").agg(F.count(c).alias(f"n_{side}")).where(F.col(f"n_{side}") > TILE)
+    return crowd(asked, "asked", "sid").join(crowd(held, "held", "r0"), "w", "full")
+
+
+def _tiled(postings: DataFrame, crowds: DataFrame, own: str, other: str, tasks: int) -> DataFrame:
+    """Postings dealt by word; a word of many postings is cut into tiles: each part of one side meets each of the other's."""
+    cut = lambda c: F.ceil(F.coalesce(F.col(f"n_{c}"), F.lit(1)) / TILE).cast("int")
+    part, word = F.pmod(F.xxhash64("sid"), cut(own)).cast("int"), F.xxhash64("w")
+    out = postings.join(F.broadcast(crowds), "w", "left")  # a word for each TILE postings at most
+    out = out.select("*", part.alias(own), F.explode(F.sequence(F.lit(0), cut(other) - 1)).alias(other))
+    out = out.withColumn("deal", F.when((cut("asked") > 1) | (cut("held") > 1), word).otherwise(F.pmod(word, F.lit(tasks)))).drop("n_asked", "n_held")
     return out.repartition(tasks, "deal", "asked", "held")  # as many tasks as the rows ask for: little data, but much work
 
 
@@ -116,14 +127,16 @@ def search(tracks: DataFrame, recordings: DataFrame, key: str, recording: str =
     held = recordings.where(F.col(recording).isNotNull()).select(F.col(recording).alias("r"), words(F.col("title"), F.col("artist")).alias("words")).where(F.size("words") > 0)
     sid = F.substring(F.unhex(F.sha2(F.array_join("words", " "), 256)), 1, 16)
     asked, held = asked.withColumn("sid", sid), held.withColumn("sid", sid)
-    asked_sets = asked.select("sid", "words").dropDuplicates(["sid"])
+    asked_sets = asked.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("times"))
     held_sets = held.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("times"), F.min("r").alias("r0"))
-    n_asked = asked_sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n_asked"))
-    frequencies = held_sets.select(F.explode("words").alias("w"), "times").groupBy("w").agg(F.sum("times").alias("n"), F.count("*").alias("n_held")).join(n_asked, "w", "left")
+    met = asked_sets.select(F.explode("words").alias("w"), "times").groupBy("w").agg((F.sum("times") > 0).alias("met"))
+    frequencies = held_sets.select(F.explode("words").alias("w"), "times").groupBy("w").agg(F.sum("times").alias("n")).join(met, "w", "left")
     rows = held.count()
     tasks = L.parts(rows, TASK)
-    left = _tiled(_postings(asked_sets, frequencies, rows, least), "asked", "held", tasks)
-    right = _tiled(_postings(held_sets.select("sid", "words", "r0"), frequencies, rows, least, "r0"), "held", "asked", tasks)
+    l_each, r_each = _weighed(asked_sets, frequencies, rows, least), _weighed(held_sets.select("sid", "words", "r0"), frequencies, rows, least, "r0")
+    crowds = _crowds(l_each, r_each)
+    left = _tiled(_postings(l_each), crowds, "asked", "held", tasks)
+    right = _tiled(_postings(r_each, "r0").drop("us"), crowds, "held", "asked", tasks)
     deal = ["deal", "asked", "held"]
     scored = left.groupBy(*deal).cogroup(right.groupBy(*deal)).applyInArrow(_best_met(k, least), "q binary, h binary, overlap double").distinct()
     # the best k of each word set: of equal sets only the k smallest recordings can count
