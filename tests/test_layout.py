@@ -48,6 +48,20 @@ def test_retries_compare_failures_only(spark, tmp_path):
     assert "max_by" not in waiting._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_meeting_of_many_is_cut_by_both(spark, monkeypatch):
+    """Copies of events and endpoints stay near the tables' size, and neither is sent to all tasks."""
+    monkeypatch.setattr(K, "MEETING", 400)
+    events = spark.range(300).select(F.lit(1).alias("org_id"), F.lit("scan").alias("event"), F.col("id").alias("payload"))
+    ends = spark.range(200).select(F.lit(1).alias("org_id"), F.concat(F.lit("u"), "id").alias("url"), F.array(F.lit("scan")).alias("events"), F.lit(True).alias("active"))
+    found = K.deliveries(events, ends)
+    assert found.count() == found.distinct().count() == 300 * 200
+    plan = found._jdf.queryExecution()
+    assert "BroadcastHashJoin" not in plan.sparkPlan().toString().split("SortMergeJoin")[0] and "SortMergeJoin" in plan.sparkPlan().toString()
+    assert "__end" in plan.optimizedPlan().toString()  # by events alone 150 copies of each endpoint were made, now 15
+    monkeypatch.setattr(K, "TASKS", 10)
+    assert K.deliveries(events, ends).rdd.getNumPartitions() == 10 and K.deliveries(events, ends).count() == 300 * 200
+
+
 def test_track_loudness_shuffles_no_samples(spark, tmp_path):
     spark.range(300, 312).coalesce(1).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
     found = Q.track_loudness(spark, str(tmp_path))
