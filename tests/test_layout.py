@@ -1,5 +1,6 @@
 """Work of small tables is dealt to many tasks, with the same results."""
 
+import hashlib
 import math
 
 import pytest
@@ -62,6 +63,27 @@ def test_meeting_of_many_is_cut_by_both(spark, monkeypatch):
     assert K.deliveries(events, ends).rdd.getNumPartitions() == 10 and K.deliveries(events, ends).count() == 300 * 200
 
 
+def test_log_without_ids_and_partial_batches(spark, tmp_path):
+    """What the log has in part is sent in part, first or later, and neither ids nor shuffles of whole batches are needed for it."""
+    events = spark.createDataFrame([(i, 1, "scan", f"p{i}") for i in (1, 2, 3)], "event_id int, org_id int, event string, payload string")
+    ends = lambda *urls: spark.createDataFrame([(1, u, ["scan"], True) for u in urls], "org_id int, url string, events array<string>, active boolean")
+    path, at = str(tmp_path / "log"), lambda m: F.timestamp_seconds(F.lit(60 * m))
+    send = lambda r: 503 if r["url"] != "v" else 200
+    keys = lambda df: sorted((r["event_id"], r["url"], r["attempt"]) for r in df.collect())
+    O.deliver(O.outgoing(events.where("event_id < 3"), ends("u", "v")), path, 0, send, at(0))
+    again = O.unsent(O.outgoing(events.where("event_id < 3"), ends("v", "u")), O.read_log(spark, path))
+    assert again.isEmpty() and "Join" not in again._jdf.queryExecution().optimizedPlan().toString()
+    O.deliver(O.outgoing(events, ends("u", "v", "w")), path, 0, send, at(0))
+    log = O.read_log(spark, path)
+    assert keys(log) == [(str(i), u, 1) for i in (1, 2, 3) for u in "uvw"]
+    assert "delivery_id" not in spark.read.parquet(path).columns
+    assert {r["delivery_id"] for r in log.collect()} == {hashlib.sha256(f"{i}\n{u}".encode()).hexdigest() for i in (1, 2, 3) for u in "uvw"}
+    O.deliver(O.due(log, at(1)).where("event_id = '1' or event_id = '2' and url = 'u'"), path, 1, send, at(1))
+    assert keys(O.due(O.read_log(spark, path), at(1))) == [("2", "w", 2), ("3", "u", 2), ("3", "w", 2)]
+    assert keys(O.unsent(O.due(log, at(1)), O.read_log(spark, path))) == [("2", "w", 2), ("3", "u", 2), ("3", "w", 2)]
+    assert keys(O.due(O.read_log(spark, path), at(3))) == [("1", "u", 3), ("1", "w", 3), ("2", "u", 3), ("2", "w", 2), ("3", "u", 2), ("3", "w", 2)]
+
+
 def test_track_loudness_shuffles_no_samples(spark, tmp_path):
     spark.range(300, 312).coalesce(1).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
     found = Q.track_loudness(spark, str(tmp_path))
