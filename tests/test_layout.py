@@ -102,6 +102,16 @@ def test_track_loudness_shuffles_no_samples(spark, tmp_path):
         LO.energies(back, in_order=True).collect()
 
 
+def test_neighbours_are_not_broadcast(spark):
+    """Some hundred neighbours a name are no small table, though the planner counts names."""
+    left = spark.range(50).select(F.concat(F.lit("supplier "), "id").alias("n"))
+    names = spark.range(20).select(F.concat(F.lit("supplier "), (F.col("id") * 37).cast("string")).alias("k"), F.col("id").alias("p"))
+    found = Y.first_near(left, names, "n", "k", "p")
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [__n#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert found.count() == 50 and found.where("n = 'supplier 37'").first()["distance"] > 0  # supplier 0 comes first
+
+
 def test_isrc_lookup_beyond_five_digits(spark, tmp_path):
     keys = [0, 4, 9_999, 10_000, 10_001, 100_000, 100_001, 100_002, 100_003, 1_000_001, 1_000_002]
     spark.createDataFrame([(k, f"title {k}") for k in keys], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))

@@ -36,8 +36,8 @@ def first_near(left: DataFrame, names: DataFrame, name: str, known: str, pos: st
     """For each distinct name of left the first known name (by pos) within `most` edits, equal ones included: name, known, pos, distance.
 
     Candidates come from an equi-join on deletion neighbourhoods: two strings within k edits share a string that is made by
-    deleting at most k characters from each. So no nested-loop join is needed, and the join stays exact and
-    linear in both sides. It works on distinct names, so that a frequent one meets once, and for at most two edits
+    deleting at most k characters from each. So no nested-loop join is needed, and the join stays exact; neighbours of
+    both sides are shuffled, linear in both. It works on distinct names, so that a frequent one meets once, and for at most two edits
     (more would need neighbourhoods of the third power of a name's length).
     """
     if not 0 <= most <= 2:
@@ -57,9 +57,10 @@ def first_near(left: DataFrame, names: DataFrame, name: str, known: str, pos: st
     hashed = lambda c: F.explode(F.array_distinct(F.transform(neighbours(c), lambda s: F.xxhash64(s))))  # noqa: E731  8 bytes a neighbour; what collides is compared below
     a = L.spread(left.select(name).distinct(), NAMES).withColumn("__n", hashed(F.col(name)))
     b = L.spread(names.groupBy(known).agg(F.min(pos).alias(pos)), NAMES).withColumn("__n", hashed(F.col(known)))
+    # merged, since the planner takes the neighbours of known names, some hundred each, for as small as the names, and would send them through the driver to each task
     # a pair that meets often is compared often: that costs less than to shuffle all pairs that meet. Only the smallest pos is kept of each name
     near = lambda df: df.withColumn("distance", F.levenshtein(name, known, most)).where((F.col("distance") >= 0) & (F.abs(F.length(name) - F.length(known)) <= length_gap))
-    first = near(a.join(b, "__n")).groupBy(name).agg(F.min(pos).alias(pos))
+    first = near(a.join(b.hint("merge"), "__n")).groupBy(name).agg(F.min(pos).alias(pos))
     # known names may share a pos: of those that are near the smallest
     found = near(first.join(names.groupBy(known).agg(F.min(pos).alias(pos)), pos))
     return found.groupBy(name).agg(F.min(F.struct(known, pos, "distance")).alias("m")).select(name, "m.*")
