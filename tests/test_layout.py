@@ -112,6 +112,14 @@ def test_neighbours_are_not_broadcast(spark):
     assert found.count() == 50 and found.where("n = 'supplier 37'").first()["distance"] > 0  # supplier 0 comes first
 
 
+def test_tenths_are_not_broadcast(spark, tmp_path):
+    """A track has 600 tenths a minute, though the planner sizes them like the tracks."""
+    spark.range(3).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    found = Q.track_loudness(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r["s_suppkey"], r["seconds"]) for r in found.collect()) == [(0, 6.0), (1, 6.0), (2, 6.0)]
+
+
 def test_isrc_lookup_beyond_five_digits(spark, tmp_path):
     keys = [0, 4, 9_999, 10_000, 10_001, 100_000, 100_001, 100_002, 100_003, 1_000_001, 1_000_002]
     spark.createDataFrame([(k, f"title {k}") for k in keys], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))

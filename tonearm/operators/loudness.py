@@ -132,19 +132,21 @@ def loudness(blocks: DataFrame, in_order: bool = False, tracks: DataFrame | None
     """track, integrated (LUFS), loudness_range (LU) and seconds of each track. in_order: see energies. tracks: the tracks, if they are known without their blocks."""
     weight = F.when(F.col("channel") == 3, 0.0).when(F.col("channel") > 3, SURROUND).otherwise(1.0)
     each = energies(blocks, in_order).groupBy("track", "channel", "tenth").agg(F.sum("squares").alias("s"), F.sum("n").alias("n"))
-    tenths = each.groupBy("track", "tenth").agg(F.sum(weight * F.col("s") / F.col("n")).alias("z"), F.max("n").alias("n"))
+    tenths = each.groupBy("track", "tenth").agg(F.sum(weight * F.col("s") / F.col("n")).alias("z"))
     order = Window.partitionBy("track").orderBy("tenth")
 
     def windows(size: int, name: str):
         w = order.rowsBetween(1 - size, 0)
         return F.when(F.count("*").over(w) == size, F.avg("z").over(w)).alias(name)
 
-    rows = tenths.select("track", "n", windows(MOMENT, "moment"), windows(SHORT, "short"))
     loud = lambda c: F.when(_level(F.col(c)) > ABSOLUTE, F.col(c))
-    first = rows.groupBy("track").agg((_level(F.avg(loud("moment"))) + RELATIVE).alias("gate"), (_level(F.avg(loud("short"))) + RANGE_RELATIVE).alias("range_gate"), F.count("*").alias("tenths"))
+    # gates are made where a track's tenths lie: a join with them had all tenths sent to each task, as the planner sizes them like the blocks' keys
+    whole = Window.partitionBy("track")
+    gates = {"gate": _level(F.avg(loud("moment")).over(whole)) + RELATIVE, "range_gate": _level(F.avg(loud("short")).over(whole)) + RANGE_RELATIVE}
+    rows = tenths.select("track", windows(MOMENT, "moment"), windows(SHORT, "short")).withColumns(gates)
     gated = lambda c, gate: F.when((_level(F.col(c)) > ABSOLUTE) & (_level(F.col(c)) > F.col(gate)), F.col(c))
-    levels = rows.join(first, "track").groupBy("track").agg(
-        F.round(_level(F.avg(gated("moment", "gate"))), 6).alias("integrated"), F.percentile(_level(gated("short", "range_gate")), F.array(F.lit(0.1), F.lit(0.95))).alias("p"), (F.max("tenths") / 10).alias("seconds")
+    levels = rows.groupBy("track").agg(
+        F.round(_level(F.avg(gated("moment", "gate"))), 6).alias("integrated"), F.percentile(_level(gated("short", "range_gate")), F.array(F.lit(0.1), F.lit(0.95))).alias("p"), (F.count("*") / 10).alias("seconds")
     )
     tracks = blocks.select("track").distinct() if tracks is None else tracks.select("track").distinct()
-    return tracks.join(levels, "track", "left").select("track", "integrated", F.round(F.col("p")[1] - F.col("p")[0], 6).alias("loudness_range"), "seconds")
+    return tracks.join(levels.hint("merge"), "track", "left").select("track", "integrated", F.round(F.col("p")[1] - F.col("p")[0], 6).alias("loudness_range"), "seconds")
