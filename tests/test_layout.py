@@ -77,6 +77,9 @@ def test_log_without_ids_and_partial_batches(spark, tmp_path):
     log = O.read_log(spark, path)
     assert keys(log) == [(str(i), u, 1) for i in (1, 2, 3) for u in "uvw"]
     assert "delivery_id" not in spark.read.parquet(path).columns
+    log.drop("event_id").write.parquet(str(tmp_path / "old"))
+    with pytest.raises(ValueError, match="without event_id"):
+        O.read_log(spark, str(tmp_path / "old"))
     assert {r["delivery_id"] for r in log.collect()} == {hashlib.sha256(f"{i}\n{u}".encode()).hexdigest() for i in (1, 2, 3) for u in "uvw"}
     O.deliver(O.due(log, at(1)).where("event_id = '1' or event_id = '2' and url = 'u'"), path, 1, send, at(1))
     assert keys(O.due(O.read_log(spark, path), at(1))) == [("2", "w", 2), ("3", "u", 2), ("3", "w", 2)]
